@@ -53,6 +53,36 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.contaminated(_documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+
+
+def op6_shape_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_documents(spark, sf_dir), mixing.label_domains(common.table(spark, sf_dir, "labels")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.score_quality(_documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return query(spark, sf_dir)
