@@ -59,6 +59,12 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.duplicate_classes(_documents(spark, sf_dir))
+
+
 def op6_shape_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
