@@ -1,10 +1,16 @@
-"""Training-data pipeline over `documents`: each stage works on all rows that the one before kept."""
+"""Training-data pipeline over `documents`: each stage works on all rows that the one before kept.
+
+Toxic documents go, one document of each near-duplicate class stays, documents that hold benchmark
+items go, personal data is replaced in the texts, and the rest get rates that bring the expected
+tokens of the quality domains to their target weights.  All stages but the last return the columns
+of documents; the last returns (doc_id, n_tokens, domain, p, rate, copies).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import common, toxicity
+from wattloom.llm import common, decontaminate, mixing, neardup, pii, toxicity
 from wattloom.llm.queries import ship
 
 
@@ -14,7 +20,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, that of the least id."""
+    ship(spark)
+    return neardup.drop_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold half or more of a benchmark item go."""
+    ship(spark)
+    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes [EMAIL], [IP], [CARD] or [PHONE]; all rows stay."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates and copies of the documents under the target weights of the quality domains."""
+    return mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", replace_personal_data),
+    ("mixing", mix_domains),
+]
 
 #: The stages train models and hash texts, which SQL can't express; tests hold them to brute force.
 ORACLE_SQL = None

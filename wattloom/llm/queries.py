@@ -71,6 +71,12 @@ def op6_shape_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_documents(spark, sf_dir))
 
 
+def op7_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
