@@ -40,7 +40,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates and copies of the documents under the target weights of the quality domains."""
-    return mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")))
+    return mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")), WEIGHTS)
+
+
+#: Target shares of the expected tokens; what is left of a domain without a share gets rate 0.
+WEIGHTS = {"high": 0.9, "low": 0.1}
 
 
 STAGES = [
