@@ -22,7 +22,7 @@ from .common import batches, id_fold, labelled_sample, one_label, whole_text
 from .textblocks import Block, Tokens, blocks, mix64, tokenize
 
 WORDS = 4096
-SHAPES = 216
+SHAPES = 288
 UNITS = WORDS + SHAPES
 DIM = 32
 HIDDEN = 16
@@ -52,7 +52,7 @@ def units(block: Block) -> tuple[Tokens, np.ndarray, np.ndarray]:
     other = t.end - t.start - upper - digit - mark
     again = np.zeros(len(t.hash), np.int64)
     again[1:] = (t.hash[1:] == t.hash[:-1]) & (t.doc[1:] == t.doc[:-1])
-    shape = np.minimum(upper, 2) + 3 * np.minimum(mark, 3) + 12 * np.minimum(digit, 2) + 36 * (other > 0) + 72 * (other > 12) + 108 * again
+    shape = np.minimum(upper, 2) + 3 * np.minimum(mark, 3) + 12 * np.minimum(digit, 2) + 36 * (other > 0) + 72 * (other > 12) + 144 * again
     return t, (t.hash % np.uint64(WORDS)).astype(np.int64), WORDS + shape
 
 
