@@ -1,0 +1 @@
+"""Spark jobs that clean, resample, join and score energy time series of many meters and sites."""
