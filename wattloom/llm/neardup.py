@@ -223,11 +223,10 @@ def duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def drop_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of docs, with all its columns, of each class: that of the least id (any one of equal
     rows; null ids come last)."""
-    names = docs.columns
-    rows = docs.select(*names, F.xxhash64(whole_text()).alias("_tid"))
-    roots = text_roots(rows.select(F.col("_tid").alias("tid"), whole_text().alias("text")), similar)
-    keys = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("tid")).join(roots, "tid", "left")
-    best = keys.select(F.coalesce("root", "tid").alias("root"), F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("tid").alias("t")).alias("b")).groupBy("root").agg(F.min("b").alias("b"))
-    keep = best.select(F.col("b.t").alias("_tid"), F.col("b.i").alias("_keep"))
-    kept = rows.join(keep, (rows["_tid"] == keep["_tid"]) & rows["doc_id"].cast("long").eqNullSafe(keep["_keep"])).drop(keep["_tid"])
-    return kept.dropDuplicates(["_tid", "_keep"]).select(*names)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("tid"))
+    roots = text_roots(docs.select(F.xxhash64(whole_text()).alias("tid"), whole_text().alias("text")), similar)
+    keys = rows.select("id", "tid").join(roots, "tid", "left").select(F.coalesce("root", "tid").alias("root"), "id", "tid")
+    best = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tid")).alias("b"))
+    keep = best.select(F.col("b.tid").alias("tid"), F.col("b.id").alias("keep"))
+    kept = rows.join(keep, "tid").where(F.col("id").eqNullSafe(F.col("keep")))
+    return kept.dropDuplicates(["tid", "id"]).select("row.*")
