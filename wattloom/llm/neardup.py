@@ -5,9 +5,9 @@ every unit of a shingle's weight as a Poisson process in rank, drawn from hashes
 to one coordinate, whose earliest dart is kept.  Two texts agree in a coordinate with the probability
 of their weighted Jaccard similarity.  Texts that agree in a band of coordinates are candidates.
 
-In each bucket one text, the pivot, is compared with the others exactly; similarities form a metric
-(1 - weighted Jaccard), so what can't be similar to anything left is dropped, and the rest of the
-bucket goes on with another pivot.  Buckets therefore never expand into pairs and no link between
+In each bucket a few texts, the pivots, are compared with the others exactly; similarities form a
+metric (1 - weighted Jaccard), so what can't be similar to anything left is dropped, and the rest of
+the bucket goes on with other pivots.  Buckets therefore never expand into pairs and no link between
 candidates is lost.  Classes are connected components of the links, by repeated least labels.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, stored, whole_text
@@ -153,23 +153,29 @@ def _distances(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _links(buckets: DataFrame, cells: DataFrame, similar: float) -> list[DataFrame]:
-    """Tables (u, v) of pairs of texts that are similar, enough for all connected components: each
-    round compares every bucket's least text with the others of the bucket."""
-    far, out, known = 1 - similar, [], None
+    """Tables (u, v) of pairs of texts that are similar, enough for all connected components.
+
+    Each round compares the least texts of every bucket, its pivots, with the others of the bucket.
+    Of those, what is near a pivot, and nearer than any text far from it could be reached over, is
+    settled: whatever it may be similar to is near the same pivot.  The rest goes on with twice as
+    many pivots, so that the rounds grow with the logarithm of a bucket's mutually unlike texts."""
+    far, out, pivots_now = 1 - similar + 1e-12, [], 1
     while True:
-        pivots = buckets.groupBy("key").agg(F.min("tid").alias("v"))
-        star = buckets.join(pivots, "key").where("tid <> v").select("key", F.col("tid").alias("u"), "v")
-        pairs = star.select("u", "v").distinct()
-        found = stored(_distances(pairs, cells), "dup-distances")
-        out.append(found.where(F.col("d") <= far + 1e-12).select("u", "v"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("tid"))
+        pivots = buckets.select("key", "tid", place.alias("n")).where(F.col("n") <= pivots_now).groupBy("key").agg(F.collect_list("tid").alias("vs"))
+        star = buckets.join(pivots, "key").select("key", F.col("tid").alias("u"), (F.col("tid") > F.array_max("vs")).alias("rest"), F.explode("vs").alias("v")).where("u > v")
+        found = stored(_distances(star.select("u", "v").distinct(), cells), "dup-distances")
+        out.append(found.where(F.col("d") <= far).select("u", "v"))
         star = star.join(found, ["u", "v"])
-        least = star.where(F.col("d") > far + 1e-12).groupBy("key").agg(F.min("d").alias("nearest"))
-        # a text at distance d from the pivot can only be similar to one that is within `far` of d
-        left = star.join(least, "key").where((F.col("d") > far + 1e-12) | (F.col("d") >= F.col("nearest") - far - 1e-12))
-        left = stored(left.select("key", F.col("u").alias("tid")), "dup-left")
+        least = star.where(F.col("d") > far).groupBy("key", "v").agg(F.min("d").alias("nearest"))
+        # a text at distance d from a pivot can only be similar to one that is within `far` of d
+        open_ = F.coalesce((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far), F.lit(False))
+        left = star.where("rest").join(least, ["key", "v"], "left").groupBy("key", "u").agg(F.bool_and(open_).alias("open"))
+        left = stored(left.where("open").select("key", F.col("u").alias("tid")), "dup-left")
         buckets = left.join(left.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
         if not buckets.take(1):
             return out
+        pivots_now *= 2
 
 
 def components(links: DataFrame) -> DataFrame:
