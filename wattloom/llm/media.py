@@ -133,6 +133,8 @@ def read_avi(media: bytes) -> tuple[float, list[memoryview]]:
     view = memoryview(media)
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise BadMedia("no RIFF AVI header")
+    if struct.unpack_from("<I", media, 4)[0] + 8 > len(media):
+        raise BadMedia("the file is cut off")
     rate, movi, index, at = 0.0, -1, b"", 12
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]

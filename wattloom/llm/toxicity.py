@@ -23,9 +23,10 @@ from .textblocks import Tokens, blocks, mix64, sum_by, tokenize
 PER_CLASS = 8_000
 WORDS = 1 << 17
 PAIRS = 1 << 18
-DISCOUNT = 3.0
+DISCOUNT = 0.75
 LEAST_PAIR = 20
-STRONG = 3.0
+STRONG = (3.0, 1.5)
+FEATURES = 4 + 2 * len(STRONG)
 REJECT_AT = 0.7
 START = np.uint64(0x5AD0)
 
@@ -90,8 +91,11 @@ class Comparison:
         n = np.diff(t.bounds)
         total = sum_by(ratio, t.bounds)
         m = np.maximum(n, 1)
-        strong = sum_by(np.maximum(ratio - STRONG, 0), t.bounds)
-        return np.column_stack([total / m, total / np.sqrt(m), np.log1p(n), sum_by(~known, t.bounds) / m, strong / m, np.log1p(strong)])
+        out = [total / m, total / np.sqrt(m), np.log1p(n), sum_by(~known, t.bounds) / m]
+        for limit in STRONG:
+            strong = sum_by(np.maximum(ratio - limit, 0), t.bounds)
+            out += [strong / m, np.log1p(strong)]
+        return np.column_stack(out)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -183,10 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per
     model = compare(_count_grams(sample.where(~F.col("calibrate"))))
 
     def finish(model: Comparison, f: np.ndarray) -> dict[str, pa.Array]:
-        return {f"f{i}": pa.array(f[:, i]) for i in range(6)}
+        return {f"f{i}": pa.array(f[:, i]) for i in range(FEATURES)}
 
-    got = _map_features(sample.where("calibrate"), model, ["y"], "y int, " + ", ".join(f"f{i} double" for i in range(6)), finish).toPandas()
-    x, y = got[[f"f{i}" for i in range(6)]].to_numpy(), got["y"].to_numpy(float)
+    got = _map_features(sample.where("calibrate"), model, ["y"], "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES)), finish).toPandas()
+    x, y = got[[f"f{i}" for i in range(FEATURES)]].to_numpy(), got["y"].to_numpy(float)
     if len(set(y)) == 2:
         model.scale = np.array([x.mean(axis=0), x.std(axis=0) + 1e-9])
         model.weights = fit_logistic((x - model.scale[0]) / model.scale[1], y, np.ones(len(y)))
