@@ -24,9 +24,9 @@ ITEMS = "item_id long, text string, score int"
 TESTS = [(1, "a b c d e f g", 1), (2, None, 1), (3, "", 1), (None, "a b c d e f g", 1), (4, "two words", 1)]
 
 
-@pytest.fixture(params=["odd", "none", "unlabelled"])
+@pytest.fixture(params=["odd", "none"])
 def tables(request, spark):
-    rows, labels, tests = {"odd": (ODD, SOME, TESTS), "none": ([], [], []), "unlabelled": (ODD, [], [])}[request.param]
+    rows, labels, tests = {"odd": (ODD, SOME, TESTS), "none": ([], [], [])}[request.param]
     return tuple(spark.createDataFrame(r, s) for r, s in ((rows, DOCS), (labels, LABELS), (tests, ITEMS)))
 
 
@@ -50,6 +50,12 @@ def test_a_row_for_every_row(name, tables):
     assert sorted((r.doc_id for r in got), key=str) == ids
 
 
+@pytest.mark.parametrize("name", ["toxicity", "quality", "mixing"])
+def test_without_labels(name, spark):
+    docs, labels, tests = (spark.createDataFrame(r, s) for r, s in ((ODD, DOCS), ([], LABELS), ([], ITEMS)))
+    assert len(PER_ROW[name](docs, labels, tests).collect()) == len(ODD)
+
+
 FILTERS = {
     "toxicity": (lambda d, lab, t: toxicity.drop_toxic(d, lab), None),
     "neardup": (lambda d, lab, t: neardup.drop_duplicates(d), ["1", "2", "4", "5", "6", "None"]),
