@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.functions import calendar as cal
 from wattloom.functions import rows as R
 from wattloom.operators import clean, forecast, grid, lookups, metrics, scale, windows
-from wattloom.sources import files
+from wattloom.sources import files, schemas
 
 from . import baselines, features, model
 from . import clean as clean_jobs
@@ -67,6 +67,70 @@ def n_rows(*by: str):
 # ---- sources ------------------------------------------------------------------------------------
 
 
+_ONE = "SELECT ts, ROUND(load, 5) AS load, ROUND(pv, 4) AS pv_sion FROM hourly WHERE series = 'click'"
+_NAMES = {c: n for n, c in schemas.LOAD_COLUMNS.items()}
+
+
+def _one_feed(spark, d) -> DataFrame:
+    return S.hourly(spark, d).where("series = 'click'").select("ts", "load", F.col("pv").alias("pv_sion"))
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df.select("ts", "load", "pv_sion"), "load"), "pv_sion", digits=4)
+
+
+def _comma(c: str):
+    return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.", ","), F.lit("#N/A"))
+
+
+@query("io1_raw_load", _ONE)
+def io1(spark, d):
+    path = files.scratch(spark, "raw-load")
+    raw = _one_feed(spark, d).select(F.date_format("ts", "dd/MM/yyyy HH:mm").alias("timestamp"), _comma("load").alias(_NAMES["load"]), _comma("pv_sion").alias(_NAMES["pv_sion"]))
+    raw.write.csv(path, sep=";", header=True)
+    return _read_back(files.read_raw_load(spark, path))
+
+
+@query("io2_load", _ONE)
+def io2(spark, d):
+    path = files.scratch(spark, "load")
+    feed = _one_feed(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("load").alias(_NAMES["load"]), F.col("pv_sion").alias(_NAMES["pv_sion"]))
+    feed.write.csv(path, header=True)
+    return _read_back(files.read_load(spark, path))
+
+
+@query("io3_forecast", "SELECT ts, ROUND(COALESCE(load, -99999.0), 5) AS T_2M_ctrl_lt1, ROUND(pv, 4) AS T_2M_ctrl_lt2 FROM hourly WHERE series = 'click'")
+def io3(spark, d):
+    path = files.scratch(spark, "forecast")
+    feed = _one_feed(spark, d).select(F.date_format("ts", "dd.MM.yyyy HH:mm").alias("time_utc"), F.coalesce("load", F.lit(-99999.0)).alias("T_2M_ctrl_lt1"), F.col("pv_sion").alias("T_2M_ctrl_lt2"))
+    feed.select("time_utc", _comma("T_2M_ctrl_lt1").alias("T_2M_ctrl_lt1"), _comma("T_2M_ctrl_lt2").alias("T_2M_ctrl_lt2")).write.csv(path, sep=";", header=True)
+    return rounded(rounded(files.read_forecast(spark, path), "T_2M_ctrl_lt1"), "T_2M_ctrl_lt2", digits=4)
+
+
+@query("io5_write_by_month", "SELECT strftime(ts, '%Y-%m') AS month, COUNT(*) AS n, ROUND(SUM(x), 3) AS total FROM readings GROUP BY 1")
+def io5(spark, d):
+    path = files.scratch(spark, "by-month")
+    files.write_by_month(S.readings(spark, d), path)
+    back = files.read_table(spark, path)
+    return rounded(back.groupBy("month").agg(F.count("*").alias("n"), F.sum("x").alias("total")), "total", digits=3)
+
+
+@query("io6_latest_file", _ONE)
+def io6(spark, d):
+    path, feed = files.scratch(spark, "latest"), _one_feed(spark, d)
+    named = feed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("load").alias(_NAMES["load"]), F.col("pv_sion").alias(_NAMES["pv_sion"])).coalesce(1)
+    named.limit(5).coalesce(1).write.csv(f"{path}/1", header=True)
+    named.write.csv(f"{path}/2", header=True)
+    return _read_back(files.read_latest(spark, f"{path}/*/part-*.csv"))
+
+
+@query("io7_io8_write_and_read", _ONE)
+def io7(spark, d):
+    path = files.scratch(spark, "table")
+    files.write_table(_one_feed(spark, d), path)
+    return _read_back(files.read_table(spark, path))
+
+
 @query("io4_select_observations", """SELECT ts, site, measurement, ROUND(value, 5) AS value FROM obs_long
     WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND site = 1 AND measurement IN ('click', 'view', 'purchase') AND field = 'Value'""")
 def io4(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +89,9 @@ def write_table(rows: DataFrame, path: str, ts: str = "ts", form: str = "parquet
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """IO8: a table written before."""
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares with its executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="wattloom-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
