@@ -283,7 +283,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     same = survivors.join(wholes.where("same").select("whole"), "whole").select("tid", "start", end.cast("int").alias("stop"))
     few = _compare_windows(around.where("not hot"))
     windows = around.where("hot").select(F.col("key"), "tid", "start")
-    known = windows.groupBy("key").agg((F.min(at) != F.max(at)).alias("same")).where("same").select("key")
+    # stored, so that the join below is between two plain exchanges, whose hot keys Spark splits
+    known = stored(windows.groupBy("key").agg((F.min(at) != F.max(at)).alias("same")).where("same").select("key"), "rep-known")
     many = windows.join(known, "key").select("tid", "start", (F.col("start") + LENGTH).cast("int").alias("stop"))
     return same.unionByName(few).unionByName(many)
 
