@@ -73,13 +73,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
 
 
-def at_most(rows: DataFrame, count: str, limit: int) -> int:
-    """The least c >= 1 for which no more than `limit` rows have count >= c (counts over a million
-    are taken as equal)."""
-    size = F.least(F.col(count), F.lit(1_000_000)).cast("long")
-    total, least = 0, 1_000_001
-    for c, n in sorted((tuple(r) for r in rows.groupBy(size.alias("c")).count().collect()), reverse=True):
-        if total + n > limit:
+def at_most(rows: DataFrame, count: str, limit: int, parts: int = 1024) -> int:
+    """The least c >= 1 for which no more than `limit` rows have count >= c, exact for any counts.
+
+    A pass by bit length finds the power of two below c, then each pass parts what is left of the
+    range, so that the driver holds at most `parts` rows."""
+    size = F.col(count).cast("long")
+
+    def sizes(part: DataFrame, bucket: Column) -> list[tuple[int, int]]:
+        return sorted((tuple(r) for r in part.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+
+    above, lo, hi = 0, 1, 1
+    for b, n in sizes(rows.where(size >= 1), F.length(F.bin(size))):
+        if above + n > limit:
+            lo, hi = (1 << (b - 1)) + 1, 1 << b
+            break
+        above += n
+    while lo < hi:  # c is in lo ... hi; `above` rows have count >= hi
+        width = -(-(hi - lo) // parts)
+        for b, n in sizes(rows.where((size >= lo) & (size < hi)), F.expr(f"({count} - {lo}) div {width}")):
+            if above + n > limit:
+                lo, hi = lo + b * width + 1, min(lo + (b + 1) * width, hi)
+                break
+            above += n
+        else:
             break
-        total, least = total + n, c
-    return least
+    return lo
