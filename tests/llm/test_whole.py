@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wattloom.llm import common, lm
+from wattloom.llm import common, lm, pii
 
 
 @pytest.mark.parametrize("limit", [0, 1, 5, 512, 599, 600, 700])
@@ -22,3 +22,15 @@ def test_words_over_a_million_times_do_not_overflow_the_head(spark):
     head = lex.word_class[lex.word_class < lm.HEAD]
     assert len(lex.hash) == 900 and lex.word_class.max() < lm.END
     assert np.array_equal(np.sort(head), np.arange(lm.HEAD)) and lex.class_types.sum() == 900 - lm.HEAD
+
+
+@pytest.mark.parametrize("tokens", [94, 95, 96, 191, 5_000])
+def test_written_data_anywhere_in_a_long_region(tokens):
+    chain = pii.train_chain(pii.labelled_table())
+    filler = ("row 3 of 7 end " * (tokens // 5 + 1)).split()[:tokens]
+    for value, kind in (("(212) 555-7814", "phone"), ("4929 . 1234 . 5678 . 9015", "card"), ("anna (at) firma (dot) de", "email")):
+        words = {"phone": "call", "card": "number", "email": "write"}[kind]
+        text = " ".join([*filler[1:], words, value, "soon", *filler])
+        start = text.index(value)
+        ((_, spans),) = pii.find_spans([text], chain)
+        assert (start, start + len(value), kind) in spans

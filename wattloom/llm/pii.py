@@ -122,7 +122,7 @@ _TOKEN = re.compile(r"\S+")
 _CUE = re.compile(r"[0-9@]|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\bdot\b", re.I)
 _RUNS = [(re.compile("[A-Z]+"), "X"), (re.compile("[a-z]+"), "x"), (re.compile("[0-9]+"), "9"), (re.compile(r"[^\x00-\x7f]+"), "u")]
 REACH = 5
-LONGEST = 96
+DECODED = 200_000
 
 
 def shape(token: str) -> str:
@@ -253,7 +253,20 @@ def _regions(text: str) -> list[list[tuple[int, int]]]:
     np.add.at(near, np.minimum(hit + REACH + 1, len(tokens)), -1)
     at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
     cut = np.flatnonzero(np.diff(at) > 1) + 1
-    return [[tokens[i] for i in run[j : j + LONGEST]] for run in np.split(at, cut) for j in range(0, len(run), LONGEST)]
+    return [[tokens[i] for i in run] for run in np.split(at, cut) if len(run)]
+
+
+def _by_length(regions: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """Whole regions, shortest first, in lists of at most DECODED tokens with the padding; a longer
+    region is a list of its own."""
+    part: list[tuple[int, list[tuple[int, int]]]] = []
+    for region in sorted(regions, key=lambda r: len(r[1])):
+        if part and (len(part) + 1) * len(region[1]) > DECODED:
+            yield part
+            part = []
+        part.append(region)
+    if part:
+        yield part
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -268,8 +281,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], chain
     """Spans of the chain that are valid written-out values and touch no base span."""
     where = [(i, region) for i, text in enumerate(texts) for region in _regions(text)]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for lo in range(0, len(where), 2000):
-        part = where[lo : lo + 2000]
+    for part in _by_length(where):
         tagged = chain.decode([[texts[i][a:b] for a, b in region] for i, region in part])
         for (i, region), tags in zip(part, tagged):
             j = 0
