@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wattloom.llm import common, lm, pii
+from wattloom.llm import common, lm, mixing, pii
 
 
 @pytest.mark.parametrize("limit", [0, 1, 5, 512, 599, 600, 700])
@@ -34,3 +34,26 @@ def test_written_data_anywhere_in_a_long_region(tokens):
         start = text.index(value)
         ((_, spans),) = pii.find_spans([text], chain)
         assert (start, start + len(value), kind) in spans
+
+
+def test_a_rare_domain_is_learned_and_its_target_met(spark):
+    def text(i, rare):
+        return " ".join([f"w{(i * 7 + j) % 50}" for j in range(20)] + [f"rare{(i + j) % 5}" for j in range(20)] * rare)
+
+    docs = spark.createDataFrame([(i, text(i, i % 100 == 0)) for i in range(1_000)], "doc_id long, text string")
+    # ten of a thousand documents are rare; 4,000 more labels have no document
+    labelled = spark.createDataFrame([(i, "rare" if i % 100 == 0 else "usual") for i in range(1_000)] + [(i, "gone") for i in range(1_000, 5_000)], "doc_id long, domain string")
+    model = mixing.learn_membership(docs, labelled, sample=40)
+    assert model.domains == ["rare", "usual"]
+    np.testing.assert_allclose(np.exp(model.prior), [0.01, 0.99])
+    rows = mixing.mix(docs, labelled, {"rare": 0.05, "usual": 0.95}).collect()
+    mass = sum(r.rate * r.n_tokens * np.array(r.p) for r in rows)
+    np.testing.assert_allclose(mass / sum(r.n_tokens for r in rows), [0.05, 0.95], atol=1e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.5, 0.5])], "n_tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="miss the targets"):
+        mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    with pytest.warns(RuntimeWarning, match="no labelled document of c"):
+        mixing.fit_rates(members, ["a", "b"], {"a": 0.5, "b": 0.4, "c": 0.1})

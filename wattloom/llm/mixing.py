@@ -1,7 +1,7 @@
 """Mixing to target weights: soft domain membership and nonnegative document rates.
 
-All of it is DataFrame work.  A multinomial word model, counted on a bounded sample of a labelled
-table, gives every document a probability for each domain (with a temperature fitted on labelled
+All of it is DataFrame work.  A multinomial word model, counted on a bounded sample of each
+domain of a labelled table, gives every document a probability for each domain (with a temperature fitted on labelled
 documents that the counts left out).  The rates x >= 0 minimise the squared distance of the expected
 domain totals sum_i x_i n_i p_i to the target totals by accelerated projected gradient steps from
 x = 1.  Rates are measured in the metric of the token counts and totals in the metric in which the
@@ -12,19 +12,24 @@ one number a domain and step.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, stored, whole_text
+from .common import stored, whole_text
 
 SAMPLE = 12_000
+SPARE = 16
+BROADCAST_IDS = 1 << 20
 VOCABULARY = 4_000
 SMOOTH = 0.5
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
 STEPS = 30
+ROUNDS = 10
+NEARER = 0.9
 CLOSE = 1e-4
 TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
 
@@ -65,29 +70,36 @@ class Membership:
 
 
 def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Membership | None:
-    """The word model from at most `sample` labelled documents; None where no document has a label."""
-    ids = bounded_sample(labelled.select("doc_id", "domain"), "doc_id", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = rows.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) > 0)
+    """The word model from about `sample` labelled documents of each domain (all, where there are no
+    more); the domains and their prior are those of all labels that have a document.  None where no
+    document has a label."""
+    have = labelled.select("doc_id", "domain").join(docs.select("doc_id"), "doc_id", "left_semi")
+    have = stored(have, "mix-known")
+    known = {r.domain: r.n for r in have.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not known:
+        return None
+    domains = sorted(known)
+    sizes = docs.sparkSession.createDataFrame([(d, min(sample / n, 1.0), max(n / sample, 1.0), n < SPARE) for d, n in known.items()], "domain string, share double, stands_for double, few boolean")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
+    ids = have.join(F.broadcast(sizes), "domain").where(drawn)
+    ids = F.broadcast(ids) if len(domains) * sample <= BROADCAST_IDS else ids
+    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+    rows = rows.withColumn("fit", F.col("few") | (F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) > 0))
     words = rows.where("fit").select("domain", F.explode(_words()).alias("word"))
     counts = stored(words.groupBy("domain", "word").agg(F.count("*").alias("c")), "mix-counts")
-    shares = {r.domain: r.n for r in counts.where("word = ''").select("domain", F.col("c").alias("n")).collect()}
-    if not shares:
-        return None
-    domains = sorted(shares)
     n_of = lambda d: F.sum(F.when(F.col("domain") == d, F.col("c")).otherwise(0))
     table = counts.where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"), *(n_of(d).alias(f"c{i}") for i, d in enumerate(domains)))
     table = stored(table.orderBy(F.desc("c"), "word").limit(VOCABULARY), "mix-words")
     totals = table.agg(F.count("*"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(domains)))).first()
     weights = table.select("word", *(F.log((F.col(f"c{i}") + SMOOTH) / (totals[i + 1] + SMOOTH * totals[0])).alias(f"w{i}") for i in range(len(domains))))
     own = docs.sparkSession.createDataFrame([("",)], "word string").select("word", *(F.lit(0.0).alias(f"w{i}") for i in range(len(domains))))
-    all_docs = sum(shares.values())
-    model = Membership(domains, stored(weights.unionByName(own), "mix-weights"), [float(np.log(shares[d] / all_docs)) for d in domains])
-    held = stored(model.sums(rows.where("not fit").withColumn("rid", F.monotonically_increasing_id()), ["rid", "domain"]), "mix-held")
+    all_ids = sum(known.values())
+    model = Membership(domains, stored(weights.unionByName(own), "mix-weights"), [float(np.log(known[d] / all_ids)) for d in domains])
+    held = stored(model.sums(rows.where("not fit").withColumn("rid", F.monotonically_increasing_id()), ["rid", "domain", "stands_for"]), "mix-held")
     losses = []
     for t in TEMPERATURES:
         right = F.coalesce(*(F.when(F.col("domain") == d, p) for d, p in zip(domains, model.posterior(t))), F.lit(0.0))
-        losses.append(F.avg(-F.log(F.greatest(right, F.lit(1e-12)))))
+        losses.append(F.sum(-F.log(F.greatest(right, F.lit(1e-12))) * F.col("stands_for")) / F.sum("stands_for"))
     loss = held.agg(*losses).first()
     if loss[0] is not None:
         model.temperature = float(min(zip(loss, TEMPERATURES))[1])
@@ -95,8 +107,8 @@ def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE)
 
 
 def _rate(steps: list[list[float]], domains: int) -> Column:
-    """x after the steps taken, and y where the next gradient is taken, from the row's posteriors."""
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    """x and y of the row after further steps, by its posteriors; the next gradient is taken at y."""
+    start = F.struct("x", "y")
     if not steps:
         return start
 
@@ -112,9 +124,14 @@ def _rate(steps: list[list[float]], domains: int) -> Column:
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
     """members(n_tokens, p array) with the rate of each row.
 
-    Targets of domains that the classifier doesn't know are left out and the others rescaled; a
-    known domain without a target has target 0."""
+    Targets of domains that have no labelled document are left out and the others rescaled, with a
+    warning; a known domain without a target has target 0.  Steps are taken until the totals are
+    within CLOSE of the targets; where a round of STEPS comes no tenth nearer, or ROUNDS are over, a warning
+    says by how much they are missed."""
     k = len(domains)
+    lost = sorted(d for d, t in targets.items() if t > 0 and d not in domains)
+    if lost:
+        warnings.warn(f"mixing: no labelled document of {', '.join(lost)}; the other targets are rescaled", RuntimeWarning, stacklevel=2)
     want = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
     total = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not total or not want.sum():
@@ -122,15 +139,24 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     want = want / want.sum()
     gram = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]) for a in range(k) for b in range(k))).first()
     whiten = np.linalg.pinv(np.array(gram, float).reshape(k, k) / total, rcond=1e-6, hermitian=True)
+    kept = members.columns
+    state = members.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
     steps: list[list[float]] = []
-    momentum, before = 1.0, np.inf
-    for _ in range(STEPS):
-        state = _rate(steps, k)
-        rows = members.select("n_tokens", "p", state.alias("s"))
+    momentum, before, last, rounds = 1.0, np.inf, np.inf, 0
+    while True:
+        rows = state.select("n_tokens", "p", _rate(steps, k).alias("s"))
         got = rows.agg(*(F.sum(F.col("n_tokens") * F.col("p")[d] * F.col("s")[v]) for v in ("y", "x") for d in range(k))).first()
         at_y, at_x = np.array(got[:k], float) / total, np.array(got[k:], float) / total
-        if np.abs(at_x - want).max() < CLOSE:
+        off = np.abs(at_x - want).max()
+        if off < CLOSE:
             break
+        if len(steps) == STEPS:  # a round is over: store where it came to
+            rounds, nearer, last = rounds + 1, off < NEARER * last, off
+            if not nearer or rounds == ROUNDS:
+                warnings.warn(f"mixing: after {rounds * STEPS} steps the totals miss the targets by up to {off:.2g}: " + ", ".join(f"{d} {a:.4f} for {w:.4f}" for d, a, w in zip(domains, at_x, want)), RuntimeWarning, stacklevel=2)
+                break
+            state = stored(state.select(*kept, _rate(steps, k).alias("s")).select(*kept, "s.x", "s.y"), "mix-rates")
+            steps = []
         miss = float((at_y - want) @ whiten @ (at_y - want))
         if miss > before:  # overshot: begin the acceleration anew
             momentum = 1.0
@@ -138,7 +164,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         steps.append([*(whiten @ (at_y - want)).tolist(), (momentum - 1) / following])
         momentum = following
-    return members.withColumn("rate", _rate(steps, k)["x"])
+    return state.withColumn("rate", _rate(steps, k)["x"]).drop("x", "y")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
