@@ -109,7 +109,9 @@ def brute_classes(texts):
     return {i: find(i) for i in texts}
 
 
-def test_near_duplicate_classes(spark, texts):
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_near_duplicate_classes(spark, texts, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK_TEXTS", chunk)
     rng = random.Random(9)
     more = dict(texts)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
@@ -125,6 +127,33 @@ def test_near_duplicate_classes(spark, texts):
     assert kept == set(got.values())
 
 
+def test_overlaps_and_spanning_links():
+    rng = np.random.default_rng(5)
+    cells = [np.unique(rng.integers(0, 9_000, rng.integers(0, 6_000)).astype(np.uint64)) for _ in range(7)]
+    left, right = np.array([0, 2, 3]), np.array([1, 4, 5, 6])
+    want = [[len(np.intersect1d(cells[i], cells[j])) for j in right] for i in left]
+    assert neardup.overlaps(cells, left, right).tolist() == want
+    near = np.zeros((6, 6), bool)
+    for i, j in ((0, 3), (3, 5), (5, 0), (1, 2)):
+        near[i, j] = near[j, i] = True
+    assert sorted(tuple(sorted(e)) for e in neardup.spanning_links(near)) in ([(0, 3), (0, 5), (1, 2)], [(0, 3), (1, 2), (3, 5)])
+
+
+def test_recall_of_links_just_above_the_threshold(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):  # pairs of 0.80 to 0.83
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(204)]
+        cut = rng.randint(18, 22)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: 204 - cut], *(f"v{rng.randint(0, 10**9)}" for _ in range(cut))]))]
+    got = neardup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sets = {i: set(shingles(t)) for i, t in rows}
+    linked = [k for k in range(300) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])]
+    found = {r.doc_id for r in got if r.class_size == 2}
+    assert len(linked) > 150 and sum(2 * k in found for k in linked) >= 0.99 * len(linked)
+    assert all(i // 2 in linked for i in found)
+
+
 def test_signatures_estimate_weighted_jaccard():
     import pyarrow as pa
 
@@ -135,7 +164,7 @@ def test_signatures_estimate_weighted_jaccard():
     (block,) = blocks(pa.array([a, b]))
     cells, bounds = neardup.weighted_cells(block)
     sig = neardup.dart_signatures(cells, bounds, 2000)
-    exact = neardup.similarity(*(np.sort((cells[x:y] >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(bounds, bounds[1:])))
+    exact = neardup.similarity(*(np.sort(cells[x:y]).tobytes() for x, y in zip(bounds, bounds[1:])))
     assert (sig[0] == sig[1]).mean() == pytest.approx(exact, abs=0.04)
 
 
