@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.rows import is_night
 
+from .ranks import quantiles
 
-def _with_facts(df: DataFrame, keys: list[str], facts: dict[str, Column]) -> DataFrame:
-    """Columns with one aggregate a series, for all facts at once: one small aggregate, joined back."""
+
+def _attach(df: DataFrame, keys: list[str], facts: DataFrame) -> DataFrame:
+    """Facts of one row a series joined back to its rows."""
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*(f.alias(n) for n, f in facts.items()))))  # one row
-    per_series = df.groupBy(*keys).agg(*(f.alias(n) for n, f in facts.items()))
-    renamed = per_series.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        return df.crossJoin(F.broadcast(facts))  # one row
+    renamed = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return df.join(renamed, same, "left").drop(*(f"_k_{k}" for k in keys))
 
@@ -25,13 +26,15 @@ def zero_at_night(df: DataFrame, keys: list[str], columns: list[str], mode: str
     if mode == "always":
         return df.withColumns({c: F.when(night, 0.0).otherwise(F.col(c)) for c in columns})
     gates = {f"_gate_{c}": F.coalesce(F.bool_or(night & (F.col(c) > 0)), F.lit(False)) for c in columns}
-    gated = _with_facts(df, keys, gates)
+    gated = _attach(df, keys, df.groupBy(*keys).agg(*(f.alias(n) for n, f in gates.items())))
     return gated.withColumns({c: F.when(night & F.col(f"_gate_{c}"), 0.0).otherwise(F.col(c)) for c in columns}).drop(*gates)
 
 
 def scale_by_median(df: DataFrame, keys: list[str], columns: list[str], above: float = 10_000.0, by: float = 100.0) -> DataFrame:
     """PR8: divided by `by` in series whose median is above the limit (Pa to hPa)."""
-    known = _with_facts(df, keys, {f"_median_{c}": F.median(c) for c in columns})
+    medians = quantiles(df, keys, columns, {"m": 0.5})
+    facts = medians.groupBy(*keys).agg(*(F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"_median_{c}") for c in columns))
+    known = _attach(df, keys, facts)
     return known.withColumns({c: F.when(F.col(f"_median_{c}") > above, F.col(c) / by).otherwise(F.col(c)) for c in columns}).drop(*(f"_median_{c}" for c in columns))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from itertools import combinations_with_replacement
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import average_rank, quantiles
+
 
 def melt_predictions(df: DataFrame, truth: str, models: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """(keep, truth, name, pred), one row for each model {column: name}, without a union."""
@@ -71,8 +72,9 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, least, linear quartiles, greatest."""
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
-    return _each(df, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": q(0.25), "q50": q(0.5), "q75": q(0.75), "max": F.max})
+    facts = _each(df, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+    quartiles = quantiles(df, [], columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return facts.join(quartiles, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def extent_of(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,39 +87,30 @@ def table_extent(df: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
+def _tail_integral(low: Column, high: Column, power: Column, steps: int = 1_000) -> Column:
+    """Integral of cos(x)^power by Simpson's rule."""
+    step = (high - low) / steps
+    weight = lambda i: F.when((i == 0) | (i == steps), 1).when(i % 2 == 1, 4).otherwise(2)
+    value = lambda i: F.exp(power * F.ln(F.greatest(F.cos(low + step * i), F.lit(1e-300))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda total, i: total + weight(i) * value(i)) * step / 3
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of r in n pairs under none.  With r = sin(x), x has the density
+    cos(x)^(n - 3) up to its integral, which is negligible 40 deviations on."""
+    power, reach = F.greatest(n - 3, F.lit(0)), 40 / F.sqrt(n)
+    at = F.asin(F.least(F.abs(r), F.lit(1.0)))
+    tail = _tail_integral(at, F.least(F.lit(math.pi / 2), at + reach), power)
+    whole = _tail_integral(F.lit(0.0), F.least(F.lit(math.pi / 2), reach), power)
+    return F.when(F.abs(r) >= 1, 0.0).when(n >= 3, F.least(tail / whole, F.lit(1.0)))
+
+
 def pearson(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
-    """N and r of the pairs without a null; r is null with fewer than `least` pairs."""
+    """N, r and p of the pairs without a null; r and p are null with fewer than `least` pairs."""
     ok = F.col(a).isNotNull() & F.col(b).isNotNull()
     out = df.where(ok).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
-    return out.select("n", F.when(F.col("n") >= least, F.col("r")).alias("r"))
-
-
-def pearson_p(r: float, n: int) -> float:
-    """Two-sided p of r = 0.  Without correlation r has the density (1 - r^2)^((n - 4) / 2) up to
-    its integral; the tail is summed by Gauss-Legendre quadrature where it is not negligible."""
-    if n < 3 or abs(r) >= 1:
-        return 0.0 if abs(r) >= 1 else float("nan")
-    power = (n - 4) / 2
-    low, high = abs(r), min(1.0, abs(r) + 40 / math.sqrt(n))
-    nodes, weights = np.polynomial.legendre.leggauss(200)
-    x = low + (high - low) * (nodes + 1) / 2
-    whole = math.log(math.pi) / 2 + math.lgamma(power + 1) - math.lgamma(power + 1.5) - math.log(2)
-    return min(1.0, float((weights * np.exp(power * np.log1p(-x * x) - whole)).sum() * (high - low) / 2))
-
-
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean, without a global window over the rows.
-
-    Counts by value are cut into ranges; the counts of the ranges are added up in a table as long as
-    the number of partitions, and each range ranks its own values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
-    parted = counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    sizes = parted.groupBy("_part").agg(F.sum("_c").alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.sum("_c").over(Window.partitionBy("_part").orderBy(column))
-    ranked = parted.withColumn("_upto", inner).join(F.broadcast(before), "_part")
-    table = ranked.select(F.col(column), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
-    return df.join(table, column, "left")
+    out = out.select("n", F.when(F.col("n") >= least, F.col("r")).alias("r"))
+    return out.withColumn("p", p_value(F.col("r"), F.col("n")))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

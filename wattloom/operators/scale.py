@@ -29,8 +29,8 @@ def with_halo(df: DataFrame, keys: list[str], run: Callable[[DataFrame, list[str
     return run(chunked, [*keys, "_chunk"]).where("_own = _chunk").drop("_own", "_chunk")
 
 
-def rolling_stats(df: DataFrame, keys: list[str], column: str, before: int, after: int, ts: str = "ts") -> DataFrame:
-    """Mean, sample deviation and count over rows i-before .. i+after, from running sums: O(n) for any
+def rolling_stats(df: DataFrame, keys: list[str], column: str, before: int, after: int, ts: str = "ts", name: str = "roll") -> DataFrame:
+    """<name>_mean, _std (sample) and _n over rows i-before .. i+after, from running sums: O(n) for any
     width.  Values are taken less the series' mean, against cancellation."""
     w = by_time(keys, ts)
     mid = F.avg(column).over(Window.partitionBy(*keys))
@@ -44,5 +44,5 @@ def rolling_stats(df: DataFrame, keys: list[str], column: str, before: int, afte
     x = x.withColumns(ends)
     n, s, q = F.col("_nw"), F.col("_sw"), F.col("_qw")
     spread = F.when(n >= 2, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
-    out = x.withColumns({"roll_mean": F.when(n > 0, F.col("_mid") + s / n), "roll_std": spread, "roll_n": n})
+    out = x.withColumns({f"{name}_mean": F.when(n > 0, F.col("_mid") + s / n), f"{name}_std": spread, f"{name}_n": n})
     return out.drop("_mid", "_x", "_n", "_s", "_q", "_nw", "_sw", "_qw")

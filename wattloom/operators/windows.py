@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import by_time
+from .scale import rolling_stats
 
 
 def lags(df: DataFrame, keys: list[str], column: str, steps: dict[str, int], ts: str = "ts") -> DataFrame:
@@ -32,18 +33,17 @@ def trailing_means(df: DataFrame, keys: list[str], column: str, windows: dict[st
     return df.withColumns(out)
 
 
-def zscore_flags(keys: list[str], columns: list[str], window: int, least: int, threshold: float = 4.0, ts: str = "ts") -> dict[str, Column]:
-    """Which values lie over `threshold` sample deviations from the mean of the centred window (rows
-    i - window/2 to i + window/2 - 1)."""
-    f = by_time(keys, ts).rowsBetween(-(window // 2), (window - 1) // 2)
-    flag = lambda c: F.abs((F.col(c) - F.avg(c).over(f)) / F.nullif(F.stddev_samp(c).over(f), F.lit(0.0))) > threshold
-    return {c: F.coalesce((F.count(c).over(f) >= least) & flag(c), F.lit(False)) for c in columns}
-
-
 def null_zscore_outliers(df: DataFrame, keys: list[str], columns: list[str], window: int, least: int, threshold: float = 4.0, ts: str = "ts") -> DataFrame:
-    """Outliers become null."""
-    flags = zscore_flags(keys, columns, window, least, threshold, ts)
-    return df.withColumns({c: F.when(~f, F.col(c)) for c, f in flags.items()})
+    """Values over `threshold` sample deviations from the mean of the centred window (rows
+    i - window/2 to i + window/2 - 1) become null; windows of fewer than `least` values or without
+    spread judge nothing.  Running sums: O(n) for any window."""
+    out = {}
+    for c in columns:
+        df = rolling_stats(df, keys, c, window // 2, (window - 1) // 2, ts, f"_z_{c}")
+        far = F.abs(F.col(c) - F.col(f"_z_{c}_mean")) > threshold * F.col(f"_z_{c}_std")
+        spread = F.col(f"_z_{c}_std") > 1e-9 * F.abs(F.col(f"_z_{c}_mean"))
+        out[c] = F.when(~F.coalesce((F.col(f"_z_{c}_n") >= least) & spread & far, F.lit(False)), F.col(c))
+    return df.withColumns(out).drop(*(f"_z_{c}_{x}" for c in columns for x in ("mean", "std", "n")))
 
 
 def spike_flags(keys: list[str], steps: dict[str, float], ts: str = "ts") -> dict[str, Column]:
@@ -66,13 +66,14 @@ def fill(df: DataFrame, keys: list[str], columns: list[str], forward: int, backw
 def interpolate(df: DataFrame, keys: list[str], columns: list[str], limit: int = 6, around: int = 2, strict: bool = False, ts: str = "ts") -> DataFrame:
     """Linear in time over the first `limit` nulls of a gap (after the last value: that value), then
     `around` rows forward and `around` backward.  strict: only gaps of at most `limit` are filled."""
-    w = by_time(keys, ts)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w, back = by_time(keys, ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
+    # both frames grow by a row from one row to the next, the second one in falling order of time
+    past, future = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, back))
     at = df.withColumn("_rn", F.row_number().over(w)).withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
     ends = {}
     for c in columns:
         here = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("n"), F.col("_s").alias("s"), F.col(c).alias("x")))
-        ends |= {f"_p_{c}": F.last(here, True).over(past), f"_q_{c}": F.first(here, True).over(future)}
+        ends |= {f"_p_{c}": F.last(here, True).over(past), f"_q_{c}": F.last(here, True).over(future)}
     at = at.withColumns(ends)
     out = {}
     for c in columns:
