@@ -44,7 +44,7 @@ def test_sql_gives_the_same_rows(name, spark, duck, tiny):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["e2_clean_forecast", "m3_importances", "m1_m2_fit_and_measure"])
+@pytest.mark.parametrize("name", ["m3_importances", "m1_m2_fit_and_measure", "m4_benchmark", "m5_week_extract", "e8_model_benchmark", "e8_error_histogram"])
 def test_without_sql(name, spark, tiny):
     assert jobs.QUERIES[name](spark, tiny).count() > 0
 

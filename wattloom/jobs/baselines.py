@@ -23,3 +23,9 @@ def scoreboard(df: DataFrame, keys: list[str], cut: str = "2024-10-01") -> DataF
     test = predictions(df, keys).where(split_at(cut) == "test")
     models = {c: n for c, n in MODELS.items() if c in test.columns}
     return metrics.scoreboard(metrics.melt_predictions(test, "load", models))
+
+
+def with_best(board: DataFrame) -> DataFrame:
+    """E7's table: the scoreboard with A26's choice marked."""
+    best = metrics.best_model(board).select(F.col("best").alias("_best"))
+    return board.crossJoin(F.broadcast(best)).select(*board.columns, F.coalesce(F.col("name") == F.col("_best"), F.lit(False)).alias("is_best"))  # one row

@@ -2,54 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattloom.functions.rows import clip_negative, no_sun_without_radiation, null_skipping_sum, present, sentinel_to_null, within
-from wattloom.operators import clean, forecast, grid, windows
+from wattloom.operators import clean, forecast, grid, metrics, scale, windows
 from wattloom.sources import files, schemas
 
 
-def clean_load(df: DataFrame, keys: list[str], seq: str = "ingest_seq", bounds: dict | None = None, interpolate: int = 6) -> DataFrame:
-    """Duplicates, negatives, night, z-score, bounds, interpolation, hourly grid, PV total."""
+class Marks:
+    """Counts what each rule of a job changes: a rule's step is taken with the values before it kept
+    beside, and a flag a row and column says whether they differ.  All flags are added up in one pass."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.flags: dict[str, tuple[str, str]] = {}
+
+    def step(self, rows: DataFrame, rule: str, columns: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if not columns:
+            return rows
+        rows = change(rows.withColumns({f"_was_{c}": F.col(c) for c in columns}))
+        flags = {f"_m{len(self.flags) + i}": c for i, c in enumerate(columns)}
+        self.flags |= {n: (rule, c) for n, c in flags.items()}
+        rows = rows.withColumns({n: ~F.col(c).eqNullSafe(F.col(f"_was_{c}")) for n, c in flags.items()})
+        return rows.drop(*(f"_was_{c}" for c in columns))
+
+    def report(self, rows: DataFrame, read: DataFrame) -> DataFrame:
+        """(rule, column, n) of the steps, with the repeated times that went."""
+        counts = clean.report(rows, {v: F.col(n) for n, v in self.flags.items()})
+        times = read.groupBy(*self.keys, "ts").agg(F.count("*").alias("_n"))
+        gone = times.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
+        return counts.unionByName(gone.select(F.lit("duplicate").alias("rule"), F.lit("ts").alias("column"), "n"))
+
+
+class _NoMarks(Marks):
+    def step(self, rows: DataFrame, rule: str, columns: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return change(rows) if columns else rows
+
+
+def _load_steps(df: DataFrame, keys: list[str], marks: Marks, seq: str, bounds: dict | None, interpolate: int, chunk_rows: int | None) -> tuple[DataFrame, list[str], list[str]]:
     bounds = schemas.PV_BOUNDS if bounds is None else bounds
     pv = [c for c in df.columns if c.startswith("pv_")]
     load = present(df, ["load", "load_forecast"])
     rows = grid.first_of_duplicates(df, keys, seq).select(*keys, "ts", *load, *pv)
-    rows = rows.withColumns({c: clip_negative(c) for c in pv})
-    rows = clean.zero_at_night(rows, keys, pv)
-    rows = windows.null_zscore_outliers(rows, keys, load, window=672, least=96)
-    rows = rows.withColumns({c: within(c, *bounds[c]) for c in pv if c in bounds})
-    rows = windows.interpolate(rows, keys, [*load, *pv], limit=interpolate)
+    rows = marks.step(rows, "negative", pv, lambda r: r.withColumns({c: clip_negative(c) for c in pv}))
+    rows = marks.step(rows, "night", pv, lambda r: clean.zero_at_night(r, keys, pv))
+    rows = marks.step(rows, "zscore", load, lambda r: _zscore(r, keys, load, 672, 96, chunk_rows))
+    bounded = [c for c in pv if c in bounds]
+    rows = marks.step(rows, "bounds", bounded, lambda r: r.withColumns({c: within(c, *bounds[c]) for c in bounded}))
+    rows = marks.step(rows, "filled", [*load, *pv], lambda r: windows.interpolate(r, keys, [*load, *pv], limit=interpolate))
+    return rows, load, pv
+
+
+def _zscore(rows: DataFrame, keys: list[str], columns: list[str], window: int, least: int, chunk_rows: int | None) -> DataFrame:
+    """W3; with `chunk_rows`, a series longer than that is cut into chunks with the rows around them."""
+    if chunk_rows is None:
+        return windows.null_zscore_outliers(rows, keys, columns, window, least)
+    run = lambda r, k: windows.null_zscore_outliers(r, k, columns, window, least)
+    return scale.with_halo(rows, keys, run, window // 2, (window - 1) // 2, chunk_rows)
+
+
+def clean_load(df: DataFrame, keys: list[str], seq: str = "ingest_seq", bounds: dict | None = None, interpolate: int = 6, chunk_rows: int | None = None) -> DataFrame:
+    """Duplicates, negatives, night, z-score, bounds, interpolation, hourly grid, PV total."""
+    rows, load, pv = _load_steps(df, keys, _NoMarks(keys), seq, bounds, interpolate, chunk_rows)
     hourly = grid.resample(rows, keys, {c: (c, "mean") for c in load} | {c: (c, "sum") for c in pv})
     return hourly.withColumn("pv_total", null_skipping_sum(pv)) if pv else hourly
 
 
-def clean_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq") -> DataFrame:
-    """Sentinels, duplicates, run summary, aliases, bounds, night, negatives, pressure unit,
-    spikes, z-score, sunshine without radiation, interpolation."""
+def load_report(df: DataFrame, keys: list[str], seq: str = "ingest_seq", bounds: dict | None = None, interpolate: int = 6, chunk_rows: int | None = None) -> DataFrame:
+    """A24 of E1: (rule, column, n) of the values that each step of clean_load changes."""
+    marks = Marks(keys)
+    return marks.report(_load_steps(df, keys, marks, seq, bounds, interpolate, chunk_rows)[0], df)
+
+
+def _forecast_steps(df: DataFrame, keys: list[str], marks: Marks, seq: str, chunk_rows: int | None) -> DataFrame:
     values = [c for c in df.columns if c not in (*keys, "ts", seq)]
-    rows = df.select(*keys, "ts", seq, *(sentinel_to_null(c).alias(c) for c in values))
-    rows = grid.first_of_duplicates(rows, keys, seq)
+    rows = grid.first_of_duplicates(df.select(*keys, "ts", seq, *values), keys, seq)
+    rows = marks.step(rows, "sentinel", values, lambda r: r.withColumns({c: sentinel_to_null(c) for c in values}))
     summary = {}
     for short in schemas.FORECAST_ALIASES:
         summary |= forecast.wide_summary(values, f"{short}_ctrl", short)
-    rows = rows.select(*keys, "ts", *(e.alias(n) for n, e in summary.items()))
+    rows = rows.select(*keys, "ts", *marks.flags, *(e.alias(n) for n, e in summary.items()))
     alias = {f"{s}_best": a for s, a in schemas.FORECAST_ALIASES.items()} | {f"{s}_spread": f"{a}_spread" for s, a in schemas.FORECAST_ALIASES.items()}
     rows = rows.withColumns({a: F.col(c) for c, a in alias.items() if c in summary})
-    rows = rows.withColumns({c: within(c, *b) for c, b in schemas.bounds_of_forecast().items() if c in rows.columns})
-    numbers = [c for c in rows.columns if c not in (*keys, "ts") and not c.endswith(("_n_runs", "_lead_time"))]
+    limits = {c: b for c, b in schemas.bounds_of_forecast().items() if c in rows.columns}
+    rows = marks.step(rows, "bounds", [*limits], lambda r: r.withColumns({c: within(c, *b) for c, b in limits.items()}))
+    numbers = [c for c in rows.columns if c not in (*keys, "ts", *marks.flags) and not c.endswith(("_n_runs", "_lead_time"))]
     of = lambda *names: [c for c in numbers if any(n in c for n in names)]
     solar = of("GLOB", "DURSUN", "pred_radiation", "pred_sunshine")
-    rows = clean.zero_at_night(rows, keys, solar)
-    rows = rows.withColumns({c: clip_negative(c) for c in [*solar, *of("TOT_PREC", "pred_precipitation")]})
-    rows = clean.scale_by_median(rows, keys, of("PS", "pred_pressure"))
+    rows = marks.step(rows, "night", solar, lambda r: clean.zero_at_night(r, keys, solar))
+    signless = [*solar, *of("TOT_PREC", "pred_precipitation")]
+    rows = marks.step(rows, "negative", signless, lambda r: r.withColumns({c: clip_negative(c) for c in signless}))
+    pressure = of("PS", "pred_pressure")
+    rows = marks.step(rows, "unit", pressure, lambda r: clean.scale_by_median(r, keys, pressure))
     spikes = {c: d for s, d in schemas.SPIKES.items() for c in (f"{s}_best", schemas.FORECAST_ALIASES[s]) if c in rows.columns}
-    rows = windows.null_spikes(rows, keys, spikes)
-    rows = windows.null_zscore_outliers(rows, keys, list(spikes), window=168, least=24)
-    pairs = [("GLOB_best", "DURSUN_best"), ("pred_radiation", "pred_sunshine")]
-    rows = rows.withColumns({s: no_sun_without_radiation(r, s) for r, s in pairs if r in rows.columns and s in rows.columns})
-    return windows.interpolate(rows, keys, numbers)
+    rows = marks.step(rows, "spike", [*spikes], lambda r: windows.null_spikes(r, keys, spikes))
+    rows = marks.step(rows, "zscore", [*spikes], lambda r: _zscore(r, keys, [*spikes], 168, 24, chunk_rows))
+    pairs = {s: r for r, s in (("GLOB_best", "DURSUN_best"), ("pred_radiation", "pred_sunshine")) if r in rows.columns and s in rows.columns}
+    rows = marks.step(rows, "sunshine", [*pairs], lambda r: r.withColumns({s: no_sun_without_radiation(rad, s) for s, rad in pairs.items()}))
+    return marks.step(rows, "filled", numbers, lambda r: windows.interpolate(r, keys, numbers))
+
+
+def clean_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq", chunk_rows: int | None = None) -> DataFrame:
+    """Sentinels, duplicates, run summary, aliases, bounds, night, negatives, pressure unit,
+    spikes, z-score, sunshine without radiation, interpolation."""
+    return _forecast_steps(df, keys, _NoMarks(keys), seq, chunk_rows)
+
+
+def forecast_report(df: DataFrame, keys: list[str], seq: str = "ingest_seq", chunk_rows: int | None = None) -> DataFrame:
+    """A24 of E2: (rule, column, n) of the values that each step of clean_forecast changes."""
+    marks = Marks(keys)
+    return marks.report(_forecast_steps(df, keys, marks, seq, chunk_rows), df)
 
 
 def merge(load: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +130,32 @@ def hourly_observations(long: DataFrame, keys: list[str], names: dict[str, str]
     return grid.resample(wide, keys, {c: (c, rules[c]) for c in names.values()})
 
 
-def run(spark: SparkSession, load_path: str, forecast_path: str, out_path: str, keys: list[str]) -> None:
-    """Cleans and merges two Parquet feeds (with keys, ts and ingest_seq) into one table by month."""
+def ingest_observations(long: DataFrame, path: str, start: str, stop: str, keys: list[str], names: dict[str, str] | None = None, rules: dict[str, str] | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records of [start, stop) land chunk by chunk (calendar months, or `days`) under `path`,
+    the last chunk cut at the end; then the hourly grid, written beside them.  Returns the grid, its
+    stretches without any value, and the coverage of its columns."""
+    names, rules = names or schemas.OBSERVATIONS, rules or schemas.OBSERVATION_RULES
+    spark = long.sparkSession
+    wanted = long.where(F.col("measurement").isin(list(names)))
+    for lo, hi in files.chunk_bounds(start, stop, days):
+        files.append_chunk(wanted, f"{path}/records", lo, hi)
+    landed = spark.read.schema(T.StructType([*wanted.schema.fields, T.StructField("chunk", T.StringType())])).parquet(f"{path}/records")
+    files.write_table(hourly_observations(landed.drop("chunk"), keys, names, rules), f"{path}/hourly")
+    hourly = files.read_table(spark, f"{path}/hourly")
+    columns = list(names.values())
+    return hourly, grid.empty_stretches(hourly, keys, columns), metrics.coverage(hourly, columns)
+
+
+def export(merged: DataFrame, path: str, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The merged table by month under `path`, and from what was written its rows, the gaps over an
+    hour and the coverage of every column."""
+    files.write_by_month(merged, path)
+    back = files.read_table(merged.sparkSession, path).drop("month")
+    return back, grid.gaps(back, keys, "INTERVAL 1 HOUR"), metrics.coverage(back, [c for c in back.columns if c not in (*keys, "ts")])
+
+
+def run(spark: SparkSession, load_path: str, forecast_path: str, out_path: str, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cleans and merges two Parquet feeds (with keys, ts and ingest_seq) into one table by month;
+    returns what export does."""
     merged = merge(clean_load(spark.read.parquet(load_path), keys), clean_forecast(spark.read.parquet(forecast_path), keys), keys)
-    files.write_by_month(merged, out_path)
+    return export(merged, out_path, keys)

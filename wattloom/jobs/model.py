@@ -4,23 +4,49 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.rows import at_most
+from wattloom.operators import metrics
+from wattloom.sources.files import scratch
 
-def fit(train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, ts: str = "ts") -> PipelineModel:
-    """M1: imputed medians, then boosted trees; stops on the last `validation_share` of the time."""
+
+def fit(train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, patience: int = 50, ts: str = "ts") -> PipelineModel:
+    """M1: imputed medians, then at most `rounds` boosted trees.  The last `validation_share` of the
+    time judges every round; growing stops `patience` rounds after the best one, whose trees stay.
+
+    Spark's own validation stops at the first round without gain.  So four times the patience is grown
+    first, then all rounds, over rows that are written once: equal seeds give equal first trees, and
+    the best number of them is grown again."""
     ends = train.agg(F.unix_micros(F.min(ts).cast("timestamp")).alias("a"), F.unix_micros(F.max(ts).cast("timestamp")).alias("b")).first()
+    if ends.a is None:
+        raise ValueError("no rows to learn from")
     cut = ends.a + (ends.b - ends.a) * (1 - validation_share)
     rows = train.select(*(F.col(c).cast("double").alias(c) for c in features), label, (F.unix_micros(F.col(ts).cast("timestamp")) > cut).alias("_validate"))
     filled = [f"{c}_filled" for c in features]
-    trees = GBTRegressor(
-        labelCol=label, featuresCol="features", predictionCol="pred_model", maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42, validationIndicatorCol="_validate",
-    )
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), trees]
-    return Pipeline(stages=stages).fit(rows)
+    prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]).fit(rows)
+    path = scratch(train.sparkSession, "model-rows")
+    prepare.transform(rows).select("features", label, "_validate").write.parquet(path)
+    ready = train.sparkSession.read.parquet(path)
+
+    def grow(n: int) -> GBTRegressionModel:
+        trees = GBTRegressor(
+            labelCol=label, featuresCol="features", predictionCol="pred_model", maxIter=n, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
+            featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42,
+        )
+        return trees.fit(ready.where("not _validate"))
+
+    held, n = ready.where("_validate"), min(4 * patience, rounds)
+    while True:
+        model = grow(n)
+        losses = model.evaluateEachIteration(held, "squared") if held.take(1) else []
+        best = min(range(len(losses)), key=losses.__getitem__, default=n - 1) + 1
+        if n == rounds or n - best >= patience:
+            break
+        n = rounds
+    return PipelineModel([*prepare.stages, model if best == n else grow(best)])
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -41,3 +67,25 @@ def top_features(rows: DataFrame, top: int = 10, marked: int = 5) -> DataFrame:
     best = rows.orderBy(F.desc("importance"), "feature").limit(top)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # `top` rows
     return ranked.withColumn("is_top5", F.col("rank") <= marked)
+
+
+BENCHMARK = {"pred_model": "trees", "load_forecast": "existing forecast", "load_J1_same_hour": "same hour, day before", "load_J7_mean": "mean of the day a week before"}
+
+
+def benchmark_rows(matrix: DataFrame, top_ratio: float = 1.0) -> DataFrame:
+    """E8 before the model: rows with a load, clear_sky_ratio clipped from above (PR12, PR15)."""
+    return matrix.na.drop(subset=["load"]).withColumn("clear_sky_ratio", at_most("clear_sky_ratio", top_ratio))
+
+
+def naive_measures(matrix: DataFrame) -> DataFrame:
+    """M4 of the models that need no fit, on the test rows."""
+    test = benchmark_rows(matrix).where("split = 'test'")
+    return metrics.fit_measures(metrics.melt_predictions(test, "load", {c: n for c, n in BENCHMARK.items() if c != "pred_model"}))
+
+
+def benchmark(predicted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """E8 of rows with pred_model: measures of the four models, gain over the existing forecast by
+    month, and the histogram of the trees' errors, on the test rows."""
+    test = predicted.where("split = 'test'")
+    errors = test.select((F.col("load") - F.col("pred_model")).alias("e"))
+    return metrics.fit_measures(metrics.melt_predictions(test, "load", BENCHMARK)), metrics.monthly_gain(test, "load", "pred_model", "load_forecast"), metrics.error_histogram(errors, "e")

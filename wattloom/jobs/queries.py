@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions import calendar as cal
 from wattloom.functions import rows as R
-from wattloom.operators import clean, forecast, grid, lookups, metrics, scale, windows
+from wattloom.operators import clean, forecast, grid, lookups, metrics, ranks, scale, windows
 from wattloom.sources import files, schemas
 
 from . import baselines, features, model
@@ -67,44 +67,47 @@ def n_rows(*by: str):
 # ---- sources ------------------------------------------------------------------------------------
 
 
-_ONE = "SELECT ts, ROUND(load, 5) AS load, ROUND(pv, 4) AS pv_sion FROM hourly WHERE series = 'click'"
+_ALL = "SELECT series, ts, ROUND(load, 5) AS load, ROUND(pv, 4) AS pv_sion FROM hourly"
 _NAMES = {c: n for n, c in schemas.LOAD_COLUMNS.items()}
 
 
-def _one_feed(spark, d) -> DataFrame:
-    return S.hourly(spark, d).where("series = 'click'").select("ts", "load", F.col("pv").alias("pv_sion"))
+def _feeds(spark, d) -> DataFrame:
+    return S.hourly(spark, d).select("series", "ts", "load", F.col("pv").alias("pv_sion"))
 
 
 def _read_back(df: DataFrame) -> DataFrame:
-    return rounded(rounded(df.select("ts", "load", "pv_sion"), "load"), "pv_sion", digits=4)
+    return rounded(rounded(df.select("series", "ts", "load", "pv_sion"), "load"), "pv_sion", digits=4)
 
 
 def _comma(c: str):
     return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.", ","), F.lit("#N/A"))
 
 
-@query("io1_raw_load", _ONE)
+def _named(feed: DataFrame) -> DataFrame:
+    return feed.select("series", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("load").alias(_NAMES["load"]), F.col("pv_sion").alias(_NAMES["pv_sion"]))
+
+
+@query("io1_raw_load", _ALL)
 def io1(spark, d):
     path = files.scratch(spark, "raw-load")
-    raw = _one_feed(spark, d).select(F.date_format("ts", "dd/MM/yyyy HH:mm").alias("timestamp"), _comma("load").alias(_NAMES["load"]), _comma("pv_sion").alias(_NAMES["pv_sion"]))
+    raw = _feeds(spark, d).select("series", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("timestamp"), _comma("load").alias(_NAMES["load"]), _comma("pv_sion").alias(_NAMES["pv_sion"]))
     raw.write.csv(path, sep=";", header=True)
-    return _read_back(files.read_raw_load(spark, path))
+    return _read_back(files.read_raw_load(spark, path, K))
 
 
-@query("io2_load", _ONE)
+@query("io2_load", _ALL)
 def io2(spark, d):
     path = files.scratch(spark, "load")
-    feed = _one_feed(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("load").alias(_NAMES["load"]), F.col("pv_sion").alias(_NAMES["pv_sion"]))
-    feed.write.csv(path, header=True)
-    return _read_back(files.read_load(spark, path))
+    _named(_feeds(spark, d)).write.csv(path, header=True)
+    return _read_back(files.read_load(spark, path, K))
 
 
-@query("io3_forecast", "SELECT ts, ROUND(COALESCE(load, -99999.0), 5) AS T_2M_ctrl_lt1, ROUND(pv, 4) AS T_2M_ctrl_lt2 FROM hourly WHERE series = 'click'")
+@query("io3_forecast", "SELECT series, ts, ROUND(COALESCE(load, -99999.0), 5) AS T_2M_ctrl_lt1, ROUND(pv, 4) AS T_2M_ctrl_lt2 FROM hourly")
 def io3(spark, d):
     path = files.scratch(spark, "forecast")
-    feed = _one_feed(spark, d).select(F.date_format("ts", "dd.MM.yyyy HH:mm").alias("time_utc"), F.coalesce("load", F.lit(-99999.0)).alias("T_2M_ctrl_lt1"), F.col("pv_sion").alias("T_2M_ctrl_lt2"))
-    feed.select("time_utc", _comma("T_2M_ctrl_lt1").alias("T_2M_ctrl_lt1"), _comma("T_2M_ctrl_lt2").alias("T_2M_ctrl_lt2")).write.csv(path, sep=";", header=True)
-    return rounded(rounded(files.read_forecast(spark, path), "T_2M_ctrl_lt1"), "T_2M_ctrl_lt2", digits=4)
+    feed = _feeds(spark, d).select("series", F.date_format("ts", "dd.MM.yyyy HH:mm").alias("time_utc"), F.coalesce("load", F.lit(-99999.0)).alias("T_2M_ctrl_lt1"), F.col("pv_sion").alias("T_2M_ctrl_lt2"))
+    feed.select("series", "time_utc", _comma("T_2M_ctrl_lt1").alias("T_2M_ctrl_lt1"), _comma("T_2M_ctrl_lt2").alias("T_2M_ctrl_lt2")).write.csv(path, sep=";", header=True)
+    return rounded(rounded(files.read_forecast(spark, path, K), "T_2M_ctrl_lt1"), "T_2M_ctrl_lt2", digits=4)
 
 
 @query("io5_write_by_month", "SELECT strftime(ts, '%Y-%m') AS month, COUNT(*) AS n, ROUND(SUM(x), 3) AS total FROM readings GROUP BY 1")
@@ -115,19 +118,36 @@ def io5(spark, d):
     return rounded(back.groupBy("month").agg(F.count("*").alias("n"), F.sum("x").alias("total")), "total", digits=3)
 
 
-@query("io6_latest_file", _ONE)
+def _chunk_sql(days: int, end: str) -> str:
+    day = f"DATE '2024-01-01' + CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {days} * {days} AS INT)"
+    return f"SELECT strftime({day}, '%Y-%m-%d') AS chunk, COUNT(*) AS n, MAX(ts) AS last_ts, ROUND(SUM(x), 3) AS total FROM readings WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '{end}' GROUP BY 1"
+
+
+def _landed(spark, d, days: int, end: str, again: int | None = None) -> DataFrame:
+    path, chunks, r = files.scratch(spark, "chunks"), files.chunk_bounds("2024-01-01", end, days), S.readings(spark, d)
+    for lo, hi in chunks if again is None else [*chunks, chunks[again]]:
+        files.append_chunk(r, path, lo, hi)
+    back = files.read_table(spark, path).withColumn("chunk", F.col("chunk").cast("string"))
+    return rounded(back.groupBy("chunk").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.sum("x").alias("total")), "total", digits=3)
+
+
+@query("io5_chunks_to_end_date", _chunk_sql(7, "2024-01-25"))
+def io5_chunks(spark, d):
+    return _landed(spark, d, 7, "2024-01-25")
+
+
+@query("io6_latest_file", _ALL)
 def io6(spark, d):
-    path, feed = files.scratch(spark, "latest"), _one_feed(spark, d)
-    named = feed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("load").alias(_NAMES["load"]), F.col("pv_sion").alias(_NAMES["pv_sion"])).coalesce(1)
-    named.limit(5).coalesce(1).write.csv(f"{path}/1", header=True)
-    named.write.csv(f"{path}/2", header=True)
-    return _read_back(files.read_latest(spark, f"{path}/*/part-*.csv"))
+    path, feed = files.scratch(spark, "latest"), _feeds(spark, d)
+    _named(feed.withColumn("load", F.lit(0.0))).write.csv(f"{path}/1", header=True)  # an older snapshot
+    _named(feed).write.csv(f"{path}/2", header=True)
+    return _read_back(files.read_latest(spark, f"{path}/*/part-*.csv", lambda s, p: files.read_load(s, p, K), whole_folder=True))
 
 
-@query("io7_io8_write_and_read", _ONE)
+@query("io7_io8_write_and_read", _ALL)
 def io7(spark, d):
     path = files.scratch(spark, "table")
-    files.write_table(_one_feed(spark, d), path)
+    files.write_table(_feeds(spark, d), path)
     return _read_back(files.read_table(spark, path))
 
 
@@ -138,11 +158,9 @@ def io4(spark, d):
     return rounded(got.select("ts", "site", "measurement", "value"), "value")
 
 
-@query("u1_append_months", "SELECT strftime(ts, '%Y-%m') AS month, COUNT(*) AS n, ROUND(SUM(x), 3) AS total FROM readings GROUP BY 1")
+@query("u1_append_months", _chunk_sql(10, "2024-02-01"))
 def u1(spark, d):
-    r = S.readings(spark, d)
-    chunks = r.where(F.dayofmonth("ts") <= 15).unionByName(r.where(F.dayofmonth("ts") > 15))
-    return rounded(chunks.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("x").alias("total")), "total", digits=3)
+    return _landed(spark, d, 10, "2024-02-01", again=1)  # a chunk that comes twice is there once
 
 
 # ---- row rules ----------------------------------------------------------------------------------
@@ -309,15 +327,19 @@ def j6(spark, d):
     return rounded(lookups.attach_monthly(S.daily_load(spark, d).select("series", "ts"), [], p, "p95"), "p95", digits=4)
 
 
+# Easter Sundays.
+EASTER = """1990-04-15 1991-03-31 1992-04-19 1993-04-11 1994-04-03 1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04
+2000-04-23 2001-04-15 2002-03-31 2003-04-20 2004-04-11 2005-03-27 2006-04-16 2007-04-08 2008-03-23 2009-04-12
+2010-04-04 2011-04-24 2012-04-08 2013-03-31 2014-04-20 2015-04-05 2016-03-27 2017-04-16 2018-04-01 2019-04-21
+2020-04-12 2021-04-04 2022-04-17 2023-04-09 2024-03-31 2025-04-20 2026-04-05 2027-03-28 2028-04-16 2029-04-01"""
+
+
 def _holiday_views(source: str, day: str) -> dict[str, str]:
     fixed = " ".join(f"UNION ALL SELECT make_date(y, {m}, {dd}) FROM yrs" for m, dd in cal.FIXED_HOLIDAYS)
     moving = " ".join(f"UNION ALL SELECT e + ({k}) FROM easter" for k in cal.EASTER_OFFSETS)
     return {
         "yrs": f"SELECT DISTINCT year({day}) AS y FROM {source}",
-        "e1": "SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM yrs",
-        "e2": "SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1",
-        "e3": "SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2",
-        "easter": "SELECT y, make_date(y, 3, 1) + CAST(h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 21 AS INT) AS e FROM e3",
+        "easter": f"SELECT e FROM (SELECT UNNEST([{', '.join(f"DATE '{e}'" for e in EASTER.split())}]) AS e) WHERE year(e) IN (SELECT y FROM yrs)",
         "holidays": f"SELECT DISTINCT hd FROM (SELECT e + 1 AS hd FROM easter {fixed} {moving})",
     }
 
@@ -482,9 +504,22 @@ def a15(spark, d):
     return rounded(metrics.extent_of(S.hourly(spark, d).where(R.split_at(CUT) == "train"), ["load", "pv"]), "min", "max", "mean")
 
 
-@query("a16_pearson", "SELECT COUNT(*) AS n, ROUND(CORR(radiation, precip), 6) AS r FROM daily_obs")
+def _pearson_sql(a: str, b: str) -> str:
+    """n, r and p, with p from the density of t by Simpson's rule."""
+    density = "EXP(lgamma((v + 1) / 2) - lgamma(v / 2)) / SQRT(v * PI()) * POWER(1 + x * x / v, -(v + 1) / 2)"
+    return f"""SELECT '{a}' AS a, '{b}' AS b, n, ROUND(r, 6) AS r, ROUND(GREATEST(1 - 2 * SUM(w * {density}) * MAX(t) / 3000, 0), 6) AS p FROM (
+        SELECT n, r, v, t, t * i / 1000 AS x, CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (
+          SELECT *, n - 2.0 AS v, LEAST(ABS(r) * SQRT((n - 2) / (1 - r * r)), 12) AS t FROM (SELECT COUNT(*) AS n, CORR({a}, {b}) AS r FROM daily_obs)), range(1001) AS steps(i)) GROUP BY n, r"""
+
+
+_PAIRS = [("radiation", "precip"), ("radiation", "temp"), ("temp", "precip")]
+
+
+@query("a16_pearson", " UNION ALL ".join(_pearson_sql(a, b) for a, b in _PAIRS))
 def a16(spark, d):
-    return rounded(metrics.pearson(S.daily_obs(spark, d), "radiation", "precip"), "r", digits=6)
+    obs = S.daily_obs(spark, d)
+    got = [metrics.pearson(obs, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "p") for a, b in _PAIRS]
+    return rounded(got[0].unionByName(got[1]).unionByName(got[2]), "r", "p", digits=6)
 
 
 @query("a17_spearman", """SELECT COUNT(*) AS n, ROUND(CORR(ra, rb), 6) AS rho FROM (SELECT RANK() OVER (ORDER BY radiation) + (COUNT(*) OVER (PARTITION BY radiation) - 1) / 2.0 AS ra,
@@ -549,9 +584,9 @@ def a23_moments(spark, d):
     return rounded(metrics.error_moments(_errors(spark, d), "e"), "mean", "std")
 
 
-@query("a24_cleaning_report", """SELECT 'sentinel' AS rule, 'x' AS "column", COUNT(*) FILTER (WHERE x = -99999) AS n FROM readings_bad UNION ALL SELECT 'negative', 'x', COUNT(*) FILTER (WHERE x < 0) FROM readings_bad
+@query("a24_rule_counts", """SELECT 'sentinel' AS rule, 'x' AS "column", COUNT(*) FILTER (WHERE x = -99999) AS n FROM readings_bad UNION ALL SELECT 'negative', 'x', COUNT(*) FILTER (WHERE x < 0) FROM readings_bad
     UNION ALL SELECT 'bounds', 'x', COUNT(*) FILTER (WHERE x NOT BETWEEN 5 AND 100) FROM readings_bad UNION ALL SELECT 'null', 'x', COUNT(*) FILTER (WHERE x IS NULL) FROM readings_bad""")
-def a24(spark, d):
+def a24_counts(spark, d):
     x = F.col("x")
     return clean.report(S.readings_bad(spark, d), {("sentinel", "x"): x == -99999.0, ("negative", "x"): x < 0, ("bounds", "x"): ~x.between(5, 100), ("null", "x"): x.isNull()})
 
@@ -559,7 +594,8 @@ def a24(spark, d):
 @query("a25_median_runs", "SELECT variable, MEDIAN(n_runs) AS n_runs, MEDIAN(lead_time) AS lead_time FROM runs GROUP BY 1", runs=_RUNS)
 def a25(spark, d):
     runs = forecast.summarize_runs(S.forecast_long(spark, d), [], ts="target")
-    return runs.groupBy("variable").agg(F.median("n_runs").alias("n_runs"), F.median("lead_time").alias("lead_time"))
+    medians = ranks.quantiles(runs, ["variable"], ["n_runs", "lead_time"], {"m": 0.5})
+    return medians.groupBy("variable").agg(*(F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in ("n_runs", "lead_time")))
 
 
 @query("a26_best_model", "SELECT arg_min(name, rmse) AS best, ROUND(MIN(rmse), 5) AS rmse FROM board", **_PREDICTIONS)
@@ -787,98 +823,168 @@ def sc10(spark, d):
     return n_rows("label")(S.daily_load(spark, d).select(label.alias("label")))
 
 
-# ---- model --------------------------------------------------------------------------------------
+# ---- jobs ---------------------------------------------------------------------------------------
 
-_FEATURES = ["hour_sin", "hour_cos", "weekday", "is_weekend", "lag24", "lag48", "m24", "pv_lag24"]
 
+def _feed(spark, d) -> DataFrame:
+    """Hourly-stamped load feed with repeated times: load, and a PV column with negatives."""
+    r = S.readings_bad(spark, d).withColumn("ts", grid.trunc("hour", "ts"))
+    x = R.sentinel_to_null("x")
+    return r.select("series", "ts", "ingest_seq", x.alias("load"), (x / 2 - 5).alias("pv_sion"))
 
-def _model_table(spark, d) -> DataFrame:
-    rows = windows.lags(cal.calendar_v1(S.hourly(spark, d)), K, "load", {"lag24": 24, "lag48": 48})
-    rows = windows.lags(rows, K, "pv", {"pv_lag24": 24})
-    rows = windows.trailing_means(rows, K, "load", {"m24": (24, 12)})
-    return rows.na.drop(subset=["load", "lag24"]).withColumn("split", R.split_at(CUT)).select("series", "ts", *_FEATURES, "load", "split")
 
+def _e1_views(pv: str) -> dict[str, str]:
+    """E1 step by step; `pv` is what the bounds leave of pv_sion."""
+    return {
+        "feed": "SELECT series, date_trunc('hour', ts) AS ts, ingest_seq, NULLIF(x, -99999.0) AS load, NULLIF(x, -99999.0) / 2 - 5 AS pv_sion FROM readings_bad",
+        "once": "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, ts ORDER BY ingest_seq) AS rn FROM feed) WHERE rn = 1",
+        "clipped": "SELECT series, ts, load, CASE WHEN pv_sion < 0 THEN 0.0 ELSE pv_sion END AS pv_sion, (hour(ts) >= 21 OR hour(ts) <= 5) AS night FROM once",
+        "gate": "SELECT series, COALESCE(BOOL_OR(night AND pv_sion > 0), FALSE) AS gate FROM clipped GROUP BY 1",
+        "dark": "SELECT c.series, ts, load, CASE WHEN night AND gate THEN 0.0 ELSE pv_sion END AS pv_sion FROM clipped c JOIN gate g ON c.series = g.series",
+        "zed": _zscore_sql("dark", "load", 672, 96, 4.0, f"series, ts, {pv} AS pv_sion"),
+        **_interpolation("zed", "load", 6, "il"),
+        **_interpolation("zed", "pv_sion", 6, "ip"),
+        "both_cols": "SELECT a.series, a.ts, a.load, b.pv_sion FROM il5 a JOIN ip5 b ON a.series = b.series AND a.ts = b.ts",
+        "e1": """SELECT g.series, g.ts, b.load, COALESCE(b.pv_sion, 0.0) AS pv_sion FROM (SELECT series, UNNEST(generate_series(MIN(ts), MAX(ts), INTERVAL 1 HOUR)) AS ts FROM both_cols GROUP BY series) g
+            LEFT JOIN (SELECT series, ts, AVG(load) AS load, SUM(pv_sion) AS pv_sion FROM both_cols GROUP BY 1, 2) b ON g.series = b.series AND g.ts = b.ts""",
+    }
 
-def _fitted(spark, d):
-    rows = _model_table(spark, d)
-    fitted = model.fit(rows.where("split = 'train'"), _FEATURES, rounds=5, depth=4)
-    return fitted, model.predict(fitted, rows, _FEATURES)
 
+_E1 = _e1_views("CASE WHEN pv_sion BETWEEN 0 AND 40 THEN pv_sion END")
 
-@query("m1_m2_fit_and_measure")
-def m2(spark, d):
-    return metrics.overfit(metrics.melt_predictions(_fitted(spark, d)[1], "load", {"pred_model": "trees"}, ["split"]))
 
+@query("e1_clean_load", "SELECT series, ts, ROUND(load, 5) AS load, ROUND(pv_sion, 5) AS pv_sion, ROUND(pv_sion, 5) AS pv_total FROM e1", **_E1)
+def e1(spark, d):
+    return rounded(clean_jobs.clean_load(_feed(spark, d), K, bounds={"pv_sion": (0, 40)}), "load", "pv_sion", "pv_total")
 
-@query("m3_importances")
-def m3(spark, d):
-    return model.importances(_fitted(spark, d)[0], _FEATURES)
 
-
-@query("m4_benchmark")
-def m4(spark, d):
-    test = _fitted(spark, d)[1].where("split = 'test'")
-    return metrics.fit_measures(metrics.melt_predictions(test, "load", {"pred_model": "trees", "lag24": "same hour, a day before", "m24": "mean of a day"}))
+_LOAD_REPORT = """SELECT 'duplicate' AS rule, 'ts' AS "column", COUNT(*) - (SELECT COUNT(*) FROM once) AS n FROM feed UNION ALL SELECT 'negative', 'pv_sion', COUNT(*) FROM once WHERE pv_sion < 0
+    UNION ALL SELECT 'night', 'pv_sion', COUNT(*) FROM clipped c JOIN gate g ON c.series = g.series WHERE night AND gate AND pv_sion IS DISTINCT FROM 0.0
+    UNION ALL SELECT 'zscore', 'load', COUNT(*) FROM dark a JOIN zed b ON a.series = b.series AND a.ts = b.ts WHERE a.load IS NOT NULL AND b.load IS NULL
+    UNION ALL SELECT 'bounds', 'pv_sion', COUNT(*) FROM dark WHERE pv_sion NOT BETWEEN 0 AND 40
+    UNION ALL SELECT 'filled', 'load', COUNT(*) FROM zed a JOIN il5 b ON a.series = b.series AND a.ts = b.ts WHERE a.load IS NULL AND b.load IS NOT NULL
+    UNION ALL SELECT 'filled', 'pv_sion', COUNT(*) FROM zed a JOIN ip5 b ON a.series = b.series AND a.ts = b.ts WHERE a.pv_sion IS NULL AND b.pv_sion IS NOT NULL"""
 
 
-@query("m5_week_extract")
-def m5(spark, d):
-    return _fitted(spark, d)[1].where(R.half_open("2024-01-22", "2024-01-29")).select("series", "ts", "load", "pred_model", "lag24")
+@query("a24_load_report", _LOAD_REPORT, **_E1)
+def a24_load(spark, d):
+    return clean_jobs.load_report(_feed(spark, d), K, bounds={"pv_sion": (0, 40)})
 
 
-# ---- jobs ---------------------------------------------------------------------------------------
+_VARIABLES = {"T_2M": (0.4, 0.0), "GLOB": (6.0, -60.0), "PS": (150.0, 90_000.0), "DURSUN": (30.0, -100.0)}
 
 
-def _feed(spark, d) -> DataFrame:
-    """Hourly-stamped load feed with repeated times: load, and a PV column with negatives."""
-    r = S.readings_bad(spark, d).withColumn("ts", grid.trunc("hour", "ts"))
-    x = R.sentinel_to_null("x")
-    return r.select("series", "ts", "ingest_seq", x.alias("load"), (x / 2 - 5).alias("pv_sion"))
+def _forecast_feed(spark, d) -> DataFrame:
+    """A forecast matrix of four variables and three leads by hour, from the hourly load; radiation
+    does not go below 0, and every fifth hour comes twice."""
+    h, w = S.hourly(spark, d), grid.by_time(K)
+    leads = {f"{v}_ctrl_lt{k}": F.lag(F.col("load"), k - 1).over(w) * a + b for v, (a, b) in _VARIABLES.items() for k in (1, 2, 3)}
+    leads |= {n: F.when(e < 0, 0.0).otherwise(e) for n, e in leads.items() if n.startswith("GLOB")}
+    rows = h.select("series", "ts", *(F.coalesce(e, F.lit(-99999.0)).alias(n) for n, e in leads.items()))
+    times = F.when(F.hour("ts") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("ingest_seq", F.explode(times))
+    return rows.withColumns({n: F.col(n) + 7 * F.col("ingest_seq") for n in leads})
+
+
+def _e2_views() -> dict[str, str]:
+    """E2 step by step on long rows (series, ts, c, x), one for each column of the summary."""
+    alias = {v: schemas.FORECAST_ALIASES[v] for v in _VARIABLES}
+    low = lambda v, x: f"CASE WHEN {x} < 0 THEN 0.0 ELSE {x} END" if v == "GLOB" else x
+    leads = " UNION ALL ".join(f"SELECT series, ts, '{v}' AS v, {k} AS k, {low(v, f'(a{k} * {a} + {b})')} AS x FROM fraw" for v, (a, b) in _VARIABLES.items() for k in (1, 2, 3))
+    parts = [(f"{v}_{p}", v, p) for v in alias for p in ("best", "spread")] + [(a + ("_spread" if p == "spread" else ""), v, p) for v, a in alias.items() for p in ("best", "spread")]
+    limits = {c: b for c, b in schemas.bounds_of_forecast().items() if c in {n for n, _, _ in parts}}
+    of = lambda *names: ", ".join(f"'{n}'" for n, _, _ in parts if any(x in n for x in names))
+    solar, pressure = of("GLOB", "DURSUN", "pred_radiation", "pred_sunshine"), of("PS", "pred_pressure")
+    spikes = {c: d for s, d in schemas.SPIKES.items() for c in (f"{s}_best", alias[s])}
+    night, f = "(hour(ts) >= 21 OR hour(ts) <= 5)", _frame(-84, 83).replace("PARTITION BY series", "PARTITION BY series, c")
+    return {
+        "fraw": "SELECT series, ts, load AS a1, LAG(load, 1) OVER w AS a2, LAG(load, 2) OVER w AS a3 FROM hourly WINDOW w AS (PARTITION BY series ORDER BY ts)",
+        "flead": leads,
+        "fsum": """SELECT series, ts, v, arg_min(x, k) FILTER (WHERE x IS NOT NULL) AS best, MIN(k) FILTER (WHERE x IS NOT NULL) AS lead_time,
+            COALESCE(STDDEV_SAMP(x), 0.0) AS spread, CAST(COUNT(x) AS INT) AS n_runs FROM flead GROUP BY 1, 2, 3""",
+        "fl0": " UNION ALL ".join(f"SELECT series, ts, '{n}' AS c, {p} AS x FROM fsum WHERE v = '{v}'" for n, v, p in parts),
+        "fl1": f"SELECT series, ts, c, CASE {' '.join(f"WHEN c = '{c}' AND x NOT BETWEEN {lo} AND {hi} THEN NULL" for c, (lo, hi) in limits.items())} ELSE x END AS x FROM fl0",
+        "fgate": f"SELECT series, c, COALESCE(BOOL_OR({night} AND x > 0), FALSE) AS gate FROM fl1 WHERE c IN ({solar}) GROUP BY 1, 2",
+        "fl2": f"SELECT a.series, ts, a.c, CASE WHEN {night} AND gate THEN 0.0 ELSE x END AS x FROM fl1 a LEFT JOIN fgate g ON a.series = g.series AND a.c = g.c",
+        "fl3": f"SELECT series, ts, c, CASE WHEN c IN ({solar}) AND x < 0 THEN 0.0 ELSE x END AS x FROM fl2",
+        "fmed": f"SELECT series, c, MEDIAN(x) AS med FROM fl3 WHERE c IN ({pressure}) GROUP BY 1, 2",
+        "fl4": "SELECT a.series, ts, a.c, CASE WHEN med > 10000 THEN x / 100 ELSE x END AS x FROM fl3 a LEFT JOIN fmed m ON a.series = m.series AND a.c = m.c",
+        "fl5": f"""SELECT series, ts, c, CASE WHEN ABS(x - LAG(x) OVER (PARTITION BY series, c ORDER BY ts)) > CASE {' '.join(f"WHEN c = '{c}' THEN {d}" for c, d in spikes.items())} END THEN NULL ELSE x END AS x FROM fl4""",
+        "fl6": f"SELECT series, ts, c, CASE WHEN c IN ({', '.join(f"'{c}'" for c in spikes)}) AND COUNT(x) {f} >= 24 AND ABS((x - AVG(x) {f}) / NULLIF(STDDEV_SAMP(x) {f}, 0)) > 4.0 THEN NULL ELSE x END AS x FROM fl5",
+        "fl7": """SELECT a.series, a.ts, a.c, CASE WHEN r.x = 0 AND a.x > 1 THEN 0.0 ELSE a.x END AS x FROM fl6 a LEFT JOIN fl6 r ON a.series = r.series AND a.ts = r.ts
+            AND ((a.c = 'DURSUN_best' AND r.c = 'GLOB_best') OR (a.c = 'pred_sunshine' AND r.c = 'pred_radiation'))""",
+        **{n: v.replace("SELECT series, ts,", "SELECT series, ts, c,").replace("PARTITION BY series ", "PARTITION BY series, c ") for n, v in _interpolation("fl7", "x", 6, "fi").items()},
+        "e2": "SELECT a.*, " + ", ".join(f"b.{v}_{p}" for v in alias for p in ("n_runs", "lead_time")) + " FROM (SELECT series, ts, " + ", ".join(f"MAX(CASE WHEN c = '{n}' THEN x END) AS {n}" for n, _, _ in parts) + " FROM fi5 GROUP BY 1, 2) a JOIN (SELECT series, ts, "
+        + ", ".join(f"MAX(CASE WHEN v = '{v}' THEN {p} END) AS {v}_{p}" for v in alias for p in ("n_runs", "lead_time")) + " FROM fsum GROUP BY 1, 2) b ON a.series = b.series AND a.ts = b.ts",
+    }
+
+
+_E2 = _e2_views()
+_E2_PARTS = [f"{v}_{p}" for v in _VARIABLES for p in ("best", "spread")] + [schemas.FORECAST_ALIASES[v] + p for v in _VARIABLES for p in ("", "_spread")]
+_E2_COUNTS = [f"{v}_{p}" for v in _VARIABLES for p in ("n_runs", "lead_time")]
+
+
+@query("e2_clean_forecast", f"SELECT series, ts, {', '.join(_E2_COUNTS)}, {', '.join(f'ROUND({c}, 5) AS {c}' for c in _E2_PARTS)} FROM e2", **_E2)
+def e2(spark, d):
+    return rounded(clean_jobs.clean_forecast(_forecast_feed(spark, d), K), *_E2_PARTS)
 
 
-_E1 = {
-    "feed": "SELECT series, date_trunc('hour', ts) AS ts, ingest_seq, NULLIF(x, -99999.0) AS load, NULLIF(x, -99999.0) / 2 - 5 AS pv_sion FROM readings_bad",
-    "once": "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, ts ORDER BY ingest_seq) AS rn FROM feed) WHERE rn = 1",
-    "clipped": "SELECT series, ts, load, CASE WHEN pv_sion < 0 THEN 0.0 ELSE pv_sion END AS pv_sion, (hour(ts) >= 21 OR hour(ts) <= 5) AS night FROM once",
-    "gate": "SELECT series, COALESCE(BOOL_OR(night AND pv_sion > 0), FALSE) AS gate FROM clipped GROUP BY 1",
-    "dark": "SELECT c.series, ts, load, CASE WHEN night AND gate THEN 0.0 ELSE pv_sion END AS pv_sion FROM clipped c JOIN gate g ON c.series = g.series",
-    "zed": _zscore_sql("dark", "load", 672, 96, 4.0, "series, ts, CASE WHEN pv_sion BETWEEN 0 AND 40 THEN pv_sion END AS pv_sion"),
-    **_interpolation("zed", "load", 6, "il"),
-    **_interpolation("zed", "pv_sion", 6, "ip"),
-    "both_cols": "SELECT a.series, a.ts, a.load, b.pv_sion FROM il5 a JOIN ip5 b ON a.series = b.series AND a.ts = b.ts",
-    "e1": """SELECT g.series, g.ts, b.load, COALESCE(b.pv_sion, 0.0) AS pv_sion FROM (SELECT series, UNNEST(generate_series(MIN(ts), MAX(ts), INTERVAL 1 HOUR)) AS ts FROM both_cols GROUP BY series) g
-        LEFT JOIN (SELECT series, ts, AVG(load) AS load, SUM(pv_sion) AS pv_sion FROM both_cols GROUP BY 1, 2) b ON g.series = b.series AND g.ts = b.ts""",
-}
+def _changed(rule: str, before: str, after: str, columns: str) -> str:
+    return f"SELECT '{rule}' AS rule, a.c AS \"column\", COUNT(*) FILTER (WHERE a.x IS DISTINCT FROM b.x) AS n FROM {before} a JOIN {after} b ON a.series = b.series AND a.ts = b.ts AND a.c = b.c WHERE {columns} GROUP BY 2"
 
 
-@query("e1_clean_load", "SELECT series, ts, ROUND(load, 5) AS load, ROUND(pv_sion, 5) AS pv_sion, ROUND(pv_sion, 5) AS pv_total FROM e1", **_E1)
-def e1(spark, d):
-    return rounded(clean_jobs.clean_load(_feed(spark, d), K, bounds={"pv_sion": (0, 40)}), "load", "pv_sion", "pv_total")
+_SOLAR = "(a.c LIKE 'GLOB%' OR a.c LIKE 'DURSUN%' OR a.c LIKE 'pred_radiation%' OR a.c LIKE 'pred_sunshine%')"
+_SPIKED = "a.c IN ('T_2M_best', 'pred_temperature', 'PS_best', 'pred_pressure')"
+_FORECAST_REPORT = " UNION ALL ".join([
+    "SELECT 'duplicate' AS rule, 'ts' AS \"column\", COUNT(*) AS n FROM hourly WHERE hour(ts) % 5 = 0",
+    "SELECT 'sentinel', v || '_ctrl_lt' || k, COUNT(*) - COUNT(x) FROM flead GROUP BY 2",
+    _changed("bounds", "fl0", "fl1", "TRUE"), _changed("night", "fl1", "fl2", _SOLAR), _changed("negative", "fl2", "fl3", _SOLAR), _changed("unit", "fl3", "fl4", "(a.c LIKE 'PS%' OR a.c LIKE 'pred_pressure%')"),
+    _changed("spike", "fl4", "fl5", _SPIKED), _changed("zscore", "fl5", "fl6", _SPIKED), _changed("sunshine", "fl6", "fl7", "a.c IN ('DURSUN_best', 'pred_sunshine')"), _changed("filled", "fl7", "fi5", "TRUE"),
+])
 
 
-def _forecast_feed(spark, d) -> DataFrame:
-    """A forecast matrix of three variables and three leads by hour, from the hourly load."""
-    h = S.hourly(spark, d)
-    columns = {"T_2M": (0.4, 0.0), "GLOB": (6.0, -60.0), "PS": (150.0, 90_000.0)}
-    w = grid.by_time(K)
-    leads = {f"{v}_ctrl_lt{k}": F.lag(F.col("load"), k - 1).over(w) * a + b for v, (a, b) in columns.items() for k in (1, 2, 3)}
-    return h.select("series", "ts", F.lit(0).alias("ingest_seq"), *(F.coalesce(e, F.lit(-99999.0)).alias(n) for n, e in leads.items()))
+@query("a24_forecast_report", _FORECAST_REPORT, **_E2)
+def a24_forecast(spark, d):
+    return clean_jobs.forecast_report(_forecast_feed(spark, d), K)
 
 
-@query("e2_clean_forecast")
-def e2(spark, d):
-    return clean_jobs.clean_forecast(_forecast_feed(spark, d), K)
+_MERGED = {**_e1_views("pv_sion"), **_E2, "merged": f"SELECT e1.load, e1.pv_sion, e1.pv_sion AS pv_total, {', '.join(f'e2.{c}' for c in [*_E2_PARTS, *_E2_COUNTS])} FROM e1 FULL JOIN e2 ON e1.series = e2.series AND e1.ts = e2.ts"}
 
 
-@query("e3_merge_and_cover")
+@query("e3_merge_and_cover", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS n_null, ROUND(COUNT({c}) * 100.0 / COUNT(*), 4) AS coverage_pct FROM merged" for c in ["load", "pv_sion", "pv_total", *_E2_PARTS, *_E2_COUNTS]), **_MERGED)
 def e3(spark, d):
     merged = clean_jobs.merge(clean_jobs.clean_load(_feed(spark, d), K, bounds={}), clean_jobs.clean_forecast(_forecast_feed(spark, d), K), K)
-    return metrics.coverage(merged, [c for c in merged.columns if c not in ("series", "ts")])
+    return rounded(clean_jobs.export(merged, files.scratch(spark, "merged"), K)[2], "coverage_pct", digits=4)
+
+
+_E4_END = "2024-01-27"
+_E4_WIDE = _WIDE.replace("FROM obs_long WHERE", f"FROM obs_long WHERE ts < TIMESTAMP '{_E4_END}' AND")
+
+
+def _ingested(spark, d, rule: str):
+    """Chunks of ten days, the last cut at the end date; both measurements by mean or by the feed's rules."""
+    rules = {"click": "mean", "viewed": rule}
+    return clean_jobs.ingest_observations(S.obs_long(spark, d), files.scratch(spark, "observations"), "2024-01-01", _E4_END, ["site"], {"click": "click", "view": "viewed"}, rules, days=10)
+
 
+_E4_MEANS = {"wide_obs": _E4_WIDE, "obs_hours": _OBS_HOURS.replace("ROUND(b.click, 5)", "b.click").replace("ROUND(COALESCE(b.viewed, 0.0), 4)", "b.viewed").replace("SUM(viewed)", "AVG(viewed)")}
 
-@query("e4_observations", _OBS_HOURS, wide_obs=_WIDE)
+
+@query("e4_observations", _OBS_HOURS, wide_obs=_E4_WIDE)
 def e4(spark, d):
-    return _observed(spark, d)
+    return rounded(rounded(_ingested(spark, d, "sum")[0], "click"), "viewed", digits=4)
+
+
+@query("e4_empty_stretches", """SELECT site, MIN(ts) AS start, MAX(COALESCE(nxt, ts)) AS "end" FROM (SELECT *, SUM(new) OVER (PARTITION BY site ORDER BY ts) AS island FROM (
+    SELECT site, ts, click IS NULL AND viewed IS NULL AS empty, LEAD(ts) OVER w AS nxt, CASE WHEN click IS NULL AND viewed IS NULL AND NOT COALESCE(LAG(click IS NULL AND viewed IS NULL) OVER w, FALSE) THEN 1 ELSE 0 END AS new
+    FROM obs_hours WINDOW w AS (PARTITION BY site ORDER BY ts))) WHERE empty GROUP BY site, island""", **_E4_MEANS)
+def e4_stretches(spark, d):
+    return _ingested(spark, d, "mean")[1]
+
+
+@query("e4_coverage", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS n_null, ROUND(COUNT({c}) * 100.0 / COUNT(*), 4) AS coverage_pct FROM obs_hours" for c in ("click", "viewed")), **_E4_MEANS)
+def e4_coverage(spark, d):
+    return rounded(_ingested(spark, d, "mean")[2], "coverage_pct", digits=4)
 
 
 def _predicted(spark, d) -> DataFrame:
@@ -917,6 +1023,11 @@ _E6 = {
 }
 
 
+def _matrix_v2(spark, d) -> DataFrame:
+    obs = S.hourly(spark, d).select("series", "ts", F.col("load").alias("temp_obs"), F.col("pv").alias("radiation_obs"), (F.col("pv") / 2).alias("precip_obs"))
+    return features.matrix_v2(_predicted(spark, d), obs, K, cut=CUT)
+
+
 @query("e6_matrix_v2", f"""SELECT b.series, b.ts, ROUND(SIN(2 * PI() * (hour(lt) + minute(lt) / 60.0) / 24), 6) + 0.0 AS time_of_day_sin, ROUND(COS(2 * PI() * (hour(lt) + minute(lt) / 60.0) / 24), 6) + 0.0 AS time_of_day_cos,
     ROUND(SIN(2 * PI() * dayofyear(lt) / 365.25), 6) + 0.0 AS day_of_year_sin, ROUND(COS(2 * PI() * dayofyear(lt) / 365.25), 6) + 0.0 AS day_of_year_cos, CAST(isodow(lt) AS INT) AS day_of_week,
     CASE WHEN CAST(lt AS DATE) IN (SELECT hd FROM holidays) THEN 1 ELSE 0 END AS is_holiday, ROUND(pv * 2 / 10, 5) AS temp_pred_h, ROUND(pv * 1 / 10, 5) AS irad_pred_h, ROUND(pv * 7 / 10, 5) AS precip_risk_h,
@@ -927,9 +1038,7 @@ _E6 = {
     LEFT JOIN dl d2 ON b.series = d2.series AND b.day = d2.day + 2 LEFT JOIN dl d8 ON b.series = d8.series AND b.day = d8.day + 8
     WHERE load IS NOT NULL AND l48 IS NOT NULL AND d2.m IS NOT NULL AND d8.m IS NOT NULL""", **_holiday_views("hourly", "ts"), **_E6)
 def e6(spark, d):
-    table = _predicted(spark, d)
-    obs = S.hourly(spark, d).select("series", "ts", F.col("load").alias("temp_obs"), F.col("pv").alias("radiation_obs"), (F.col("pv") / 2).alias("precip_obs"))
-    m = features.matrix_v2(table, obs, K, cut=CUT)
+    m = _matrix_v2(spark, d)
     cyclic = [c for c in m.columns if c.endswith(("_sin", "_cos"))]
     m = m.withColumns({c: near(c, 6) + F.lit(0.0) for c in cyclic})
     m = rounded(m, "irad_pred_daily_sum", "precip_obs_J1_sum", digits=4)
@@ -937,14 +1046,75 @@ def e6(spark, d):
     return rounded(m, *(c for c in m.columns if c not in four))
 
 
-@query("e7_baselines", "SELECT name, n, ROUND(mae, 5) AS mae, ROUND(rmse, 5) AS rmse, ROUND(nrmse_pct, 4) AS nrmse_pct FROM board", **_PREDICTIONS)
+_E7 = {
+    **_PREDICTIONS,
+    "long": _PREDICTIONS["long"] + " UNION ALL SELECT series, ts, split, load, 'existing forecast', load * 0.9 FROM preds",
+}
+
+
+@query("e7_baselines", "SELECT name, n, ROUND(mae, 5) AS mae, ROUND(rmse, 5) AS rmse, ROUND(nrmse_pct, 4) AS nrmse_pct, name = (SELECT arg_min(name, rmse) FROM board) AS is_best FROM board", **_E7)
 def e7(spark, d):
-    return rounded(rounded(baselines.scoreboard(S.hourly(spark, d), K, CUT), "mae", "rmse"), "nrmse_pct", digits=4)
+    board = baselines.with_best(baselines.scoreboard(_predicted(spark, d), K, CUT))
+    return rounded(rounded(board, "mae", "rmse"), "nrmse_pct", digits=4)
+
+
+# ---- model --------------------------------------------------------------------------------------
+
+_E8 = {
+    **_E6,
+    "tested": f"""SELECT b.load AS y, b.load * 0.9 AS f, b.l48 AS s, d8.m AS k FROM base b LEFT JOIN dl d2 ON b.series = d2.series AND b.day = d2.day + 2 LEFT JOIN dl d8 ON b.series = d8.series AND b.day = d8.day + 8
+        WHERE load IS NOT NULL AND l48 IS NOT NULL AND d2.m IS NOT NULL AND d8.m IS NOT NULL AND b.ts >= TIMESTAMP '{CUT}'""",
+    "naive": " UNION ALL ".join(f"SELECT '{model.BENCHMARK[n]}' AS name, y, {c} AS pred FROM tested" for n, c in (("load_forecast", "f"), ("load_J1_same_hour", "s"), ("load_J7_mean", "k"))),
+}
+
+
+@query("e8_naive_models", """SELECT name, COUNT(pred) AS n, ROUND(AVG(ABS(y - pred)), 5) AS mae, ROUND(SQRT(AVG((y - pred) * (y - pred))), 5) AS rmse,
+    ROUND(1 - SUM((y - pred) * (y - pred)) / (VAR_POP(y) * COUNT(y)), 5) AS r2 FROM naive GROUP BY 1""", **_E8)
+def e8_naive(spark, d):
+    return rounded(model.naive_measures(_matrix_v2(spark, d)), "mae", "rmse", "r2")
+
+
+_FITS: dict = {}
+
+
+def _fitted(spark, d):
+    """E8's trees on matrix v2 at the production settings, grown once a session and folder, and the
+    rows with their predictions."""
+    rows = model.benchmark_rows(_matrix_v2(spark, d))
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FITS:
+        _FITS[at] = model.fit(rows.where("split = 'train'"), schemas.FEATURES_V2)
+    return _FITS[at], model.predict(_FITS[at], rows, schemas.FEATURES_V2)
+
+
+@query("m1_m2_fit_and_measure")
+def m2(spark, d):
+    return metrics.overfit(metrics.melt_predictions(_fitted(spark, d)[1], "load", {"pred_model": "trees"}, ["split"]))
+
+
+@query("m3_importances")
+def m3(spark, d):
+    return model.importances(_fitted(spark, d)[0], schemas.FEATURES_V2)
+
+
+@query("m4_benchmark")
+def m4(spark, d):
+    return model.benchmark(_fitted(spark, d)[1])[0]
+
+
+@query("m5_week_extract")
+def m5(spark, d):
+    return _fitted(spark, d)[1].where(R.half_open("2024-01-22", "2024-01-29")).select("series", "ts", "load", "pred_model", "load_forecast")
 
 
 @query("e8_model_benchmark")
 def e8(spark, d):
-    return metrics.monthly_gain(_fitted(spark, d)[1].where("split = 'test'"), "load", "pred_model", "lag24")
+    return model.benchmark(_fitted(spark, d)[1])[1]
+
+
+@query("e8_error_histogram")
+def e8_errors(spark, d):
+    return model.benchmark(_fitted(spark, d)[1])[2]
 
 
 _E9_COLUMNS = ["load", "pv_J1_mean", "pv_J1_max", "load_J1_mean", "ratio_J1"]

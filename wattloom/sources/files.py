@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +35,24 @@ def _raw_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return spark.read.csv(path, sep=sep, header=True, inferSchema=False)
 
 
-def read_raw_load(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: the raw load feed (`;`, decimal comma, several null tokens), canonical names."""
+def read_raw_load(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """IO1: the raw load feed (`;`, decimal comma, several null tokens), canonical names; `keys` are
+    text columns that name the series, where a feed holds several."""
     raw = _raw_csv(spark, path, ";")
-    return raw.select(day_first("timestamp").alias("ts"), *(decimal_comma(c).alias(n) for c, n in LOAD_COLUMNS.items() if c in raw.columns))
+    return raw.select(*keys, day_first("timestamp").alias("ts"), *(decimal_comma(c).alias(n) for c, n in LOAD_COLUMNS.items() if c in raw.columns))
 
 
-def read_load(spark: SparkSession, path: str) -> DataFrame:
+def read_load(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """IO2: the imported load feed (`,`, decimal point) under canonical names."""
     raw = _raw_csv(spark, path, ",")
     named = raw.withColumnsRenamed(LOAD_COLUMNS | {"timestamp": "ts"})
-    return named.select(F.col("ts").try_cast("timestamp_ntz").alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in LOAD_COLUMNS.values() if c in named.columns))
+    return named.select(*keys, F.col("ts").try_cast("timestamp_ntz").alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in LOAD_COLUMNS.values() if c in named.columns))
 
 
-def read_forecast(spark: SparkSession, path: str) -> DataFrame:
+def read_forecast(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """IO3: the forecast matrix (`;`, decimal comma, day-first time), one double a lead time."""
     raw = _raw_csv(spark, path, ";")
-    return raw.select(day_first("time_utc").alias("ts"), *(decimal_comma(c).alias(c) for c in raw.columns if c != "time_utc"))
+    return raw.select(*keys, day_first("time_utc").alias("ts"), *(decimal_comma(c).alias(c) for c in raw.columns if c not in ("time_utc", *keys)))
 
 
 OBSERVATION_SCHEMA = T.StructType([
@@ -70,14 +73,33 @@ def write_by_month(rows: DataFrame, path: str, ts: str = "ts") -> None:
     by_month.repartition("month", F.to_date(ts)).sortWithinPartitions(ts).write.option("partitionOverwriteMode", "dynamic").partitionBy("month").mode("overwrite").parquet(path)
 
 
-def read_latest(spark: SparkSession, pattern: str, reader=read_load, by: str = "file_modification_time") -> DataFrame:
-    """IO6: the latest of the files that the glob matches, by time or (by='file_name') by name."""
+def append_chunk(rows: DataFrame, path: str, start: str, stop: str, ts: str = "ts") -> None:
+    """IO5, U1: the rows of [start, stop) as the chunk `start` of a Parquet table.  A chunk that comes
+    again replaces itself; the other chunks stay."""
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, stop))
+    part = rows.where((F.col(ts) >= lo) & (F.col(ts) < hi)).withColumn("chunk", F.lit(start))
+    part.write.option("partitionOverwriteMode", "dynamic").partitionBy("chunk").mode("overwrite").parquet(path)
+
+
+def chunk_bounds(start: str, stop: str, days: int | None = None) -> list[tuple[str, str]]:
+    """IO5: [start, stop) in calendar months, or in steps of `days`; the last one ends at `stop`."""
+    at, end, out = date.fromisoformat(start), date.fromisoformat(stop), []
+    while at < end:
+        after = at + timedelta(days) if days else date(at.year + at.month // 12, at.month % 12 + 1, 1)
+        out.append((at.isoformat(), min(after, end).isoformat()))
+        at = after
+    return out
+
+
+def read_latest(spark: SparkSession, pattern: str, reader=read_load, by: str = "file_modification_time", whole_folder: bool = False) -> DataFrame:
+    """IO6: the latest of the files that the glob matches, by time or (by='file_name') by name;
+    `whole_folder` reads all files beside it, for snapshots of several files."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
     order = F.struct("modificationTime", "path") if by == "file_modification_time" else F.col("path")
     found = files.agg(F.max_by("path", order)).first()[0]
     if found is None:
         raise FileNotFoundError(pattern)
-    return reader(spark, found)
+    return reader(spark, found.rpartition("/")[0] if whole_folder else found)
 
 
 def write_table(rows: DataFrame, path: str, ts: str = "ts", form: str = "parquet") -> None:
@@ -93,5 +115,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session shares with its executors."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="wattloom-")
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="wattloom-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
