@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import random
+import re
+import time
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -64,6 +71,65 @@ def test_spans(chain, text, base, added):
     assert not any(k in pii.redacted(text, spans) for k in ("@c.de", "[at]", "2671"))
 
 
+def plain_spans(text):
+    """The base contract as it is written: the patterns with re, failing matches dropped."""
+    out = []
+    for kind, pattern in pii.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+            good = {
+                "email": True, "ip": all(int(x) <= 255 for x in m.group().split(".") if kind == "ip"),
+                "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans_of_all_documents(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.find_pii(docs).collect():
+        want = plain_spans(texts[r.doc_id])
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
+        assert r.base_sha256 == digest and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, _, k in want) for kind in pii.KINDS]
+        assert set(",".join(f"{k}:{a}:{b}" for a, b, k in want).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_base_spans_of_odd_texts():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choices("a1.@-+ 2(0é", k=rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + "@", "1." * 400_000, "a@" * 400_000, "+1 " * 300_000, "9" * 5_000 + ".1.1.1"])
+def test_long_runs_take_linear_time(text):
+    began = time.time()
+    assert pii.base_spans(text) == [] or text.startswith("1.")
+    assert time.time() - began < 10
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(4)
+    words = ["10", "call", "[at]", "x.y"]
+    names = sorted({n for f in pii.features(words) for n in f} | {n for f in pii.features(words[1:]) for n in f})
+    k = len(pii.TAGS)
+    chain = pii.Chain({n: i for i, n in enumerate(names)}, rng.normal(0, 1, (len(names), k)), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k))
+    sequences = [words, words[1:], words[:1]]
+    for tokens, got in zip(sequences, chain.decode(sequences)):
+        emit = [chain.emit[[chain.index[n] for n in f if n in chain.index]].sum(axis=0) for f in pii.features(tokens)]
+        score = lambda path: chain.first[path[0]] + sum(e[t] for e, t in zip(emit, path)) + sum(chain.move[a, b] for a, b in zip(path, path[1:]))
+        assert tuple(got) == max(itertools.product(range(k), repeat=len(tokens)), key=score)
+
+
+def test_addresses_within_long_digit_runs(chain):
+    for before in range(80, 110):
+        text = "7 " * before + "bob [at] acme [dot] com " + "8 " * 40
+        assert [k for _, _, k in pii.find_spans([text], chain)[0][1]] == ["email"], before
+
+
 def test_overlapping_spans_are_replaced_once():
     assert pii.redacted("ab cd ef", [(0, 5, "card"), (3, 8, "phone")]) == "[CARD]"
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,9 @@ PATTERNS = {
 }
 _BASE = {k: re.compile(p) for k, p in PATTERNS.items()}
 _DIGIT = re.compile("[0-9]")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
 _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*")
 
 #: The labelled table: lines whose marked parts are data of a kind; # stands for a digit to fill in.
@@ -86,29 +90,58 @@ def _luhn(digits: str) -> bool:
 def valid(kind: str, text: str) -> bool:
     """Whether a match of the base pattern passes the kind's own check."""
     if kind == "ip":
-        return all(int(x) <= 255 for x in text.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (n.lstrip("0") for n in text.split(".")))
     if kind in ("card", "phone"):
         digits = "".join(_DIGIT.findall(text))
         return 14 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern: from each at sign back over the local part, so that a long run
+    without one costs nothing."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the ip pattern: four numbers at a time of each chain of numbers and dots."""
+    for m in _CHAIN.finditer(text):
+        numbers = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the base patterns by start, then kind."""
-    kinds = (["email"] if "@" in text else []) + (["ip", "card"] + ["phone"] * ("+" in text) if _DIGIT.search(text) else [])
-    out = [(m.start(), m.end(), k) for k in kinds for m in _BASE[k].finditer(text) if valid(k, m.group())]
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+    """(start, end, kind) of the base patterns by start, then kind, in time linear in the text.  Card
+    and phone matches begin at the first digit of a run and at a plus sign, which no run holds twice."""
+    found = [(a, b, "email") for a, b in _emails(text)]
+    if _DIGIT.search(text):
+        found += [(a, b, "ip") for a, b in _ips(text)]
+        found += [(m.start(), m.end(), k) for k in ("card", "phone") if k == "card" or "+" in text for m in _BASE[k].finditer(text)]
+    return sorted((s for s in found if valid(s[2], text[s[0] : s[1]])), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def written(kind: str, text: str) -> bool:
     """Whether a written-out value, brought to its plain form, is one of its kind."""
+    text = " ".join(text.split())
     if kind == "email":
-        plain = re.sub(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+", "@", text, flags=re.I)
-        plain = re.sub(r"\s*[\[({<]\s*(dot|\.)\s*[\])}>]\s*|\s+dot\s+", ".", plain, flags=re.I)
-        return bool(plain != text and _BASE["email"].fullmatch(plain))
+        plain = re.sub(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s", "@", text, flags=re.I)
+        plain = re.sub(r"\s?[\[({<]\s?(dot|\.)\s?[\])}>]\s?|\sdot\s", ".", plain, flags=re.I)
+        return plain != text and [*_emails(plain)] == [(0, len(plain))]
     if kind == "ip":
-        plain = re.sub(r"\s*[\[({]\s*(\.|dot)\s*[\])}]\s*|\s+\.\s+", ".", text)
-        return bool(plain != text and _BASE["ip"].fullmatch(plain)) and valid("ip", plain)
+        plain = re.sub(r"\s?[\[({]\s?(\.|dot)\s?[\])}]\s?|\s\.\s", ".", text)
+        return plain != text and [*_ips(plain)] == [(0, len(plain))] and valid("ip", plain)
     digits = "".join(_DIGIT.findall(text))
     if kind == "card":
         return bool(re.fullmatch(r"[0-9]{4}(\s?[./]\s?[0-9]{4}){2,3}", text)) and valid("card", text)
@@ -121,20 +154,22 @@ TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 _TOKEN = re.compile(r"\S+")
 _CUE = re.compile(r"[0-9@]|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\bdot\b", re.I)
 _RUNS = [(re.compile("[A-Z]+"), "X"), (re.compile("[a-z]+"), "x"), (re.compile("[0-9]+"), "9"), (re.compile(r"[^\x00-\x7f]+"), "u")]
+#: A part goes on only after its own beginning.
+BARRED = np.array([[-1e4 if b and b % 2 == 0 and (a + 1) // 2 != b // 2 else 0.0 for b in range(len(TAGS))] for a in range(len(TAGS))])
 REACH = 5
 DECODED = 200_000
 
 
 def shape(token: str) -> str:
-    s = token[:40].replace("X", "A").replace("x", "a").replace("9", "0")
+    s = token.replace("X", "A").replace("x", "a").replace("9", "0")
     for run, mark in _RUNS:
         s = run.sub(mark, s)
-    return s[:16]
+    return s
 
 
 def features(tokens: list[str]) -> list[list[str]]:
     shapes = [shape(t) for t in tokens]
-    low = [t.lower().strip(".,;:!?\"'") if len(t) < 12 else "" for t in tokens]
+    low = [t.lower().strip(".,;:!?\"'") for t in tokens]
     digits = [min(sum(map(str.isdigit, t)), 9) for t in tokens]
     at = lambda a, i: a[i] if 0 <= i < len(a) else "^"
     return [
@@ -180,10 +215,20 @@ class Chain:
         return [tags[i, :m] for i, m in enumerate(size)]
 
 
-def labelled_table(copies: int = 6, seed: int = 3) -> list[tuple[list[str], list[int]]]:
-    """The table's lines with digits filled in, as tokens and tags."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(copies):
+def labelled_table(copies: int = 12, seed: int = 3) -> list[tuple[list[str], list[int]]]:
+    """The table's lines with digits filled in, as tokens and tags: once as they stand, then with other
+    names inside the addresses and other words, numbers or nothing around the marked parts."""
+    rng, out, around = np.random.default_rng(seed), [], []
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def name() -> str:
+        return "".join(rng.choice(letters, rng.integers(2, 9)))
+
+    def other(word: str) -> str:
+        kind = rng.integers(0, 4)
+        return (word, str(rng.integers(0, 10 ** int(rng.integers(1, 7)))), name(), str(rng.choice(around or [word])))[kind]
+
+    for copy in range(copies):
         for line in LABELLED.strip().splitlines():
             line = re.sub("#", lambda m: str(rng.integers(1, 10)), line)
             tokens, tags, kind, begun = [], [], None, False
@@ -192,9 +237,18 @@ def labelled_table(copies: int = 6, seed: int = 3) -> list[tuple[list[str], list
                     kind, begun = (None if piece[1] == "/" else piece[1:-1]), False
                     continue
                 for word in piece.split():
+                    if copy and kind == "email" and word.isalpha() and word not in ("at", "dot", "mail", "com", "org", "de", "net"):
+                        word = name()
+                    if kind is None and not copy:
+                        around.append(word)
+                    elif kind is None and "<" in line:
+                        word = other(word)
                     tokens.append(word)
                     tags.append(TAGS.index(f"{'I' if begun else 'B'}-{kind}") if kind else 0)
                     begun = kind is not None
+            lead = int(rng.integers(0, 3)) if copy and tags[0] == 0 and "<" in line else 0
+            while lead and tags[0] == 0 and len(tags) > 1:
+                tokens, tags, lead = tokens[1:], tags[1:], lead - 1
             out.append((tokens, tags))
     return out
 
@@ -216,12 +270,13 @@ def train_chain(rows: list[tuple[list[str], list[int]]], steps: int = 120, ridge
     one = np.eye(k)
     for step in range(1, steps + 1):
         e = w[0][ids].sum(axis=2)
+        move, start = w[1] + BARRED, w[2] + BARRED[0]
         f, b = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        f[:, 0] = w[2] + e[:, 0]
+        f[:, 0] = start + e[:, 0]
         for t in range(1, longest):
-            f[:, t] = np.where(live[:, t, None], lse(f[:, t - 1, :, None] + w[1], 1) + e[:, t], f[:, t - 1])
+            f[:, t] = np.where(live[:, t, None], lse(f[:, t - 1, :, None] + move, 1) + e[:, t], f[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(live[:, t + 1, None], lse(w[1] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
+            b[:, t] = np.where(live[:, t + 1, None], lse(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
         z = lse(f[:, -1], 1)
         p = np.exp(f + b - z[:, None, None]) * live[:, :, None]
         diff = (one[gold] * live[:, :, None] - p) / n
@@ -230,14 +285,14 @@ def train_chain(rows: list[tuple[list[str], list[int]]], steps: int = 120, ridge
         g_emit[-1] = 0
         g_move = np.zeros((k, k))
         for t in range(1, longest):
-            q = np.exp(f[:, t - 1, :, None] + w[1] + (e[:, t] + b[:, t])[:, None, :] - z[:, None, None]) * live[:, t, None, None]
+            q = np.exp(f[:, t - 1, :, None] + move + (e[:, t] + b[:, t])[:, None, :] - z[:, None, None]) * live[:, t, None, None]
             g_move += (one[gold[:, t - 1]][:, :, None] * one[gold[:, t]][:, None, :] * live[:, t, None, None] - q).sum(axis=0) / n
         for i, g in enumerate((g_emit, g_move, diff[:, 0].sum(axis=0))):
             g = g - ridge * w[i]
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             w[i] = w[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    return Chain(index, w[0][:-1], w[1], w[2])
+    return Chain(index, w[0][:-1], w[1] + BARRED, w[2] + BARRED[0])
 
 
 def _regions(text: str) -> list[list[tuple[int, int]]]:
@@ -277,10 +332,23 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The runs that spans in the order of their starts cover."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], chain: Chain) -> list[list[tuple[int, int, str]]]:
-    """Spans of the chain that are valid written-out values and touch no base span."""
+    """Spans of the chain that are valid written-out values and touch no base span.  Regions share no
+    token, so the added spans never touch each other."""
     where = [(i, region) for i, text in enumerate(texts) for region in _regions(text)]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    taken = [_merged(spans) for spans in bases]
     for part in _by_length(where):
         tagged = chain.decode([[texts[i][a:b] for a, b in region] for i, region in part])
         for (i, region), tags in zip(part, tagged):
@@ -291,7 +359,8 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], chain
                     while stop < len(tags) and tags[stop] == 2 * kind:
                         stop += 1
                     a, b = _trimmed(texts[i], region[j][0], region[stop - 1][1])
-                    free = all(b <= x or y <= a for x, y, _ in bases[i]) and all(b <= x or y <= a for x, y, _ in out[i])
+                    before = bisect_left(taken[i], b, key=lambda s: s[0]) - 1  # the last base run that begins before b
+                    free = before < 0 or taken[i][before][1] <= a
                     if free and written(KINDS[kind - 1], texts[i][a:b]):
                         out[i].append((a, b, KINDS[kind - 1]))
                 j = stop
@@ -329,7 +398,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans; repeated or null ids give a row each; offsets are code
     points; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(train_chain(labelled_table()))
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -337,12 +406,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
             for _, texts in _parts(batch.column(1)):
                 for base, spans in find_spans(texts, shared.value):
                     n = [sum(k == kind for _, _, k in base) for kind in KINDS]
-                    out.append((*n, hashlib.sha256(_written_down(base).encode()).hexdigest(), _written_down(spans), len(spans) - len(base)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                    out.append((*n, hashlib.sha256(_written_down(base).encode()).hexdigest(), _written_down(spans), len(spans) - len(base), len(spans)))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
