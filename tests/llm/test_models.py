@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from wattloom.llm import langid, pii, quality, queries, toxicity
+from wattloom.llm.textblocks import blocks, tokenize
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -29,8 +33,52 @@ def test_toxicity_held_out(small):
     toxic = [r.score for r in rows if r.toxic == 1]
     clean = [r.score for r in rows if r.toxic == 0]
     auc = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
-    # some fifty toxic documents to learn from; on the larger tables it is above 0.99 (README)
-    assert auc > 0.7 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    # some thirty toxic documents to learn from, several of them without a toxic word
+    assert auc > 0.75 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+@pytest.mark.parametrize("discount", [0.75, 2.0])
+def test_kneser_ney_ratios_are_those_of_the_formula(spark, discount):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    sample = [(" ".join(rng.choices(words[: 9 + 3 * y], k=rng.randint(0, 20))), y) for y in (0, 1) for _ in range(15)]
+    model = toxicity.compare(toxicity.count_pairs(spark.createDataFrame(sample, "text string, y int").repartition(3)), discount)
+    n = [collections.Counter() for _ in (0, 1)]
+    for text, y in sample:
+        t = text.split()
+        n[y].update(zip(["<s>", *t], t))
+    k = [collections.Counter(w for _, w in n[y]) for y in (0, 1)]
+    types = len(k[0]) + len(k[1]) + 1
+
+    def word_p(w, y):
+        shared = max((w in k[0]) + (w in k[1]), 1) / types
+        return max(k[y][w] - 0.75, 0) / sum(k[y].values()) + 0.75 * len(k[y]) / sum(k[y].values()) * shared
+
+    def pair_p(h, w, y):
+        of = {p: c for p, c in n[y].items() if p[0] == h}
+        if not of:
+            return word_p(w, y)
+        kept = lambda p: max(1 - discount / (n[0][p] + n[1][p]), 0) if n[0][p] + n[1][p] else 0
+        return (n[y][h, w] * kept((h, w)) + sum(c * (1 - kept(p)) for p, c in of.items()) * word_p(w, y)) / sum(of.values())
+
+    for text in ["w0 w1 w2 w11 w10 w3", "w5 nowhere w5", "w0 w0 w0 w9", ""]:
+        t = text.split()
+        want = [math.log(pair_p(h, w, 1) / pair_p(h, w, 0)) for h, w in zip(["<s>", *t], t)]
+        (block,) = blocks(pa.array([text]))
+        got, known = model.ratios(tokenize(block))
+        np.testing.assert_allclose(got, want, rtol=1e-5, atol=1e-6)
+        assert known.tolist() == [w in k[0] or w in k[1] for w in t]
+    for y in (0, 1):  # and they are probabilities: over all words, with the place of the unseen ones
+        total = sum(pair_p("w0", w, y) for w in {*k[0], *k[1]})
+        unseen = (1 - total) / (1 / types * 0.75 * len(k[y]) / sum(k[y].values()))
+        assert 0 < total < 1 and 0 < unseen <= 1
+
+
+def test_labels_of_one_class_give_their_share(spark):
+    docs = spark.createDataFrame([(i, f"word{i} here") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int")
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert len({r.score for r in rows}) == 1 and rows[0].score > 0.9 and all(r.predicted == 1 for r in rows)
 
 
 def test_quality_held_out(small):

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+def bounded_texts(sample: DataFrame, size: Column, limit: int) -> DataFrame:
+    """Of a stored labelled sample (doc_id, text, y, ...): for each y, texts in the order of a hash of
+    the id until their sizes add up to `limit`; a text of more than a quarter of that is passed over."""
+    sized = sample.select("doc_id", "y", size.cast("long").alias("size")).where(F.col("size") <= limit // 4)
+    before = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit("bound")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = sized.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= limit).select("doc_id").distinct()
+    return sample.join(ids, "doc_id", "left_semi")
+
+
 def at_most(rows: DataFrame, count: str, limit: int, parts: int = 1024) -> int:
     """The least c >= 1 for which no more than `limit` rows have count >= c, exact for any counts.
 

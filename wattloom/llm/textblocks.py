@@ -152,3 +152,29 @@ def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]], zero where empty."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+class Places:
+    """Places of 64-bit keys, all different and as good as random, in their sorted table: the leading
+    bits give a short range, which is walked."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << int(64 - int(self.shift)))
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each h (0 where it is not there), and whether it is there."""
+        b = (h >> self.shift).astype(np.int64)
+        at, stop = self.first[b], self.first[b + 1]
+        place, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        rest = np.flatnonzero(at < stop)
+        while len(rest):
+            here = self.keys[at[rest]] == h[rest]
+            hit = rest[here]
+            place[hit], known[hit] = at[hit], True
+            rest = rest[~here]
+            at[rest] += 1
+            rest = rest[at[rest] < stop[rest]]
+        return place, known

@@ -1,9 +1,15 @@
 """Toxicity: two class-conditional Kneser-Ney bigram models over shared backoff counts.
 
-Spark counts the words and word pairs of the labelled training documents by class.  Each class has a
-discounted bigram model that backs off to its discounted continuation unigrams, and those back off to
-one distribution that both classes share (in how many classes a word occurs), so that an expression
-too rare to judge weighs the same on both sides.  A document's length-normalised log-likelihoods are compared; a logistic curve, fitted on
+Spark counts the word pairs of the labelled training documents by class; a start stands before the
+first word.  Each class has an interpolated bigram model: discounted counts of the pair, then how many
+different words a word follows, and below that one distribution that both classes share (in how many
+classes a word occurs), so that an expression too rare to judge weighs the same on both sides.  All
+pairs of the sample count, however rare.  The discount of pairs is large and taken from the count of
+both classes together, from each in proportion: what has not been said more often is judged by its
+words, and a passage that both classes copied stays even.  The sample is bounded in words, and so are
+the tables.
+
+A document's two log-likelihoods are compared, normalised by its length; a logistic curve, fitted on
 labelled documents that the counts never saw, turns the comparison into a probability.
 """
 
@@ -14,54 +20,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, batches, id_fold, labelled_sample, whole_text
-from .textblocks import Tokens, blocks, mix64, sum_by, tokenize
+from .common import batches, bounded_texts, id_fold, labelled_sample, stored, whole_text
+from .textblocks import Places, Tokens, blocks, mix64, sum_by, tokenize
 
 PER_CLASS = 8_000
-WORDS = 1 << 17
-PAIRS = 1 << 18
-DISCOUNT = 0.75
-LEAST_PAIR = 20
+WORDS_A_CLASS = 1 << 20
+WORD_DISCOUNT = 0.75
+PAIR_DISCOUNT = 20.0
 STRONG = (3.0, 1.5)
 FEATURES = 4 + 2 * len(STRONG)
 REJECT_AT = 0.7
 START = np.uint64(0x5AD0)
 
 
-def _pair_hash(t: Tokens) -> np.ndarray:
-    """Fingerprint of each word after the word before it; the first has a start before it."""
+def _pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint of each word after the word before it (a start before the first), and the latter."""
     before = np.empty_like(t.hash)
     before[1:] = t.hash[:-1]
     before[t.bounds[:-1][np.diff(t.bounds) > 0]] = START
     return mix64(before * np.uint64(3) + mix64(t.hash)), before
 
 
-def _count_grams(sample: DataFrame) -> DataFrame:
-    """(kind, g, h, w, y, n): counts of words (0) and of pairs (1) by class; h and w are a pair's words."""
+def count_pairs(sample: DataFrame) -> DataFrame:
+    """(g, h, w, n0, n1): how often the word w follows h in the texts of each class (text, y)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(0)):
                 t = tokenize(block)
-                pair, before = _pair_hash(t)
+                pair, before = _pairs_of(t)
                 y = label[block.row + t.doc]
-                for kind, g in ((0, t.hash), (1, pair)):
-                    for c in (0, 1):
-                        of = np.flatnonzero(y == c)
-                        u, first, n = np.unique(g[of], return_index=True, return_counts=True)
-                        at = of[first]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (u, before[at], t.hash[at])), pa.array(np.full(len(u), c, np.int32)), pa.array(n)],
-                            ["kind", "g", "h", "w", "y", "n"],
-                        )
+                u, first, of = np.unique(pair, return_index=True, return_inverse=True)
+                n = [np.bincount(of, y == c, len(u)).astype(np.int64) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, before[first], t.hash[first], *n)], ["g", "h", "w", "n0", "n1"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "kind int, g long, h long, w long, y int, n long")
-    n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}")
-    return rows.groupBy("kind", "g").agg(F.min("h").alias("h"), F.min("w").alias("w"), n(0), n(1)).withColumn("n", F.col("n0") + F.col("n1"))
+    rows = sample.select("text", "y").mapInArrow(run, "g long, h long, w long, n0 long, n1 long")
+    return rows.groupBy("g").agg(F.min("h").alias("h"), F.min("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass
@@ -71,23 +69,39 @@ class Comparison:
 
     words: np.ndarray
     word_ratio: np.ndarray
-    backoff_ratio: np.ndarray
     unseen_ratio: float
+    before: np.ndarray
+    backoff_ratio: np.ndarray
     pairs: np.ndarray
     pair_ratio: np.ndarray
     weights: np.ndarray | None = None
     scale: np.ndarray | None = None
+    constant: float = 0.5
+
+    def places(self) -> tuple[Places, Places, Places]:
+        if not hasattr(self, "_places"):
+            self._places = tuple(Places(k) for k in (self.words, self.before, self.pairs))
+        return self._places
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}
+
+    def ratios(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The log-ratio of every word after the word before it, and which words were counted."""
+        words, befores, pairs = self.places()
+        pair, before = _pairs_of(t)
+        at, known = words.find(t.hash)
+        ratio = np.where(known, self.word_ratio[at] if len(self.words) else 0.0, self.unseen_ratio)
+        back, has = befores.find(before)
+        ratio[has] += self.backoff_ratio[back[has]]
+        place, paired = pairs.find(pair)
+        ratio[paired] = self.pair_ratio[place[paired]]
+        return ratio, known
 
     def features(self, t: Tokens) -> np.ndarray:
         """Of each document: mean ratio, ratio over the root of the length, log length, share of
         unseen words, and the evidence of strong expressions, by length and in all."""
-        pair, before = _pair_hash(t)
-        at, known = _find(self.words, t.hash)
-        ratio = np.where(known, self.word_ratio[at], self.unseen_ratio)
-        back, has = _find(self.words, before)
-        ratio += np.where(has, self.backoff_ratio[back], 0.0)
-        pat, paired = _find(self.pairs, pair)
-        ratio = np.where(paired, self.pair_ratio[pat], ratio)
+        ratio, known = self.ratios(t)
         n = np.diff(t.bounds)
         total = sum_by(ratio, t.bounds)
         m = np.maximum(n, 1)
@@ -99,58 +113,40 @@ class Comparison:
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.zeros(len(features))
+            return np.full(len(features), self.constant)
         x = (features - self.scale[0]) / self.scale[1]
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
-
-
-def compare(grams: DataFrame) -> Comparison:
-    """Kneser-Ney models of both classes from the counts; tables of at most WORDS and PAIRS rows."""
-    words, pairs = grams.where("kind = 0"), grams.where("kind = 1")
-    kept = words.where(F.col("n") >= at_most(words, "n", WORDS)).select("g", "n0", "n1").toPandas()
-    top = pairs.where(F.col("n") >= max(LEAST_PAIR, at_most(pairs, "n", PAIRS))).select("g", "h", "w", "n0", "n1").toPandas()
-    # continuation counts of a word: in how many different pairs it is the second one
-    cont = pairs.groupBy("w").agg(*(F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"k{y}") for y in (0, 1)))
-    cont = cont.where(F.col("k0") + F.col("k1") >= at_most(cont.withColumn("k", F.col("k0") + F.col("k1")), "k", WORDS)).toPandas()
-    sums = pairs.agg(*(F.coalesce(F.sum((F.col(f"n{y}") > 0).cast("long")), F.lit(0)) for y in (0, 1))).first()
-
-    kept = kept.merge(cont, left_on="g", right_on="w", how="left").fillna({"k0": 0, "k1": 0})
-    g = kept["g"].to_numpy().view(np.uint64) if len(kept) else np.zeros(1, np.uint64)
-    if not len(kept):
-        return Comparison(g, np.zeros(1), np.zeros(1), 0.0, g, np.zeros(1))
-    order = np.argsort(g)
-    kept, g = kept.iloc[order], g[order]
-    # the lowest level counts in how many classes a word occurs, as Kneser-Ney does with histories
-    types = words.agg(F.sum((F.col("n0") > 0).cast("long") + (F.col("n1") > 0).cast("long"))).first()[0] + 1.0
-    shared = ((kept["n0"] > 0).to_numpy(int) + (kept["n1"] > 0).to_numpy(int)) / types
-    unseen_shared = 1.0 / types
-    p, unseen, lam = [], [], []
-    for y in (0, 1):
-        k = kept[f"k{y}"].to_numpy(float)
-        all_k = float(sums[y]) + 1
-        spare = 1 - np.maximum(k - DISCOUNT, 0).sum() / all_k
-        p.append(np.maximum(k - DISCOUNT, 0) / all_k + spare * shared)
-        unseen.append(spare * unseen_shared)
-    at_h, has_h = _find(g, top["h"].to_numpy().view(np.uint64))
-    at_w, has_w = _find(g, top["w"].to_numpy().view(np.uint64))
-    ok = has_h & has_w
-    top, at_h, at_w = top[ok], at_h[ok], at_w[ok]
-    pair_p = []
-    for y in (0, 1):
-        n, of = top[f"n{y}"].to_numpy(float), np.maximum(kept[f"n{y}"].to_numpy(float), 1)
-        held = np.bincount(at_h, np.maximum(n - DISCOUNT, 0), len(g))
-        back = np.clip(1 - held / of, 1e-3, 1)
-        lam.append(back)
-        pair_p.append(np.maximum(n - DISCOUNT, 0) / of[at_h] + back[at_h] * p[y][at_w])
-    pg = top["g"].to_numpy().view(np.uint64)
-    order = np.argsort(pg)
-    ratio = np.log(pair_p[1] / pair_p[0])[order] if len(pg) else np.zeros(1)
-    return Comparison(g, np.log(p[1] / p[0]), np.log(lam[1] / lam[0]), float(np.log(unseen[1] / unseen[0])), pg[order] if len(pg) else np.zeros(1, np.uint64), ratio)
+def _sorted_columns(rows: DataFrame, key: str, value: Column) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.select(key, value.cast("float").alias("v")).toArrow()
+    keys = got.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column(1).to_numpy()[order].astype(np.float64)
+
+
+def compare(pairs: DataFrame, pair_discount: float = PAIR_DISCOUNT, word_discount: float = WORD_DISCOUNT) -> Comparison:
+    """Kneser-Ney models of both classes from the counts of pairs, as tables of their log-ratios.
+
+    A pair that both classes together have no more often than the discount has just the ratio of
+    backing off, so the table of pairs need not hold it."""
+    each = lambda name, f: [f(y).alias(f"{name}{y}") for y in (0, 1)]
+    seen = lambda y: F.sum((F.col(f"n{y}") > 0).cast("long"))
+    left = F.greatest(1 - pair_discount / (F.col("n0") + F.col("n1")), F.lit(0.0))
+    held = lambda y: F.sum(F.col(f"n{y}") * (1 - left))
+    histories = stored(pairs.groupBy("h").agg(*each("s", lambda y: F.sum(f"n{y}")), *each("d", held)), "tox-histories")
+    words = stored(pairs.groupBy("w").agg(*each("k", seen)), "tox-words")
+    known = lambda y: (F.col(f"k{y}") > 0).cast("long")
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("k0"), F.col("k1"), known(0), known(1)))).first()
+    places = total[2] + total[3] + 1  # one is left for all words that neither class has
+    spare = [word_discount * total[2 + y] / total[y] if total[y] else 1.0 for y in (0, 1)]
+    unseen = float(np.log(spare[1] / spare[0]))
+    lowest = (known(0) + known(1)) / F.lit(float(places))
+    word_p = [F.greatest(F.col(f"k{y}") - word_discount, F.lit(0.0)) / float(max(total[y], 1)) + spare[y] * lowest for y in (0, 1)]
+    back = [F.when(F.col(f"s{y}") > 0, F.col(f"d{y}") / F.col(f"s{y}")).otherwise(1.0) for y in (0, 1)]
+    both = pairs.where(F.col("n0") + F.col("n1") > pair_discount).join(histories, "h").join(words, "w")
+    pair_p = [F.when(F.col(f"s{y}") > 0, F.col(f"n{y}") * left / F.col(f"s{y}")).otherwise(0.0) + back[y] * word_p[y] for y in (0, 1)]
+    return Comparison(*_sorted_columns(words, "w", F.log(word_p[1] / word_p[0])), unseen, *_sorted_columns(histories, "h", F.log(back[1] / back[0])), *_sorted_columns(both, "g", F.log(pair_p[1] / pair_p[0])))
 
 
 def _map_features(docs: DataFrame, model: Comparison, keep: list[str], schema: str, finish) -> DataFrame:
@@ -180,11 +176,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Comparison:
-    """The models and the curve, from labelled documents whose id fold is not `held`."""
-    sample = labelled_sample(docs, labels, "toxic", id_fold("doc_id", folds) != held, per_class, 1.5)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS, words_a_class: int = WORDS_A_CLASS) -> Comparison:
+    """The models and the curve, from labelled documents whose id fold is not `held`: at most
+    `per_class` of a class and 1.5 times the smaller class, with at most `words_a_class` words."""
+    sample = stored(labelled_sample(docs, labels, "toxic", id_fold("doc_id", folds) != held, per_class, 1.5), "tox-sample")
+    sample = stored(bounded_texts(sample, F.size(F.split("text", r"[ \t\n\x0b\f\r]+")), words_a_class), "tox-bounded")
     sample = sample.withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0)
-    model = compare(_count_grams(sample.where(~F.col("calibrate"))))
+    model = compare(stored(count_pairs(sample.where(~F.col("calibrate"))), "tox-pairs"))
 
     def finish(model: Comparison, f: np.ndarray) -> dict[str, pa.Array]:
         return {f"f{i}": pa.array(f[:, i]) for i in range(FEATURES)}
@@ -194,6 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per
     if len(set(y)) == 2:
         model.scale = np.array([x.mean(axis=0), x.std(axis=0) + 1e-9])
         model.weights = fit_logistic((x - model.scale[0]) / model.scale[1], y, np.ones(len(y)))
+    else:
+        count = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+        model.constant = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
     return model
 
 
@@ -201,7 +202,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """(doc_id, held_out, score, predicted) of every whole text.
 
     Null and empty texts are scored as texts without words; repeated or null ids give a row each;
-    without labels of both classes all scores are 0; other columns are ignored."""
+    where the labels leave only one class to calibrate on, all scores are its smoothed share; other
+    columns are ignored."""
     model = train(docs, labels, folds, held)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_fold("doc_id", folds) == held).alias("held_out"))
     return _map_features(rows, model, ["doc_id", "held_out"], "doc_id long, held_out boolean, score double, predicted int", _decide)
@@ -213,7 +215,10 @@ def _decide(model: Comparison, f: np.ndarray) -> dict[str, pa.Array]:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is not rejected as toxic."""
+    """The rows of docs, with all their columns, whose text is not rejected as toxic.
+
+    Null and empty texts are judged as texts without words; repeated rows meet the same fate; an empty
+    table stays empty."""
     model = train(docs, labels, folds, held)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
