@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wattloom.llm import common, lm, mixing, pii
+from wattloom.llm import common, mixing, pii
 
 
 @pytest.mark.parametrize("limit", [0, 1, 5, 512, 599, 600, 700])
@@ -16,14 +16,6 @@ def test_at_most_is_exact_above_a_million(spark, limit):
     assert over(least) <= limit and (least == 1 or over(least - 1) > limit)
 
 
-def test_words_over_a_million_times_do_not_overflow_the_head(spark):
-    counts = spark.createDataFrame([(h, h % lm.TAIL, 2_000_000 + h) for h in range(900)], "h long, cls int, c long")
-    lex = lm.lexicon(counts)
-    head = lex.word_class[lex.word_class < lm.HEAD]
-    assert len(lex.hash) == 900 and lex.word_class.max() < lm.END
-    assert np.array_equal(np.sort(head), np.arange(lm.HEAD)) and lex.class_types.sum() == 900 - lm.HEAD
-
-
 @pytest.mark.parametrize("tokens", [94, 95, 96, 191, 5_000])
 def test_written_data_anywhere_in_a_long_region(tokens):
     chain = pii.train_chain(pii.labelled_table())

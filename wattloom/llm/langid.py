@@ -1,8 +1,8 @@
 """Language ID: a byte convolutional network over fixed-length windows.
 
 Byte embeddings feed filters of several widths; the greatest response of each filter in a window goes
-to a softmax over the languages.  Training is numpy with Adam on windows of a bounded sample of
-documents.  All windows of a text are scored in batches, and their probabilities are averaged by
+to a softmax over the languages.  Training is numpy with Adam on windows that a hash draws from all
+windows of each language, at most WINDOWS_A_LANGUAGE and fewer where there are very many languages.  All windows of a text are scored in batches, and their probabilities are averaged by
 their lengths.  Because a filter of width k over embedded bytes is a sum of k table look-ups, scoring
 adds rows of byte-pair tables instead of multiplying matrices for every byte.
 """
@@ -18,15 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_fold, whole_text
-from .textblocks import Block, blocks
+from .textblocks import Block, blocks, mix64
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-PER_LANGUAGE = 1_500
-LANGUAGES = 500
-WINDOWS_PER_TEXT = 6
+WINDOWS_A_LANGUAGE = 9_000
+ALL_WINDOWS = 450_000
 STEPS = 900
 UNKNOWN = "und"
 
@@ -124,30 +123,27 @@ def train_net(windows: np.ndarray, y: np.ndarray, languages: list[str], seed: in
     return net
 
 
-def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> ByteNet | None:
-    """A net from a hashed sample of about `per_language` documents of each of the LANGUAGES commonest
-    languages, of the rows whose id fold is not `held`; None without any."""
-    rows = docs.where(F.col("lang").isNotNull() & (id_fold("doc_id", folds) != held)).select(F.col("lang").cast("string").alias("lang"), "doc_id", whole_text().alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+def train(docs: DataFrame, folds: int = 3, held: int = 1, windows: int = WINDOWS_A_LANGUAGE) -> ByteNet | None:
+    """A net of all languages of the rows whose id fold is not `held`, from about `windows` windows of
+    each, any windows of their texts (ALL_WINDOWS over all languages); None without any."""
+    rows = docs.where(F.col("lang").isNotNull() & (id_fold("doc_id", folds) != held)).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("seed"), whole_text().alias("text"))
+    counts = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).where("n > 0").collect()
     if not counts:
         return None
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
+    limit = max(1, min(windows, ALL_WINDOWS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, limit / r.n)) for r in counts], "lang string, share double")
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batches_in):
-            for block in blocks(batch.column(1)):
+            seed, part = batch.column(1).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+            for block in blocks(batch.column(2)):
                 w, doc, _ = windows_of(block)
-                if not len(w):
-                    continue
-                first = np.searchsorted(doc, doc)
-                count = np.bincount(doc)[doc]
-                step = np.maximum(count // WINDOWS_PER_TEXT, 1)
-                nth = np.arange(len(doc)) - first
-                take = (nth % step == 0) & (nth // step < WINDOWS_PER_TEXT)
+                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                drawn = mix64(seed[block.row + doc] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+                take = drawn.astype(np.float64) * 2.0**-53 < part[block.row + doc]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.row + doc[take])), pa.array([x.tobytes() for x in w[take]], pa.binary())], ["lang", "w"])
 
-    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    got = chosen.select("lang", "text").mapInArrow(run, "lang string, w binary").toPandas()
+    got = rows.join(F.broadcast(share), "lang").select("lang", "seed", "text", "share").mapInArrow(run, "lang string, w binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "w"], kind="stable")  # the same net whatever the order of arrival

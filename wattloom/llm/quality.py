@@ -166,6 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     net = Network(vectors, [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], np.zeros(width), np.ones(width))
     if not len(y):
         return net
+    if hold.all():  # too few to keep some for the temperature
+        hold = np.zeros(len(y), bool)
     net.mean, net.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     net.weights = train_network((x[~hold] - net.mean) / net.spread, y[~hold])
     shares = {r.y: r["count"] for r in one_label(labels, "quality").where(learn).groupBy("y").count().collect()}
