@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -120,6 +121,26 @@ def brute_removed(raws, length=200):
         yield gone
 
 
+def test_pieces_of_a_long_text_hold_every_window_once(monkeypatch):
+    text = " ".join(f"w{i * i % 997}" for i in range(900)) + "x" * 700
+    column, tids = pa.array(["a" * 300, text, "b"]), np.array([5, 6, 7])
+    monkeypatch.setattr(repeats, "blocks", functools.partial(blocks, limit=1))
+    found = []
+    for piece in (8_000_000, 250):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        windows = {}
+        for block, tid, fresh, base in repeats._pieces(tids, column, {7}):
+            a = repeats.anchors(block)
+            assert fresh.tolist() == [tid[0] != 7]
+            for d, start, count, shift in zip(a.doc, a.start, a.count, a.shift):
+                for i in range(count):
+                    at = (int(tid[d]), base + int(start) + i)
+                    assert at not in windows
+                    windows[at] = base + int(start + shift)  # the anchor's place
+        found.append(windows)
+    assert found[0] == found[1] and len(found[0]) == 101 + len(text) - 199
+
+
 @pytest.mark.parametrize("hot", [2_000, 1])
 def test_repeated_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -140,6 +161,35 @@ def test_repeated_passages(spark, monkeypatch, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raws[i]), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_plain_doubling_finds_the_same_spans(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 7))) for _ in range(n))
+    shared = text(70)
+    rows = [text(rng.randint(0, 60)) for _ in range(8)] + [text(5) + shared + text(9), shared[30:] + text(4), "ab" * 150, ""]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "tid long, text string").repartition(3)
+    for spans in (repeats.doubled_spans(texts), repeats.repeated_spans(texts.where("octet_length(text) >= 200"))):
+        cover = {i: np.zeros(len(t.encode()), bool) for i, t in enumerate(rows)}
+        for r in spans.collect():
+            cover[r.tid][r.start : r.stop] = True
+        for i, gone in enumerate(brute_removed([t.encode() for t in rows])):
+            assert cover[i].tolist() == gone.tolist(), i
+
+
+def test_names_tell_patterned_bytes_apart():
+    from wattloom.llm import textblocks as tb
+
+    thue = [bin(i).count("1") % 2 for i in range(4096)]
+    a = bytes(97 + x for x in thue)
+    data = np.frombuffer(a + bytes(195 - x for x in a) + b" ", np.uint8)
+    t = tb.token_hashes(data, np.array([0, 4096]), np.array([4096, 8192]))
+    n = tb.name_ranges(tb.names(data), np.array([0, 4096]), np.array([4096, 8192]))
+    assert t[0] != t[1] and n[0] != n[1]
+    starts = np.arange(len(data) - 63)
+    seen = {}
+    for i, h in zip(starts.tolist(), tb.names(data).tolist()):
+        assert seen.setdefault(h, data[i : i + 64].tobytes()) == data[i : i + 64].tobytes()
+
+
 def shingles(text):
     t = tokens(text)
     return collections.Counter(tuple(t[j : j + 5]) for j in range(max(1, len(t) - 4))) if t else collections.Counter()

@@ -1,7 +1,8 @@
 """Repeated passages: every byte that a LENGTH-byte string covers which also starts anywhere else.
 
-Prefix doubling ranks strings by ever longer prefixes and drops positions whose rank is unique.  A
-rank for every byte would be many times the input, so the doubling runs over sampled positions: in
+Prefix doubling ranks strings by ever longer prefixes and drops positions whose rank is unique;
+`doubled_spans` does just that with Spark, over every position.  A rank for every byte is many times the
+input, so `repeated_spans` names the bytes by doubling within a text and ranks sampled positions: in
 every LENGTH-byte window the PREFIX-byte string with the least hash (leftmost if tied) is its anchor,
 and equal windows have equal anchors in the same place.  So
 
@@ -24,17 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, stored, whole_text
-from .textblocks import Block, blocks, fingerprints, mix64, prefix_sums, text_buffers
+from .textblocks import NAMED, Block, blocks, mix64, name_ranges, names, text_buffers
 
 LENGTH = 200
-PREFIX = 64
+PREFIX = NAMED
 FILTER_MB = 32
 HOT = 2_000
-_POSITION_BITS = np.uint64(28)
+PIECE = 8_000_000
+_POSITION_BITS = np.uint64(24)
 
 
 @dataclass
@@ -50,16 +52,14 @@ class Anchors:
     whole: np.ndarray
 
 
-def anchors(block: Block, length: int = LENGTH, prefix: int = PREFIX) -> Anchors:
+def anchors(block: Block, length: int = LENGTH) -> Anchors:
+    prefix = NAMED
     n, windows = len(block.data), length - prefix + 1
     if n < length:
         return Anchors(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    sums = prefix_sums(block.data)
+    h = names(block.data)
     at = np.arange(n - prefix + 1)
-    h = fingerprints(sums, at, at + prefix)
     low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
-    if n > int(low):
-        raise ValueError("a text of more than 256 MB")
     least, span = (h & ~low) | at.astype(np.uint64), 1
     size = n - length + 1
     while 2 * span <= windows:
@@ -75,7 +75,7 @@ def anchors(block: Block, length: int = LENGTH, prefix: int = PREFIX) -> Anchors
     count = np.diff(np.append(start, size))
     start, count = start[inside[start]], count[inside[start]]
     shift = anchor[start] - start
-    whole = mix64(fingerprints(sums, start, start + count - 1 + length) + mix64(shift.astype(np.uint64)))
+    whole = mix64(name_ranges(h, start, start + count - 1 + length) + mix64(shift.astype(np.uint64)))
     return Anchors(doc[start], start, count, shift, h[anchor[start]], whole)
 
 
@@ -119,6 +119,20 @@ def _fresh(tid: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array([not (x in seen or seen.add(x)) for x in tid.tolist()], bool)
 
 
+def _pieces(tids: np.ndarray, texts: pa.Array, seen: set[int]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, int]]:
+    """Blocks of texts, their tids, which of them are new to the task, and where in its text a block
+    begins: long texts come in pieces that share LENGTH - 1 bytes, so that every window is in one."""
+    for block in blocks(texts):
+        tid = tids[block.row : block.row + len(block)]
+        fresh = _fresh(tid, seen)
+        if len(block.data) <= PIECE + LENGTH:
+            yield block, tid, fresh, 0
+            continue
+        for lo in range(0, len(block.data) - LENGTH + 1, PIECE):
+            data = block.data[lo : lo + PIECE + LENGTH - 1]
+            yield Block(block.row, data, np.array([0, len(data)])), tid, fresh, lo
+
+
 def _position(tid: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix64(tid.view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
@@ -130,12 +144,11 @@ def _ranked(texts: DataFrame) -> DataFrame:
         for batch in batches(rows):
             seen: set[int] = set()
             tids = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1)):
-                tid = tids[block.row : block.row + len(block)]
+            for block, tid, fresh, base in _pieces(tids, batch.column(1), seen):
                 a = anchors(block)
-                ok = _fresh(tid, seen)[a.doc]
+                ok = fresh[a.doc]
                 doc, start, prefix = a.doc[ok], a.start[ok], a.prefix[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(_position(tid[doc], start - block.offsets[doc]))], ["prefix", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(_position(tid[doc], base + start - block.offsets[doc]))], ["prefix", "at"])
 
     return texts.mapInArrow(run, "prefix long, at long")
 
@@ -151,13 +164,12 @@ def _survivors(texts: DataFrame, repeated: Filter) -> DataFrame:
         for batch in batches(rows):
             seen: set[int] = set()
             tids = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1)):
-                tid = tids[block.row : block.row + len(block)]
+            for block, tid, fresh, base in _pieces(tids, batch.column(1), seen):
                 a = anchors(block)
-                ok = _fresh(tid, seen)[a.doc]
+                ok = fresh[a.doc]
                 ok[ok] = shared.value.has(a.prefix[ok])
                 doc, start = a.doc[ok], a.start[ok]
-                local = (start - block.offsets[doc]).astype(np.int32)
+                local = (base + start - block.offsets[doc]).astype(np.int32)
                 out = [a.prefix[ok].view(np.int64), a.whole[ok].view(np.int64), tid[doc], local, a.count[ok].astype(np.int32), a.shift[ok].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["prefix", "whole", "tid", "start", "count", "shift"])
 
@@ -178,17 +190,16 @@ def _surroundings(texts: DataFrame, mixed: Filter, hot: Filter) -> DataFrame:
             seen: set[int] = set()
             met: set[int] = set()
             tids = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1)):
-                tid = tids[block.row : block.row + len(block)]
+            for block, tid, fresh, base in _pieces(tids, batch.column(1), seen):
                 a = anchors(block)
-                ok = _fresh(tid, seen)[a.doc]
+                ok = fresh[a.doc]
                 ok[ok] = mixed.has(a.whole[ok])
                 ok = np.flatnonzero(ok)
                 ok = ok[_fresh(a.whole[ok], met)] if len(ok) else ok
                 is_hot = hot.has(a.prefix[ok])
                 raw = block.data.tobytes()
                 one, each = ok[~is_hot], ok[is_hot]
-                local = a.start[one] - block.offsets[a.doc[one]]
+                local = base + a.start[one] - block.offsets[a.doc[one]]
                 parts = [raw[s : s + c - 1 + LENGTH] for s, c in zip(a.start[one].tolist(), a.count[one].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a.prefix[one].view(np.int64)), pa.array(np.zeros(len(one), bool)), pa.array(tid[a.doc[one]]), pa.array(local.astype(np.int32)), pa.array(a.shift[one].astype(np.int32)), pa.array(parts, pa.binary())],
@@ -198,10 +209,10 @@ def _surroundings(texts: DataFrame, mixed: Filter, hot: Filter) -> DataFrame:
                     count = a.count[each]
                     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     start, doc = np.repeat(a.start[each], count) + nth, np.repeat(a.doc[each], count)
-                    rank = fingerprints(prefix_sums(block.data), start, start + LENGTH)
+                    rank = name_ranges(names(block.data), start, start + LENGTH)
                     n = len(start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rank.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(tid[doc]), pa.array((start - block.offsets[doc]).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())],
+                        [pa.array(rank.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(tid[doc]), pa.array((base + start - block.offsets[doc]).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())],
                         ["key", "hot", "tid", "start", "shift", "bytes"],
                     )
 
@@ -218,7 +229,7 @@ def _window_runs(keys: np.ndarray, tid: np.ndarray, start: np.ndarray, column: p
     row = np.repeat(np.arange(len(count)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = block.offsets[row] + nth
-    rank = mix64(fingerprints(prefix_sums(block.data), at, at + LENGTH) + mix64(keys[row].view(np.uint64)))
+    rank = mix64(name_ranges(names(block.data), at, at + LENGTH) + mix64(keys[row].view(np.uint64)))
     _, which, times = np.unique(rank, return_inverse=True, return_counts=True)
     twice = times[which] > 1
     edge = np.ones(len(row), bool)
@@ -289,6 +300,35 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return same.unionByName(few).unionByName(many)
 
 
+def doubled_spans(texts: DataFrame, length: int = LENGTH, first: int = 25) -> DataFrame:
+    """(tid, start, stop): the same spans by plain prefix doubling over every position of different
+    texts (tid, text): ranks of `first` bytes, then of twice as many from pairs of ranks, the last round
+    at the offset that reaches `length`; positions whose rank is unique are dropped after each round.
+
+    A rank is the least position with its string, so it is exact.  Every position of the texts is a row
+    at first: tables, not corpora.  Texts shorter than `length` have no spans; empty tables none."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = text.as_buffer().to_pybytes()
+                at = np.arange(max(len(raw) - first + 1, 0))
+                parts = pa.array([raw[i : i + first] for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tid)), pa.array(at), parts], ["tid", "at", "s"])
+
+    def reranked(rows: DataFrame, by: list[str]) -> DataFrame:
+        string = Window.partitionBy(*by)
+        ranks = rows.select("tid", "at", F.min(F.struct("tid", "at")).over(string).alias("rank"), F.count("*").over(string).alias("n"))
+        return stored(ranks.where("n > 1").select("tid", "at", "rank"), "rep-doubled")
+
+    ranks, size = reranked(texts.select("tid", "text").mapInArrow(run, "tid long, at long, s binary"), ["s"]), first
+    while size < length:
+        step = min(size, length - size)
+        on = ranks.select("tid", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+        ranks, size = reranked(ranks.join(on, ["tid", "at"]), ["rank", "then"]), size + step
+    return ranks.select("tid", F.col("at").cast("int").alias("start"), (F.col("at") + length).cast("int").alias("stop"))
+
+
 def _map_removed(rows: DataFrame) -> DataFrame:
     """Digests of (doc_id, text, copies, spans)."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]

@@ -17,15 +17,6 @@ import pyarrow as pa
 
 BLOCK_BYTES = 2_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _byte_table() -> np.ndarray:
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    return mix64(x) | np.uint64(1)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -33,27 +24,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUE = _byte_table()
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = pow(_BASE, -1, 2**64)
-        for i, b in enumerate((_BASE, inverse)):
-            steps = np.full(size, b, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 @dataclass
 class Block:
     """Some consecutive documents of a batch: first row, bytes, and n+1 offsets into them."""
@@ -91,19 +66,31 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         i = j
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums: the fingerprint of data[a:b] is (s[b] - s[a]) * inverse_power[a]."""
-    n = len(data)
-    out = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(n)[0] if n else out[:0], out=out[1:])
-    return out
+NAMED = 64
+
 
+def names(data: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the NAMED bytes from each place, by doubling: the name of 2k bytes comes from
+    those of the k bytes here and the k bytes k places on."""
+    n = len(data) - NAMED + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    size = 8
+    h = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    while size < NAMED:
+        u = h ^ (h >> np.uint64(32))
+        h = u[:-size] * np.uint64(0x9E3779B97F4A7C15) + u[size:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        size *= 2
+    return mix64(h)
 
-def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the byte ranges [start, end)."""
-    inverse = powers(len(sums))[1]
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+def name_ranges(name: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of byte ranges of NAMED and more, from the names of the pieces that cover them."""
+    size = ends - starts
+    h = size.astype(np.uint64)
+    for i in range(-(-int(size.max(initial=0)) // NAMED)):
+        h = mix64(h * np.uint64(0xA24BAED4963EE407) + name[np.minimum(starts + NAMED * i, ends - NAMED)])
+    return h
 
 
 LONG_TOKEN = 64
