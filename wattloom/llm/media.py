@@ -13,13 +13,16 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import batches, whole_text
+from .jpeg import IDCT, BadMedia
 from .textblocks import blocks
 
 BLOCKS_PER_FRAME = 16
@@ -29,30 +32,6 @@ WINDOW = 8
 SPREAD = 1.5
 FLOOR = 0.05
 
-# Fixed values of the JPEG format: the zigzag order of the 64 coefficients.
-ZIGZAG = [
-    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5,
-    12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
-    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51,
-    58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
-]
-
-
-class BadMedia(ValueError):
-    """The bytes are not a clip that this module reads."""
-
-
-def _inverse_dct() -> np.ndarray:
-    """64 coefficients in zigzag order to 64 pixels, as one matrix."""
-    u, x = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
-    c = np.cos((2 * x + 1) * u * np.pi / 16) / 2
-    c[0] /= np.sqrt(2)
-    return np.kron(c, c)[ZIGZAG].astype(np.float32)
-
-
-_IDCT = _inverse_dct()
-
-
 def _header(blocks: int) -> bytes:
     """SOI to SOS of a grey frame, four blocks wide, of which the first `blocks` carry payload."""
     def segment(marker: int, body: bytes) -> bytes:
@@ -128,37 +107,99 @@ def write_avi(frames: list[bytes], width: int = 32, height: int = BLOCKS_PER_FRA
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def _chunks(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, first byte, size) of the chunks of a list."""
+    while at + 8 <= end:
+        size = struct.unpack_from("<I", media, at + 4)[0]
+        yield media[at : at + 4], at + 8, size
+        at += 8 + size + (size & 1)
+
+
+@dataclass
+class _Stream:
+    """The first video stream: its number, frames per second, and OpenDML indexes."""
+
+    number: int = -1
+    rate: float = 0.0
+    indexes: tuple[int, ...] = ()
+
+
+def _video_stream(media: bytes, at: int, end: int) -> _Stream:
+    number = -1
+    for name, lo, size in _chunks(media, at, end):
+        if name != b"LIST" or media[lo : lo + 4] != b"strl":
+            continue
+        number += 1
+        found, indexes = None, ()
+        for part, a, n in _chunks(media, lo + 4, lo + size):
+            if part == b"strh" and media[a : a + 4] == b"vids":
+                scale, ticks = struct.unpack_from("<II", media, a + 20)
+                found = _Stream(number, ticks / scale if scale else 0.0)
+            elif part == b"indx" and n >= 24:
+                width, kind, used = struct.unpack_from("<HxBI", media, a)
+                if kind == 0:  # an index of indexes
+                    indexes = tuple(struct.unpack_from("<Q", media, a + 24 + 16 * i)[0] for i in range(min(used, (n - 24) // 16)))
+                elif kind == 1:
+                    indexes = (a - 8,)
+        if found:
+            found.indexes = indexes
+            return found
+    return _Stream()
+
+
+def _indexed(media: bytes, where: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+    """(first byte, size) of the frames in OpenDML standard indexes."""
+    for at in where:
+        if at + 32 > len(media):
+            raise BadMedia("an index points outside the file")
+        used, base = struct.unpack_from("<I4xQ", media, at + 12)
+        if at + 32 + 8 * used > len(media):
+            raise BadMedia("an index is cut off")
+        for i in range(used):
+            offset, size = struct.unpack_from("<II", media, at + 32 + 8 * i)
+            yield base + offset, size & 0x7FFFFFFF
+
+
 def read_avi(media: bytes) -> tuple[float, list[memoryview]]:
-    """Frames per second and the JPEG frames, found through idx1."""
+    """Frames per second and the JPEG frames of the first video stream: through its OpenDML indexes,
+    else idx1 (offsets from movi or from the file's start), else in the order of movi."""
     view = memoryview(media)
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise BadMedia("no RIFF AVI header")
     if struct.unpack_from("<I", media, 4)[0] + 8 > len(media):
         raise BadMedia("the file is cut off")
-    rate, movi, index, at = 0.0, -1, b"", 12
-    while at + 8 <= len(media):
-        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
-            where = media.find(b"strh", at, at + 8 + size)
-            if where >= 0:
-                scale, ticks = struct.unpack_from("<II", media, where + 28)
-                rate = ticks / scale if scale else 0.0
-        elif name == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = at + 8
-        elif name == b"idx1":
-            index = media[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
-    if movi < 0 or len(index) % 16:
-        raise BadMedia("no movi list or a broken idx1")
-    entries = np.frombuffer(index, np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-    frames = []
-    for name, _, where, size in entries.tolist():
-        if name == b"00dc":
-            start = movi + where + 8
-            if start + size > len(media) or media[start - 8 : start - 4] != b"00dc":
+    stream, movi, index = _Stream(), None, None
+    for name, at, size in _chunks(media, 12, 8 + struct.unpack_from("<I", media, 4)[0]):
+        kind = media[at : at + 4] if name == b"LIST" else name
+        if kind == b"hdrl":
+            stream = _video_stream(media, at + 4, at + size)
+        elif kind == b"movi":
+            movi = (at, at + size)
+        elif kind == b"idx1":
+            index = media[at : at + size]
+    if movi is None or stream.number < 0 or (index is not None and len(index) % 16):
+        raise BadMedia("no video stream, no movi list or a broken idx1")
+    names = tuple(f"{stream.number:02d}{kind}".encode() for kind in ("dc", "db"))
+    if stream.indexes:
+        spans = [*_indexed(media, stream.indexes)]
+    elif index is not None:
+        entries = [e for e in struct.iter_unpack("<4sIII", index) if e[0] in names]
+        relative = bool(entries) and media[movi[0] + entries[0][2] :][:4] == entries[0][0]
+        spans = []
+        for name, _, where, size in entries:
+            at = where + 8 + (movi[0] if relative else 0)
+            if media[at - 8 : at - 4] != name:
                 raise BadMedia("idx1 points outside movi")
-            frames.append(view[start : start + size])
-    return rate, frames
+            spans.append((at, size))
+    else:
+        spans = [(at, size) for name, at, size in _chunks(media, movi[0] + 4, movi[1]) if name in names]
+    if any(at + size > len(media) for at, size in spans):
+        raise BadMedia("an index points outside the file")
+    frames: list[memoryview] = []
+    for at, size in spans:
+        if size or frames:  # an empty chunk shows the frame before again
+            frames.append(view[at : at + size] if size else frames[-1])
+    return stream.rate, frames
 
 
 def _scan(frame: memoryview) -> tuple[int, bytes]:
@@ -211,7 +252,7 @@ def histograms(amplitudes: list[np.ndarray]) -> np.ndarray:
     if not amplitudes:
         return np.zeros((0, BINS))
     a = np.concatenate(amplitudes)
-    pixels = (a.astype(np.float32) - (a < 128) * np.float32(255)) @ _IDCT
+    pixels = (a.astype(np.float32) - (a < 128) * np.float32(255)) @ IDCT
     np.clip(pixels + 128, 0, 255, out=pixels)
     cells = (pixels * (BINS / 256)).astype(np.int64)
     cells += np.repeat(np.arange(len(amplitudes)) * BINS, [len(x) for x in amplitudes])[:, None]
@@ -219,15 +260,34 @@ def histograms(amplitudes: list[np.ndarray]) -> np.ndarray:
     return h / np.maximum(h.sum(axis=1, keepdims=True), 1)
 
 
+def picture_histograms(frames: list[memoryview]) -> np.ndarray:
+    """A normalised grey histogram of each frame of any clip, from its first component.  A frame that
+    is no baseline JPEG makes BadMedia."""
+    out = np.zeros((len(frames), BINS))
+    for i, frame in enumerate(frames):
+        data = bytes(frame)
+        if data[:6] == _FULL_HEADER[:6] and data[8 : len(_FULL_HEADER)] == _FULL_HEADER[8:]:  # own frames, however full
+            out[i] = histograms(decode_frames([frame]))[0]
+            continue
+        try:
+            grey = jpeg.decode(data).plane()
+        except (struct.error, IndexError, KeyError) as e:
+            raise BadMedia(f"frame {i}: {e}") from e
+        h = np.bincount(np.minimum(grey * (BINS / 256), BINS - 1).astype(np.int64).ravel(), minlength=BINS)
+        out[i] = h / h.sum()
+    return out
+
+
 def shot_starts(hist: np.ndarray) -> tuple[list[int], list[float]]:
     """First frames of the shots, and the histogram difference before each later frame.  A shot
-    begins where the difference passes mean + SPREAD * deviation + FLOOR of the WINDOW before it."""
+    begins where the difference passes mean + SPREAD * deviation + FLOOR of the WINDOW before it; the
+    first difference is held against those after it."""
     diff = (np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2).round(9).tolist()
     starts = [0] if len(hist) else []
-    for i in range(1, len(diff)):
-        past = diff[max(0, i - WINDOW) : i]
-        mean = sum(past) / len(past)
-        spread = (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5
+    for i in range(len(diff)):
+        near = diff[max(0, i - WINDOW) : i] or diff[1 : 1 + WINDOW]
+        mean = sum(near) / max(len(near), 1)
+        spread = (sum((x - mean) ** 2 for x in near) / max(len(near), 1)) ** 0.5
         if diff[i] > mean + SPREAD * spread + FLOOR:
             starts.append(i + 1)
     return starts, diff
@@ -236,7 +296,9 @@ def shot_starts(hist: np.ndarray) -> tuple[list[int], list[float]]:
 def clips(media: bytes) -> list[tuple[int, int, int, float]]:
     """(first frame, frames, milliseconds from the start, seconds long) of each shot."""
     rate, frames = read_avi(media)
-    starts, _ = shot_starts(histograms(decode_frames(frames)))
+    starts, _ = shot_starts(picture_histograms(frames))
+    if frames and not rate:
+        raise BadMedia("no frame rate")
     return [(a, b - a, round(1000 * a / rate), (b - a) / rate) for a, b in zip(starts, [*starts[1:], len(frames)])]
 
 
@@ -308,3 +370,16 @@ def text_clips(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, TRIP_SCHEMA)
+
+
+def text_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, media): every whole text stored as a motion-JPEG clip; nulls and ids as in text_clips."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            for block in blocks(batch.column(1), 1_000_000):
+                raw, o = block.data.tobytes(), block.offsets.tolist()
+                files = [write_avi(frames) for frames in encode_all([text_payload(raw[a:b]) for a, b in zip(o, o[1:])])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row, len(block)), pa.array(files, pa.binary())], ["doc_id", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, media binary")

@@ -41,6 +41,13 @@ def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_clips(_documents(spark, sf_dir))
 
 
+def clips_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of every document that is stored as an AVI file."""
+    from . import media
+
+    return media.avi_clips(media.text_files(_documents(spark, sf_dir)), "doc_id", "media")
+
+
 def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -102,7 +109,8 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame], spark: SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
-    return {f.__name__: partial(_shipping, f) for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
+    ordered = [*sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0])), clips_of_documents]
+    return {f.__name__: partial(_shipping, f) for f in ordered}
 
 
 def oracle_sql() -> dict[str, str]:
