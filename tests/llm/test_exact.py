@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -311,6 +312,40 @@ def test_reordered_passages_are_caught(spark):
         assert {(r.doc_id, r.item_id, r.covered_tokens, r.n_tiles) for r in got.collect()} == {(1, 7, 40, 5), (4, 7, 40, 1)}
 
 
+def test_a_template_that_all_items_share_stays_cheap():
+    """One text a thousand times the five words that 3,000 items share, and one whole item."""
+    from wattloom.llm.textblocks import blocks as cut
+
+    template = "fill in the form below"
+    rows = [(i, f"{template} " + " ".join(f"q{i}x{k}" for k in range(20))) for i in range(3000)]
+    items = decontaminate.index_items(rows)
+    began = time.time()
+    (block,) = cut(pa.array([f"{template} " * 1000, f"{template} {rows[7][1]} {template}", " ".join(rows[9][1].split()[:4]), ""]))
+    assert [m[:4] for m in decontaminate._block_matches(block, items, 0.5)] == [(1, 7, 25, 25)]
+    assert time.time() - began < 5
+
+
+def test_contaminated_is_brute_force_tiling(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "EXPANDED", 50)
+    rng = random.Random(11)
+    items = [[rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randint(2, 18))] for _ in range(12)]
+    docs = [[*(rng.choice("xyz") for _ in range(4)), *items[rng.randrange(12)][rng.randint(0, 4) :], "z", *items[rng.randrange(12)]] for _ in range(40)]
+    items += [items[3], []]
+    block_of = lambda rows: next(iter(blocks(pa.array([" ".join(r) for r in rows]))))
+    got = {(m[0], m[1]): m[3] for m in decontaminate._block_matches(block_of(docs), decontaminate.index_items([(i, " ".join(t)) for i, t in enumerate(items)]), 0.5)}
+    want = {}
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            total = sum(n for _, _, n in brute_tiles(d, item, 5))
+            if item and total >= 0.5 * len(item):
+                want[i, j] = total
+    assert set(got) == set(want) and sum(got[k] == want[k] for k in want) >= 0.95 * len(want)  # ties may be broken otherwise
+    rows = decontaminate.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == set(want)
+
+
 def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(6)
     p = rng.dirichlet([0.4, 0.2, 0.3], 400)

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, whole_text
+from .common import batches, stored, whole_text
 from .textblocks import Block, Tokens, blocks, ngram_hashes, tokenize
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BLOCK_MB = 16
 FILTER_BITS = 22
+EXPANDED = 2_000_000
 
 
 @dataclass
@@ -42,14 +43,20 @@ class Items:
     position: np.ndarray
     likely: np.ndarray
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, place in seeds) of all pairs of equal hashes."""
+    def places_of(self, item: int) -> np.ndarray:
+        """The places of an item's seeds."""
+        if not hasattr(self, "_by_item"):
+            self._by_item = np.argsort(self.item, kind="stable")
+            self._first = np.searchsorted(self.item[self._by_item], np.arange(len(self.ids) + 1))
+        return self._by_item[self._first[item] : self._first[item + 1]]
+
+    def ranges(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of h that are seeds of some item, and the first and number of their seeds."""
         maybe = np.flatnonzero(self.likely[h >> np.uint64(64 - FILTER_BITS)])
         lo = np.searchsorted(self.seeds, h[maybe], "left")
         count = np.searchsorted(self.seeds, h[maybe], "right") - lo
-        maybe, lo, count = maybe[count > 0], lo[count > 0], count[count > 0]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(maybe, count), np.repeat(lo, count) + nth
+        has = count > 0
+        return maybe[has], lo[has], count[has]
 
 
 def index_items(rows: list[tuple[int, str]]) -> Items:
@@ -97,71 +104,112 @@ def greedy_tiles(i: np.ndarray, j: np.ndarray, text_size: int, item_size: int, l
     return tiles
 
 
+def _spread(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of every place of the ranges lo ... lo + count."""
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(np.arange(len(lo)), count), np.repeat(lo, count) + nth
+
+
+def _candidates(doc: np.ndarray, lo: np.ndarray, count: np.ndarray, items: Items, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) pairs of which the shared seeds, wherever they stand, cover enough of the item:
+    tiles can't cover more.  Each different seed of a document counts once, and a few documents are
+    taken at a time, so that passages which many items share stay cheap."""
+    order = np.lexsort((lo, doc))
+    doc, lo, count = doc[order], lo[order], count[order]
+    once = np.ones(len(doc), bool)
+    once[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])
+    doc, lo, count = doc[once], lo[once], count[once]
+    out, at = [], 0
+    upto = np.cumsum(count)
+    while at < len(doc):
+        to = int(np.searchsorted(upto, upto[at] - count[at] + EXPANDED, "right"))
+        to = max(int(np.searchsorted(doc, doc[min(to, len(doc) - 1)], "left")) if to < len(doc) else to, int(np.searchsorted(doc, doc[at], "right")))
+        which, seed = _spread(lo[at:to], count[at:to])
+        d, item, pos = doc[at:to][which], items.item[seed], items.position[seed]
+        order = np.lexsort((pos, item, d))
+        d, item, pos = d[order], item[order], pos[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1])
+        step = np.full(len(d), MIN_MATCH)
+        step[:-1] = np.where(new[1:], MIN_MATCH, np.minimum(np.diff(pos), MIN_MATCH))
+        first = np.flatnonzero(new)
+        enough = np.add.reduceat(step, first) >= threshold * sizes[item[first]] if len(first) else np.zeros(0, bool)
+        out.append((d[first][enough], item[first][enough]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
 def _block_matches(block: Block, items: Items, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, item tokens, covered tokens, tiles) of what passes the threshold."""
     t: Tokens = tokenize(block)
     h, bounds = ngram_hashes(t, MIN_MATCH)
-    at, seed = items.hits(h)
+    at, lo, count = items.ranges(h)
     if not len(at):
         return
     doc = np.searchsorted(bounds, at, "right") - 1
-    item = items.item[seed]
-    order = np.lexsort((at, item, doc))
-    at, doc, item, pos = at[order], doc[order], item[order], items.position[seed][order]
-    new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-    for lo, hi in zip([0, *new], [*new, len(at)]):
-        size = len(items.tokens[item[lo]])
-        covered = np.zeros(size + 1, np.int64)
-        starts = np.unique(pos[lo:hi])
-        covered[starts] += 1
-        covered[starts + MIN_MATCH] -= 1
-        if (np.cumsum(covered)[:-1] > 0).sum() < threshold * size:  # tiles can't cover more than the seeds
-            continue
-        d = doc[lo]
-        tiles = greedy_tiles(at[lo:hi] - bounds[d], pos[lo:hi], t.bounds[d + 1] - t.bounds[d], size)
+    sizes = np.array([len(x) for x in items.tokens])
+    for d, item in zip(*(x.tolist() for x in _candidates(doc, lo, count, items, sizes, threshold))):
+        a, b = np.searchsorted(doc, [d, d + 1])
+        own = items.places_of(item)  # rising, as are the ranges' places
+        first, stop = np.searchsorted(own, lo[a:b]), np.searchsorted(own, lo[a:b] + count[a:b])
+        which, place = _spread(first, stop - first)
+        tiles = greedy_tiles(at[a:b][which] - bounds[d], items.position[own[place]], t.bounds[d + 1] - t.bounds[d], int(sizes[item]))
         total = sum(n for _, _, n in tiles)
-        if total >= threshold * size:
-            yield block.row + int(d), int(item[lo]), size, total, len(tiles)
+        if total >= threshold * sizes[item]:
+            yield block.row + d, item, int(sizes[item]), total, len(tiles)
 
 
 def _item_blocks(benchmark: DataFrame, block_mb: float) -> Iterator[Items]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """The different test items (key, text) in blocks of about block_mb."""
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(total // (block_mb * 1e6)) + 1
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield index_items(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1])))
+        part = benchmark.where(F.pmod(F.col("key"), F.lit(n)) == k) if n > 1 else benchmark
+        yield index_items(sorted((r.key, r.text) for r in part.select("key", "text").collect()))
+
+
+def _different(benchmark: DataFrame) -> DataFrame:
+    """(text, key): every different text of the items, numbered."""
+    texts = benchmark.select("text").where("text is not null").distinct()
+    return stored(texts.withColumn("key", F.monotonically_increasing_id()), "leak-items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_mb: float = BLOCK_MB) -> DataFrame:
     """A row for each document and test item of which the document's tiles cover the threshold.
 
-    Null and empty texts match nothing, nor do items of fewer than MIN_MATCH tokens; repeated rows
-    on either side give a row each; other columns are ignored."""
+    Null and empty texts match nothing, nor do items of fewer than MIN_MATCH tokens, which would
+    condemn every text with their words; repeated rows on either side give a row each; other columns
+    are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    items_of = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    different = _different(items_of)
     found = []
-    for items in _item_blocks(benchmark, block_mb):
+    for items in _item_blocks(different, block_mb):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(rows_in: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches(rows_in):
                 got = [m for b in blocks(batch.column(1)) for m in _block_matches(b, shared.value, threshold)]
                 ids = batch.column(0).take(pa.array([m[0] for m in got], pa.int64()))
-                item = pa.array([shared.value.ids[m[1]] for m in got], pa.int64())
+                key = pa.array([shared.value.ids[m[1]] for m in got], pa.int64())
                 rest = [pa.array([m[k] for m in got], pa.int64()) for k in (2, 3, 4)]
                 cover = pa.array([m[3] / m[2] for m in got], pa.float64())
-                yield pa.RecordBatch.from_arrays([ids, item, *rest, cover], ["doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "coverage"])
+                yield pa.RecordBatch.from_arrays([ids, key, *rest, cover], ["doc_id", "key", "item_tokens", "covered_tokens", "n_tiles", "coverage"])
 
-        found.append(rows.mapInArrow(run, "doc_id long, item_id long, item_tokens long, covered_tokens long, n_tiles long, coverage double"))
+        found.append(rows.mapInArrow(run, "doc_id long, key long, item_tokens long, covered_tokens long, n_tiles long, coverage double"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    keys = items_of.join(different, "text").select("key", "item_id")
+    return out.join(keys, "key").select("doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "coverage")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_mb: float = BLOCK_MB) -> DataFrame:
-    """The rows of docs, with all their columns, that no test item contaminates."""
-    for items in _item_blocks(benchmark, block_mb):
+    """The rows of docs, with all their columns, that no test item contaminates.
+
+    Null and empty texts stay, as nothing matches them; so do all rows where the items are empty or too
+    short; repeated rows meet the same fate; an empty table stays empty."""
+    for items in _item_blocks(_different(benchmark), block_mb):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
