@@ -16,7 +16,7 @@ import pytest
 
 import corpus_pipeline
 from wattloom.llm import langid, pii, quality, queries, toxicity
-from wattloom.llm.textblocks import blocks, tokenize
+from wattloom.llm.textblocks import Places, blocks, tokenize
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -87,6 +87,38 @@ def test_quality_held_out(small):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
 
 
+@pytest.mark.parametrize("labelled", [1, 2, 40])
+def test_few_quality_labels(spark, labelled):
+    docs = spark.createDataFrame([(i, f"word{i % 2} here {'!' * (i % 3)}" if i % 7 else None) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(labelled)], "doc_id long, quality int, toxic int")
+    rows = quality.score_quality(docs, labels).collect()
+    assert len(rows) == 60 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_context_vectors_are_sums_of_index_vectors(spark):
+    texts = ["a b c a", "b c", "", "c c c"]
+    lexicon = quality.common_words(spark.createDataFrame([(t,) for t in texts], "text string"), 2)
+    (block,) = blocks(pa.array(texts))
+    t, word, _ = quality.units(block, Places(lexicon))
+    assert sorted(set(word[word < quality.LEXICON].tolist())) == [0, 1] and (word >= quality.LEXICON).any()  # c, and a or b, have units
+    total = np.zeros((quality.UNITS, quality.DIM))
+    _, word, shape = quality.units(block, Places(lexicon))
+    for d in range(len(texts)):
+        of = np.flatnonzero(t.doc == d)
+        for i, j in zip(of, of[1:]):
+            for left, right in ((word, word), (word, shape), (shape, shape)):
+                for a, b in ((left[i], right[j]), (left[j], right[i])):
+                    for k in (0, 1):
+                        total[a, quality.INDEX[k][b]] += quality.SIGN[k][b]
+    got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), lexicon)
+    used = np.flatnonzero(np.linalg.norm(got, axis=1) > 0)
+    assert set(used) == set(word) | set(shape)
+    np.testing.assert_allclose(np.linalg.norm(got[used], axis=1), 1)
+    for k in (0, 1):  # each unit's own index vector comes on top, then the length is made 1
+        np.add.at(total, (np.arange(quality.UNITS), quality.INDEX[k]), quality.SIGN[k] * np.linalg.norm(total, axis=1) * 0.5)
+    np.testing.assert_allclose(got[used], total[used] / np.linalg.norm(total[used], axis=1, keepdims=True), atol=1e-9)
+
+
 def test_language_held_out(small):
     docs, _ = small
     rows = [r for r in langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]

@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-A unit is a word (by hash, one of WORDS buckets) or a word's shape: upper case, marks, digits, and
-whether it repeats the word before.  Every unit has a fixed sparse index vector; its context vector
+A unit is a word or a word's shape: upper case, marks, digits, and whether it repeats the word before.
+The LEXICON commonest words of the labelled training sample are units of their own, all others share
+WORDS units by hash.  Every unit has a fixed sparse index vector; its context vector
 is the sum of the index vectors beside it over all documents, which Spark adds up in whole numbers.
 A document is the mean of its words' and of its shapes' normalised vectors.  The network is trained
 on a bounded sample of labelled documents; a temperature, fitted on other labelled documents, and
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_fold, labelled_sample, one_label, whole_text
-from .textblocks import Block, Tokens, blocks, mix64, tokenize
+from .common import batches, id_fold, labelled_sample, one_label, stored, whole_text
+from .textblocks import Block, Places, Tokens, blocks, mix64, tokenize
 
+LEXICON = 8192
 WORDS = 4096
 SHAPES = 288
-UNITS = WORDS + SHAPES
+UNITS = LEXICON + WORDS + SHAPES
 DIM = 32
 HIDDEN = 16
 PER_CLASS = 6_000
@@ -41,7 +43,7 @@ _MARK = np.zeros(256, np.int32)
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = 1
 
 
-def units(block: Block) -> tuple[Tokens, np.ndarray, np.ndarray]:
+def units(block: Block, lexicon: Places) -> tuple[Tokens, np.ndarray, np.ndarray]:
     """Word and shape units of the tokens of a block."""
     t = tokenize(block)
     counts = []
@@ -53,17 +55,34 @@ def units(block: Block) -> tuple[Tokens, np.ndarray, np.ndarray]:
     again = np.zeros(len(t.hash), np.int64)
     again[1:] = (t.hash[1:] == t.hash[:-1]) & (t.doc[1:] == t.doc[:-1])
     shape = np.minimum(upper, 2) + 3 * np.minimum(mark, 3) + 12 * np.minimum(digit, 2) + 36 * (other > 0) + 72 * (other > 12) + 144 * again
-    return t, (t.hash % np.uint64(WORDS)).astype(np.int64), WORDS + shape
+    at, known = lexicon.find(t.hash)
+    return t, np.where(known, at, LEXICON + (t.hash % np.uint64(WORDS)).astype(np.int64)), LEXICON + WORDS + shape
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
+def common_words(sample: DataFrame, limit: int = LEXICON) -> np.ndarray:
+    """The sorted fingerprints of the commonest words of the texts (ties by fingerprint)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            for block in blocks(batch.column(0)):
+                h, n = np.unique(tokenize(block).hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counts = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(limit).select("h").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
+
+
+def context_vectors(docs: DataFrame, lexicon: np.ndarray) -> np.ndarray:
     """The normalised context vector of every unit over all documents, UNITS x DIM."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Places(shared.value)
         total = np.zeros(UNITS * DIM)
         for batch in batches(rows):
             for block in blocks(batch.column(0)):
-                t, word, shape = units(block)
+                t, word, shape = units(block, words)
                 beside = np.flatnonzero(t.doc[1:] == t.doc[:-1])
                 for a, b in ((word, word), (word, shape), (shape, shape)):
                     for i, j in ((0, 1), (1, 0)):
@@ -85,9 +104,9 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(block: Block, vectors: np.ndarray) -> np.ndarray:
+def pooled(block: Block, vectors: np.ndarray, lexicon: Places) -> np.ndarray:
     """Document vectors: mean of the words', mean of the shapes', log length."""
-    t, word, shape = units(block)
+    t, word, shape = units(block, lexicon)
     n = len(block)
     counts = np.diff(t.bounds)
     out = np.zeros((n, 2 * DIM + 1))
@@ -108,6 +127,7 @@ class Network:
     """tanh layer and an output; the logit is divided by the temperature and shifted to the classes'
     shares."""
 
+    lexicon: np.ndarray
     vectors: np.ndarray
     weights: list[np.ndarray]
     mean: np.ndarray
@@ -148,22 +168,24 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 1, steps: int = 1500
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = PER_CLASS) -> Network:
-    vectors = context_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     learn = id_fold("doc_id", folds) != held
+    sample = stored(labelled_sample(docs, labels, "quality", learn, per_class), "quality-sample")
+    sample = sample.withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0)
+    lexicon = common_words(sample.where(~F.col("calibrate")))
+    vectors = context_vectors(docs, lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, vectors))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = Places(shared.value[0]), shared.value[1]
         for batch in batches(rows):
-            x = np.concatenate([pooled(b, shared.value) for b in blocks(batch.column(2))])
+            x = np.concatenate([pooled(b, vectors, words) for b in blocks(batch.column(2))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["y", "calibrate", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", learn, per_class)
-    sample = sample.select("y", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0).alias("calibrate"), "text")
-    got = sample.mapInArrow(run, "y int, calibrate boolean, x array<double>").toPandas()
+    got = sample.select("y", "calibrate", "text").mapInArrow(run, "y int, calibrate boolean, x array<double>").toPandas()
     width = 2 * DIM + 1
     x, y, hold = np.array(got["x"].tolist()).reshape(-1, width), got["y"].to_numpy(float), got["calibrate"].to_numpy(bool)
-    net = Network(vectors, [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], np.zeros(width), np.ones(width))
+    net = Network(lexicon, vectors, [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], np.zeros(width), np.ones(width))
     if not len(y):
         return net
     if hold.all():  # too few to keep some for the temperature
@@ -189,9 +211,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        words = Places(net.lexicon)
         for batch in batches(rows):
-            net = shared.value
-            score = np.concatenate([net.score(pooled(b, net.vectors)) for b in blocks(batch.column(2))])
+            score = np.concatenate([net.score(pooled(b, net.vectors, words)) for b in blocks(batch.column(2))])
             out = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= ACCEPT_AT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
