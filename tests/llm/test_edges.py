@@ -77,3 +77,21 @@ def test_filters_keep_the_columns(name, tables):
 def test_contaminated_rows(spark):
     got = decontaminate.contaminated(spark.createDataFrame(ODD, DOCS), spark.createDataFrame(TESTS, ITEMS)).collect()
     assert sorted((r.doc_id, str(r.item_id)) for r in got) == [(1, "1"), (1, "1"), (1, "None"), (1, "None")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    for name, data, schema in (("documents", rows, DOCS), ("labels", SOME if rows else [], LABELS), ("benchmark", TESTS if rows else [], ITEMS)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in rows} and (not rows or 5 in {r.doc_id for r in got})
+    assert 1 not in {r.doc_id for r in got}  # holds a test item
+
+
+def test_clips_of_repeated_rows_and_clashing_columns(spark):
+    rows = [("a", media.write_avi([]), 3), (None, b"", 4), ("a", None, None)] + [("b", media.write_avi(media.encode_all([b"x" * 64])[0]), 1)] * 2
+    got = media.avi_clips(spark.createDataFrame(rows, "id string, media binary, clip int"), "id", "media").collect()
+    assert sorted((str(r.id), r.clip) for r in got if r.error is None) == [("b", 0), ("b", 0)]
+    assert sorted(str(r.id) for r in got if r.error) == ["None", "a"]
