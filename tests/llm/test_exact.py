@@ -365,3 +365,9 @@ def test_mixing_runs_no_python(docs, spark, tiny):
     assert not re.search("Python|Pandas|Arrow", plan)
     rows = out.collect()
     assert len(rows) == docs.count() and all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
+
+
+def test_whole_vocabulary_gives_the_same_as_a_large_bound(docs, spark, tiny):
+    labels = mixing.label_domains(spark.read.parquet(f"{tiny}/labels.parquet"))
+    rows = [{r.doc_id: (r.domain, r.n_tokens, [round(x, 6) for x in r.p]) for r in mixing.mix(docs, labels, vocabulary=v).collect()} for v in (None, 10**6)]
+    assert rows[0] == rows[1] and len(rows[0]) == docs.select("doc_id").distinct().count()

@@ -52,12 +52,13 @@ class Membership:
     weights: DataFrame
     prior: list[float]
     temperature: float = 1.0
+    bounded: bool = True
 
     def sums(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """Word weights summed over the texts of rows, one row for each of the keys."""
         words = rows.select(*keys, _words().alias("words"))
         words = words.select(*keys, (F.size("words") - 1).cast("long").alias("n_tokens"), F.explode("words").alias("word"))
-        hit = words.join(F.broadcast(self.weights), "word")
+        hit = words.join(F.broadcast(self.weights) if self.bounded else self.weights, "word")
         return hit.groupBy(*keys, "n_tokens").agg(*(F.sum(f"w{d}").alias(f"s{d}") for d in range(len(self.domains))))
 
     def posterior(self, temperature: float) -> list[Column]:
@@ -69,9 +70,10 @@ class Membership:
         return [x / total for x in e]
 
 
-def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Membership | None:
+def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, vocabulary: int | None = VOCABULARY) -> Membership | None:
     """The word model from about `sample` labelled documents of each domain (all, where there are no
-    more); the domains and their prior are those of all labels that have a document.  None where no
+    more), of the `vocabulary` commonest words, which are broadcast, or (None) of all their words, which
+    are joined; the domains and their prior are those of all labels that have a document.  None where no
     document has a label."""
     have = labelled.select("doc_id", "domain").join(docs.select("doc_id"), "doc_id", "left_semi")
     have = stored(have, "mix-known")
@@ -89,12 +91,12 @@ def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE)
     counts = stored(words.groupBy("domain", "word").agg(F.count("*").alias("c")), "mix-counts")
     n_of = lambda d: F.sum(F.when(F.col("domain") == d, F.col("c")).otherwise(0))
     table = counts.where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"), *(n_of(d).alias(f"c{i}") for i, d in enumerate(domains)))
-    table = stored(table.orderBy(F.desc("c"), "word").limit(VOCABULARY), "mix-words")
+    table = stored(table if vocabulary is None else table.orderBy(F.desc("c"), "word").limit(vocabulary), "mix-words")
     totals = table.agg(F.count("*"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(domains)))).first()
     weights = table.select("word", *(F.log((F.col(f"c{i}") + SMOOTH) / (totals[i + 1] + SMOOTH * totals[0])).alias(f"w{i}") for i in range(len(domains))))
     own = docs.sparkSession.createDataFrame([("",)], "word string").select("word", *(F.lit(0.0).alias(f"w{i}") for i in range(len(domains))))
     all_ids = sum(known.values())
-    model = Membership(domains, stored(weights.unionByName(own), "mix-weights"), [float(np.log(known[d] / all_ids)) for d in domains])
+    model = Membership(domains, stored(weights.unionByName(own), "mix-weights"), [float(np.log(known[d] / all_ids)) for d in domains], bounded=vocabulary is not None)
     held = stored(model.sums(rows.where("not fit").withColumn("rid", F.monotonically_increasing_id()), ["rid", "domain", "stands_for"]), "mix-held")
     losses = []
     for t in TEMPERATURES:
@@ -167,7 +169,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     return state.withColumn("rate", _rate(steps, k)["x"]).drop("x", "y")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, vocabulary: int | None = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, domain, p, rate, copies) of every row of docs.
 
     `domain` is the likeliest, `p` the probabilities in the order of `domains`, `copies` the whole
@@ -175,7 +177,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     and the prior as p; repeated or null ids give a row each; without labels every rate is 1."""
     targets = TARGETS if targets is None else targets
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-    model = learn_membership(docs, labelled)
+    model = learn_membership(docs, labelled, vocabulary=vocabulary)
     if model is None:
         out = rows.select("doc_id", (F.size(_words()) - 1).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     else:
