@@ -176,7 +176,7 @@ def _survivors(texts: DataFrame, repeated: Filter) -> DataFrame:
     return texts.mapInArrow(run, SURVIVOR)
 
 
-WINDOWS = "key long, hot boolean, tid long, start int, shift int, bytes binary"
+WINDOWS = "key long, hot boolean, tid long, start int, whole long, bytes binary"
 
 
 def _surroundings(texts: DataFrame, mixed: Filter, hot: Filter) -> DataFrame:
@@ -202,8 +202,8 @@ def _surroundings(texts: DataFrame, mixed: Filter, hot: Filter) -> DataFrame:
                 local = base + a.start[one] - block.offsets[a.doc[one]]
                 parts = [raw[s : s + c - 1 + LENGTH] for s, c in zip(a.start[one].tolist(), a.count[one].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.prefix[one].view(np.int64)), pa.array(np.zeros(len(one), bool)), pa.array(tid[a.doc[one]]), pa.array(local.astype(np.int32)), pa.array(a.shift[one].astype(np.int32)), pa.array(parts, pa.binary())],
-                    ["key", "hot", "tid", "start", "shift", "bytes"],
+                    [pa.array(a.prefix[one].view(np.int64)), pa.array(np.zeros(len(one), bool)), pa.array(tid[a.doc[one]]), pa.array(local.astype(np.int32)), pa.array(a.whole[one].view(np.int64)), pa.array(parts, pa.binary())],
+                    ["key", "hot", "tid", "start", "whole", "bytes"],
                 )
                 if len(each):
                     count = a.count[each]
@@ -212,8 +212,8 @@ def _surroundings(texts: DataFrame, mixed: Filter, hot: Filter) -> DataFrame:
                     rank = name_ranges(names(block.data), start, start + LENGTH)
                     n = len(start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rank.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(tid[doc]), pa.array((base + start - block.offsets[doc]).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())],
-                        ["key", "hot", "tid", "start", "shift", "bytes"],
+                        [pa.array(rank.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(tid[doc]), pa.array((base + start - block.offsets[doc]).astype(np.int32)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())],
+                        ["key", "hot", "tid", "start", "whole", "bytes"],
                     )
 
     return texts.mapInArrow(run, WINDOWS)
@@ -250,6 +250,10 @@ def _compare_windows(rows: DataFrame) -> DataFrame:
         for batch in batches(batches_in):
             part = pa.Table.from_batches([batch])
             part = pa.concat_tables([rest, part]).combine_chunks() if rest is not None else part
+            keys, whole = part.column(0).to_numpy(), part.column(4).to_numpy()
+            new = np.ones(len(keys), bool)  # equal surroundings, which several tasks met, once
+            new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+            part = part.filter(pa.array(new))
             keys = part.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
             if cut:
@@ -271,7 +275,7 @@ def _compare_windows(rows: DataFrame) -> DataFrame:
             yield _window_runs(p.column(0).to_numpy(), p.column(1).to_numpy(), p.column(2).to_numpy(), p.column(3).chunk(0))
             lo = hi
 
-    ordered = rows.select("key", "tid", "start", "bytes").repartition("key").sortWithinPartitions("key")
+    ordered = rows.select("key", "tid", "start", "bytes", "whole").repartition("key").sortWithinPartitions("key", "whole")
     return ordered.mapInArrow(run, SPANS)
 
 
