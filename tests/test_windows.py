@@ -130,5 +130,5 @@ def test_measures(spark):
     board = {r.name: r for r in metrics.scoreboard(metrics.melt_predictions(df, "y", {"a": "A", "b": "B"})).collect()}
     assert (board["A"].n, board["A"].mae, board["A"].nrmse_pct) == (2, 0.5, pytest.approx(np.sqrt(0.5) * 100))
     assert board["B"].n == 0 and board["B"].mae is None and board["B"].nrmse_pct is None
-    assert metrics.pearson_p(0.5, 30) == pytest.approx(0.0049, rel=1e-3)
-    assert metrics.pearson_p(0.0, 30) == pytest.approx(1.0)
+    p = spark.createDataFrame([(0.5, 30), (0.0, 30), (1.0, 5), (0.3, 2)], "r double, n long").select(metrics.p_value(F.col("r"), F.col("n")).alias("p"))
+    assert [r.p for r in p.collect()] == [pytest.approx(0.0049, rel=1e-3), pytest.approx(1.0), 0.0, None]
