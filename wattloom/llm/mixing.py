@@ -30,6 +30,7 @@ TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
 STEPS = 30
 ROUNDS = 10
 NEARER = 0.9
+STILL = 10
 CLOSE = 1e-4
 TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
 
@@ -128,8 +129,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
 
     Targets of domains that have no labelled document are left out and the others rescaled, with a
     warning; a known domain without a target has target 0.  Steps are taken until the totals are
-    within CLOSE of the targets; where a round of STEPS comes no tenth nearer, or ROUNDS are over, a warning
-    says by how much they are missed."""
+    within CLOSE of the targets.  Where STILL steps move no total by CLOSE (targets that no rates reach), a
+    round of STEPS comes no tenth nearer, or ROUNDS are over, a warning says by how much they are missed."""
     k = len(domains)
     lost = sorted(d for d, t in targets.items() if t > 0 and d not in domains)
     if lost:
@@ -144,6 +145,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     kept = members.columns
     state = members.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
     steps: list[list[float]] = []
+    seen: list[np.ndarray] = []
     momentum, before, last, rounds = 1.0, np.inf, np.inf, 0
     while True:
         rows = state.select("n_tokens", "p", _rate(steps, k).alias("s"))
@@ -152,6 +154,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
         off = np.abs(at_x - want).max()
         if off < CLOSE:
             break
+        seen.append(at_x)
+        if len(seen) > STILL and np.abs(at_x - np.array(seen[-STILL - 1 : -1])).max() < CLOSE:  # the nearest there is
+            warnings.warn(f"mixing: the totals miss the targets by up to {off:.2g} and come no nearer: " + ", ".join(f"{d} {a:.4f} for {w:.4f}" for d, a, w in zip(domains, at_x, want)), RuntimeWarning, stacklevel=2)
+            break
         if len(steps) == STEPS:  # a round is over: store where it came to
             rounds, nearer, last = rounds + 1, off < NEARER * last, off
             if not nearer or rounds == ROUNDS:
