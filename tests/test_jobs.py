@@ -22,12 +22,64 @@ def test_trees_learn_steps_and_keep_the_best_round(spark):
     rng = np.random.default_rng(3)
     rows = hours(spark, 800, lambda i: float(rng.random())).withColumn("load", F.when(F.col("x") > 0.6, 5.0).otherwise(1.0)).withColumn("z", F.lit(1.0))
     fitted = model.fit(rows, ["x", "z"], rounds=24, patience=6)
-    got = model.predict(fitted, rows, ["x", "z"]).select(F.avg(F.abs(F.col("load") - F.col("pred_model")))).first()[0]
-    assert got < 1.0 and fitted.stages[-1].getNumTrees <= 24
-    top = model.importances(fitted, ["x", "z"]).collect()
+    got = model.predict(fitted, rows).select(F.avg(F.abs(F.col("load") - F.col("pred_model")))).first()[0]
+    assert got < 1.0 and fitted.trees.getNumTrees == len(fitted.leaves) <= 24
+    top = model.importances(fitted).collect()
     assert top[0].feature == "x" and top[0].importance == pytest.approx(1) and [r.rank for r in top] == [1, 2]
     noise = rows.withColumn("load", F.rand(7))
-    assert model.fit(noise, ["x", "z"], rounds=16, patience=3).stages[-1].getNumTrees < 13  # stopped before the last round
+    stopped = model.fit(noise, ["x", "z"], rounds=16, patience=3)
+    assert len(stopped.leaves) < 13  # stopped before the last round
+    assert len(stopped.losses) == len(stopped.leaves) + 4 and min(stopped.losses) == stopped.losses[len(stopped.leaves)]
+
+
+def steps(spark, n=600):
+    rng = np.random.default_rng(8)
+    rows = hours(spark, n, lambda i: float(rng.random())).withColumn("z", F.sin(F.col("x") * 40))
+    return rows.withColumn("load", F.when(F.col("x") > 0.6, 5.0).otherwise(1.0) + F.col("z") + F.sin(F.hour("ts") * 9.0))
+
+
+def test_leaves_are_the_closed_formula(spark):
+    rows, l1, l2 = steps(spark), 3.0, 2.0
+    one = model.fit(rows, ["x", "z"], rounds=1, depth=3, step=1.0, sample=1.0, l1=l1, l2=l2, validation_share=0.0)
+    placed = model._with_leaves(one.prepare.transform(rows.withColumns({"_x_x": F.col("x"), "_x_z": F.col("z")})), one.trees._java_obj, "leaf")
+    groups = {}
+    for r in placed.select(F.element_at(model.vector_to_array("leaf"), 1).cast("int").alias("leaf"), "load").collect():
+        groups.setdefault(r.leaf, []).append(r.load - one.base)
+    assert len(groups) > 4
+    for k, residuals in groups.items():
+        total = sum(residuals)
+        assert one.leaves[0][k] == pytest.approx(np.sign(total) * max(abs(total) - l1, 0) / (len(residuals) + l2), abs=1e-9)
+    assert model.leaf_value(2.0, 5, 3.0, 0.0) == 0.0 and model.leaf_value(-4.0, 1, 1.0, 1.0) == -1.5
+
+
+def test_without_the_terms_a_leaf_is_the_tree_s_own(spark):
+    rows = steps(spark)
+    plain = model.fit(rows, ["x", "z"], rounds=1, depth=4, step=1.0, sample=1.0, l1=0.0, l2=0.0, validation_share=0.0)
+    tree = plain.trees.trees[0]
+    doubles = rows.withColumns({"_x_x": F.col("x"), "_x_z": F.col("z")})
+    own = tree.setFeaturesCol("_features").setPredictionCol("own").setLeafCol("").transform(plain.prepare.transform(doubles))
+    worst = plain.transform(own.select(*rows.columns, "own")).select(F.max(F.abs(F.col("pred_model") - F.col("own") - plain.base))).first()[0]
+    assert worst < 1e-9
+
+
+def test_predictions_are_the_sum_of_the_stages(spark, tmp_path):
+    rows = steps(spark)
+    fitted = model.fit(rows, ["x", "z"], rounds=7, depth=3, patience=2)  # four stages
+    ready = fitted.prepare.transform(rows.withColumns({"_x_x": F.col("x"), "_x_z": F.col("z")}))
+    want = F.lit(fitted.base)
+    for i, tree in enumerate(fitted.trees.trees):
+        ready = model._with_leaves(ready, tree._java_obj, f"l{i}")
+        want = want + fitted.step * F.get(F.array(*map(F.lit, fitted.leaves[i])), F.col(f"l{i}").cast("int"))
+    both = fitted.transform(ready.withColumn("want", want).select(*rows.columns, "want"))
+    assert both.select(F.max(F.abs(F.col("want") - F.col("pred_model")))).first()[0] < 1e-9
+    assert len(fitted.leaves) > 2 and all(a > b for a, b in zip(fitted.losses, fitted.losses[1 : len(fitted.leaves) + 1]))
+    ends = rows.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    held = F.unix_micros(F.col("ts").cast("timestamp")) > ends[0] + (ends[1] - ends[0]) * 0.9
+    error = both.where(held).select(F.avg(F.pow(F.col("load") - F.col("pred_model"), 2))).first()[0]
+    assert error == pytest.approx(fitted.losses[len(fitted.leaves)], rel=1e-9)
+    fitted.save(str(tmp_path / "model"))
+    again = model.BoostedTrees.load(spark, str(tmp_path / "model"))
+    assert again.transform(both.withColumnRenamed("pred_model", "was")).select(F.max(F.abs(F.col("was") - F.col("pred_model")))).first()[0] == 0.0
 
 
 def test_no_rows_to_learn_from(spark):
@@ -62,8 +114,9 @@ def test_chunk_bounds():
 
 def test_export_reports_gaps_and_coverage(spark, tmp_path):
     rows = hours(spark, 48, lambda i: None if i % 4 == 0 else float(i)).where("hour(ts) not in (3, 4)")
-    back, gaps, cover = clean.export(rows, str(tmp_path / "out"), ["k"])
+    back, gaps, cover, extent = clean.export(rows, str(tmp_path / "out"), ["k"])
     assert back.count() == 44
+    assert [tuple(r) for r in extent.collect()] == [(44, datetime(2024, 1, 1), datetime(2024, 1, 2, 23))]
     assert [r.gap_s for r in gaps.collect()] == [3 * 3600] * 2
     (one,) = cover.collect()
     assert (one.column, one.n_null) == ("x", rows.where("x is null").count())
@@ -71,5 +124,7 @@ def test_export_reports_gaps_and_coverage(spark, tmp_path):
 
 def test_reports_of_empty_feeds(spark):
     empty = hours(spark, 1, float).where("false").select("k", "ts", F.lit(1).alias("ingest_seq"), F.col("x").alias("load"), F.col("x").alias("pv_sion"))
-    assert {r.n for r in clean.load_report(empty, ["k"]).collect()} == {0}
+    counts = clean.Counts()
+    assert clean.clean_load(empty, ["k"], counts=counts).count() == 0
+    assert {r.n for r in counts.report().collect()} == {0}
     assert scale.rolling_stats(empty, ["k"], "load", 2, 2).count() == 0

@@ -2,63 +2,191 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+
+from py4j.java_gateway import JavaObject
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.rows import at_most
 from wattloom.operators import metrics
 from wattloom.sources.files import scratch
 
-
-def fit(train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, patience: int = 50, ts: str = "ts") -> PipelineModel:
-    """M1: imputed medians, then at most `rounds` boosted trees.  The last `validation_share` of the
-    time judges every round; growing stops `patience` rounds after the best one, whose trees stay.
-
-    Spark's own validation stops at the first round without gain.  So four times the patience is grown
-    first, then all rounds, over rows that are written once: equal seeds give equal first trees, and
-    the best number of them is grown again."""
+ROWS_A_TASK = 50_000  # fewer rows than this don't pay for a task of their own
+STAGE = 10  # trees after which the residuals are written
+
+
+def leaf_value(total: float, n: float, l1: float, l2: float) -> float:
+    """What a leaf adds under squared loss: the residuals' sum, drawn towards 0 by l1, over n + l2."""
+    drawn = max(abs(total) - l1, 0.0)
+    return (drawn if total > 0 else -drawn) / (n + l2) if n + l2 > 0 else 0.0
+
+
+@dataclass
+class BoostedTrees:
+    """Trees of one GBTRegressionModel with leaf values of their own: the prediction is `base` and, for
+    each tree, `step` times the value of the leaf that a row falls in.  `losses` are the mean squared
+    errors on the held rows after 0, 1, 2, ... rounds, those after the best one included."""
+
+    prepare: PipelineModel
+    features: list[str]
+    base: float
+    step: float
+    trees: GBTRegressionModel | None
+    leaves: list[list[float]]
+    losses: list[float] = field(default_factory=list)
+
+    def transform(self, rows: DataFrame, name: str = "pred_model") -> DataFrame:
+        """The rows with their prediction."""
+        doubles = rows.withColumns({f"_x_{c}": F.col(c).cast("double") for c in self.features})
+        ready = self.prepare.transform(doubles)
+        return _with_margin(ready, self.trees and self.trees._java_obj, self.leaves, self.step, F.lit(self.base), name).drop("_features", *(f"_{k}_{c}" for k in "xf" for c in self.features))
+
+    def importances(self) -> dict[str, float]:
+        """Share of each feature in the gain of all splits."""
+        shares = self.trees.featureImportances.toArray().tolist() if self.trees else []
+        return dict(zip(self.features, shares + [0.0] * (len(self.features) - len(shares))))  # it ends at the last one used
+
+    def save(self, path: str) -> None:
+        self.prepare.write().overwrite().save(f"{path}/prepare")
+        if self.trees:
+            self.trees.write().overwrite().save(f"{path}/trees")
+        facts = json.dumps({"features": self.features, "base": self.base, "step": self.step, "leaves": self.leaves, "losses": self.losses})
+        SparkSession.active().createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/leaves")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedTrees:
+        facts = json.loads(spark.read.text(f"{path}/leaves").first()[0])
+        trees = GBTRegressionModel.load(f"{path}/trees") if facts["leaves"] else None
+        return cls(PipelineModel.load(f"{path}/prepare"), trees=trees, **facts)
+
+
+def _together(trees: list[JavaObject], step: float) -> JavaObject:
+    """One boosted model of trees grown one after the other, as the JVM holds them: wrapping each round's
+    trees in Python would take longer than to grow them."""
+    sc = SparkSession.active().sparkContext
+    gateway, jvm = sc._gateway, sc._jvm
+    own = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for i, t in enumerate(trees):
+        own[i], weights[i] = t, step
+    return jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"gbtr_{len(trees)}", own, weights)
+
+
+def _with_leaves(rows: DataFrame, trees: JavaObject, name: str) -> DataFrame:
+    """The rows with the number of the leaf that they fall in: of a tree, or as a vector of all trees."""
+    trees.setFeaturesCol("_features")
+    trees.setPredictionCol("")
+    trees.setLeafCol(name)
+    return DataFrame(trees.transform(rows._jdf), rows.sparkSession)
+
+
+def _with_margin(rows: DataFrame, trees: JavaObject | None, leaves: list[list[float]], step: float, start: Column, name: str) -> DataFrame:
+    """`start` plus what the trees add, from the leaf of every tree (one call for all trees)."""
+    if trees is None:
+        return rows.withColumn(name, start)
+    values = F.from_json(F.lit(json.dumps(leaves)), "array<array<double>>")  # folded into one constant
+    added = F.zip_with(vector_to_array("_leaves"), values, lambda leaf, value: F.get(value, leaf.cast("int")))
+    sums = F.aggregate(added, F.lit(0.0), lambda total, x: total + x)
+    return _with_leaves(rows, trees, "_leaves").withColumn(name, start + step * sums).drop("_leaves")
+
+
+def fit(
+    train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, patience: int = 50, ts: str = "ts",
+    step: float = 0.05, sample: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: int = 5, seed: int = 42,
+) -> BoostedTrees:
+    """M1: imputed medians, then at most `rounds` boosted trees with L1 and L2 terms.  The last
+    `validation_share` of the time judges every round; growing stops `patience` rounds after the best
+    one, whose trees stay.
+
+    Each tree grows once, on the residuals that those before leave.  One aggregate by leaf then gives
+    its leaf values (leaf_value) and, as the rows' errors are known up to the leaf's value, the held
+    rows' loss.  After every STAGE trees the residuals are written, which starts a short plan anew: a
+    row never passes more than STAGE trees, and a lost executor costs one stage at most."""
+    spark = train.sparkSession
     ends = train.agg(F.unix_micros(F.min(ts).cast("timestamp")).alias("a"), F.unix_micros(F.max(ts).cast("timestamp")).alias("b")).first()
     if ends.a is None:
         raise ValueError("no rows to learn from")
     cut = ends.a + (ends.b - ends.a) * (1 - validation_share)
-    rows = train.select(*(F.col(c).cast("double").alias(c) for c in features), label, (F.unix_micros(F.col(ts).cast("timestamp")) > cut).alias("_validate"))
-    filled = [f"{c}_filled" for c in features]
-    prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]).fit(rows)
-    path = scratch(train.sparkSession, "model-rows")
-    prepare.transform(rows).select("features", label, "_validate").write.parquet(path)
-    ready = train.sparkSession.read.parquet(path)
-
-    def grow(n: int) -> GBTRegressionModel:
-        trees = GBTRegressor(
-            labelCol=label, featuresCol="features", predictionCol="pred_model", maxIter=n, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42,
+    held = F.unix_micros(F.col(ts).cast("timestamp")) > cut
+    rows = train.where(F.col(label).isNotNull()).select(*(F.col(c).cast("double").alias(f"_x_{c}") for c in features), F.col(label).cast("double").alias("_y"), held.alias("_held"))
+    names, filled = [f"_x_{c}" for c in features], [f"_f_{c}" for c in features]
+    stored = _written(rows, "model-rows")
+    prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_features")]).fit(stored)
+    sums = stored.groupBy().agg(F.count("*").alias("n"), F.avg(F.when(~F.col("_held"), F.col("_y"))).alias("mean")).first()
+    base = sums.mean or 0.0
+    parts = max(1, sums.n // ROWS_A_TASK)
+    stage = prepare.transform(stored).select("_features", "_held", (F.col("_y") - base).alias("_r")).coalesce(parts).persist()
+
+    trees: list[JavaObject] = []
+    leaves: list[list[float]] = []
+    errors = stage.where("_held").agg(F.avg(F.col("_r") * F.col("_r")).alias("e")).first()
+    losses = [] if errors.e is None else [errors.e]
+    first = 0  # of the trees that the stage's residuals don't know yet
+    best = lambda: min(range(len(losses)), key=losses.__getitem__) if losses else len(trees)
+    while len(trees) < rounds and len(trees) - best() < patience:
+        if len(trees) - first == STAGE:
+            done = stage
+            stage = _written(_residuals(stage, trees[first:], leaves[first:], step), "model-residuals").coalesce(parts).persist()
+            done.unpersist()
+            first = len(trees)
+        now = _residuals(stage, trees[first:], leaves[first:], step)
+        grower = RandomForestRegressor(
+            featuresCol="_features", labelCol="_r", numTrees=1, maxDepth=depth, minInstancesPerNode=least, bootstrap=False, subsamplingRate=sample, featureSubsetStrategy="0.8" if sample < 1 else "all",
+            seed=seed + len(trees),
         )
-        return trees.fit(ready.where("not _validate"))
-
-    held, n = ready.where("_validate"), min(4 * patience, rounds)
-    while True:
-        model = grow(n)
-        losses = model.evaluateEachIteration(held, "squared") if held.take(1) else []
-        best = min(range(len(losses)), key=losses.__getitem__, default=n - 1) + 1
-        if n == rounds or n - best >= patience:
-            break
-        n = rounds
-    return PipelineModel([*prepare.stages, model if best == n else grow(best)])
-
-
-def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
+        tree = grower.fit(now.where("not _held"))._java_obj.trees()[0]
+        known, n, squares = _leaf_sums(now, tree)
+        values = [leaf_value(*known.get(k, (0.0, 0.0))[:2], l1, l2) for k in range(max(known, default=-1) + 1)]
+        trees.append(tree)
+        leaves.append(values)
+        if n:
+            moved = sum(step * values[k] * (step * values[k] * m - 2 * s) for k, (_, _, s, m) in known.items())
+            losses.append((squares + moved) / n)
+    stage.unpersist()
+    keep = best()
+    return BoostedTrees(prepare, features, base, step, GBTRegressionModel(_together(trees[:keep], step)) if keep else None, leaves[:keep], losses)
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _residuals(stage: DataFrame, trees: list[JavaObject], leaves: list[list[float]], step: float) -> DataFrame:
+    if not trees:
+        return stage
+    return _with_margin(stage, _together(trees, step), leaves, -step, F.col("_r"), "_r")
+
+
+def _leaf_sums(rows: DataFrame, tree: JavaObject) -> tuple[dict[int, tuple[float, float, float, float]], int, float]:
+    """{leaf: (sum and number of the residuals to learn from, sum and number of the held ones)}, the
+    number of held rows and the sum of their squared residuals, from one aggregate."""
+    placed = _with_leaves(rows, tree, "_leaf")
+    r, held = F.col("_r"), F.col("_held")
+    zero = F.lit(0.0)
+    sums = placed.groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
+        F.coalesce(F.sum(F.when(~held, r)), zero).alias("s"), F.count_if(~held).alias("n"), F.coalesce(F.sum(F.when(held, r)), zero).alias("hs"), F.count_if(held).alias("hn"),
+        F.coalesce(F.sum(F.when(held, r * r)), zero).alias("hq"),
+    )
+    found = sums.collect()  # 2^depth rows at most
+    return {x.leaf: (x.s, x.n, x.hs, x.hn) for x in found}, sum(x.hn for x in found), sum(x.hq for x in found)
+
+
+def predict(model: BoostedTrees, rows: DataFrame) -> DataFrame:
     """M2: rows with pred_model."""
-    doubles = rows.withColumns({c: F.col(c).cast("double") for c in features})
-    return model.transform(doubles).drop("features", *(f"{c}_filled" for c in features))
+    return model.transform(rows)
 
 
-def importances(model: PipelineModel, features: list[str], top: int = 10) -> DataFrame:
+def importances(model: BoostedTrees, top: int = 10) -> DataFrame:
     """M3, TK2: the most important features, the first five marked."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    rows = SparkSession.getActiveSession().createDataFrame(list(zip(features, values)), "feature string, importance double")
+    rows = SparkSession.active().createDataFrame(list(model.importances().items()), "feature string, importance double")
     return top_features(rows, top)
 
 

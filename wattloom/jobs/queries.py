@@ -113,7 +113,7 @@ def io3(spark, d):
 @query("io5_write_by_month", "SELECT strftime(ts, '%Y-%m') AS month, COUNT(*) AS n, ROUND(SUM(x), 3) AS total FROM readings GROUP BY 1")
 def io5(spark, d):
     path = files.scratch(spark, "by-month")
-    files.write_by_month(S.readings(spark, d), path)
+    files.write_by_month(S.readings(spark, d), path, K)
     back = files.read_table(spark, path)
     return rounded(back.groupBy("month").agg(F.count("*").alias("n"), F.sum("x").alias("total")), "total", digits=3)
 
@@ -868,7 +868,9 @@ _LOAD_REPORT = """SELECT 'duplicate' AS rule, 'ts' AS "column", COUNT(*) - (SELE
 
 @query("a24_load_report", _LOAD_REPORT, **_E1)
 def a24_load(spark, d):
-    return clean_jobs.load_report(_feed(spark, d), K, bounds={"pv_sion": (0, 40)})
+    counts = clean_jobs.Counts()
+    files.write_table(clean_jobs.clean_load(_feed(spark, d), K, bounds={"pv_sion": (0, 40)}, counts=counts), files.scratch(spark, "load"))
+    return counts.report()
 
 
 _VARIABLES = {"T_2M": (0.4, 0.0), "GLOB": (6.0, -60.0), "PS": (150.0, 90_000.0), "DURSUN": (30.0, -100.0)}
@@ -945,7 +947,9 @@ _FORECAST_REPORT = " UNION ALL ".join([
 
 @query("a24_forecast_report", _FORECAST_REPORT, **_E2)
 def a24_forecast(spark, d):
-    return clean_jobs.forecast_report(_forecast_feed(spark, d), K)
+    counts = clean_jobs.Counts()
+    files.write_table(clean_jobs.clean_forecast(_forecast_feed(spark, d), K, counts=counts), files.scratch(spark, "forecast"))
+    return counts.report()
 
 
 _MERGED = {**_e1_views("pv_sion"), **_E2, "merged": f"SELECT e1.load, e1.pv_sion, e1.pv_sion AS pv_total, {', '.join(f'e2.{c}' for c in [*_E2_PARTS, *_E2_COUNTS])} FROM e1 FULL JOIN e2 ON e1.series = e2.series AND e1.ts = e2.ts"}
@@ -954,7 +958,7 @@ _MERGED = {**_e1_views("pv_sion"), **_E2, "merged": f"SELECT e1.load, e1.pv_sion
 @query("e3_merge_and_cover", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS n_null, ROUND(COUNT({c}) * 100.0 / COUNT(*), 4) AS coverage_pct FROM merged" for c in ["load", "pv_sion", "pv_total", *_E2_PARTS, *_E2_COUNTS]), **_MERGED)
 def e3(spark, d):
     merged = clean_jobs.merge(clean_jobs.clean_load(_feed(spark, d), K, bounds={}), clean_jobs.clean_forecast(_forecast_feed(spark, d), K), K)
-    return rounded(clean_jobs.export(merged, files.scratch(spark, "merged"), K)[2], "coverage_pct", digits=4)
+    return rounded(clean_jobs.export(merged, files.scratch(spark, "merged"), K).coverage, "coverage_pct", digits=4)
 
 
 _E4_END = "2024-01-27"
@@ -1084,7 +1088,7 @@ def _fitted(spark, d):
     at = (spark.sparkContext.applicationId, d)
     if at not in _FITS:
         _FITS[at] = model.fit(rows.where("split = 'train'"), schemas.FEATURES_V2)
-    return _FITS[at], model.predict(_FITS[at], rows, schemas.FEATURES_V2)
+    return _FITS[at], model.predict(_FITS[at], rows)
 
 
 @query("m1_m2_fit_and_measure")
@@ -1094,7 +1098,7 @@ def m2(spark, d):
 
 @query("m3_importances")
 def m3(spark, d):
-    return model.importances(_fitted(spark, d)[0], schemas.FEATURES_V2)
+    return model.importances(_fitted(spark, d)[0])
 
 
 @query("m4_benchmark")

@@ -2,40 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.rows import is_night
 
-from .ranks import quantiles
+from .grid import by_time
+from .scale import attach
 
 
-def _attach(df: DataFrame, keys: list[str], facts: DataFrame) -> DataFrame:
-    """Facts of one row a series joined back to its rows."""
-    if not keys:
-        return df.crossJoin(F.broadcast(facts))  # one row
-    renamed = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return df.join(renamed, same, "left").drop(*(f"_k_{k}" for k in keys))
+def _with_facts(df: DataFrame, keys: list[str], facts: dict[str, Column], ts: str, apart: bool) -> DataFrame:
+    """Rows with aggregates of their whole series.  They are taken over the window that the other rules
+    of a job use, so that they cost no exchange of their own; `apart`, or without keys, they are joined
+    from an aggregate, for series that no task should hold whole."""
+    if keys and not apart:
+        whole = by_time(keys, ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({n: f.over(whole) for n, f in facts.items()})
+    return attach(df, df.groupBy(*keys).agg(*(f.alias(n) for n, f in facts.items())), keys)
 
 
-def zero_at_night(df: DataFrame, keys: list[str], columns: list[str], mode: str = "reference", ts: str = "ts") -> DataFrame:
+def zero_at_night(df: DataFrame, keys: list[str], columns: list[str], mode: str = "reference", ts: str = "ts", apart: bool = False) -> DataFrame:
     """PR5: night values become 0.  mode 'reference': only in series and columns with a positive night
     value, and there for all night rows, nulls too; 'always': everywhere."""
     night = F.coalesce(is_night(ts), F.lit(False))
     if mode == "always":
         return df.withColumns({c: F.when(night, 0.0).otherwise(F.col(c)) for c in columns})
-    gates = {f"_gate_{c}": F.coalesce(F.bool_or(night & (F.col(c) > 0)), F.lit(False)) for c in columns}
-    gated = _attach(df, keys, df.groupBy(*keys).agg(*(f.alias(n) for n, f in gates.items())))
-    return gated.withColumns({c: F.when(night & F.col(f"_gate_{c}"), 0.0).otherwise(F.col(c)) for c in columns}).drop(*gates)
-
-
-def scale_by_median(df: DataFrame, keys: list[str], columns: list[str], above: float = 10_000.0, by: float = 100.0) -> DataFrame:
-    """PR8: divided by `by` in series whose median is above the limit (Pa to hPa)."""
-    medians = quantiles(df, keys, columns, {"m": 0.5})
-    facts = medians.groupBy(*keys).agg(*(F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"_median_{c}") for c in columns))
-    known = _attach(df, keys, facts)
-    return known.withColumns({c: F.when(F.col(f"_median_{c}") > above, F.col(c) / by).otherwise(F.col(c)) for c in columns}).drop(*(f"_median_{c}" for c in columns))
+    gates = {f"_gate_{c}": F.bool_or(night & (F.col(c) > 0)) for c in columns}
+    gated = _with_facts(df, keys, gates, ts, apart)
+    return gated.withColumns({c: F.when(night & F.coalesce(f"_gate_{c}", F.lit(False)), 0.0).otherwise(F.col(c)) for c in columns}).drop(*gates)
+
+
+def scale_by_median(df: DataFrame, keys: list[str], columns: list[str], above: float = 10_000.0, by: float = 100.0, ts: str = "ts", apart: bool = False) -> DataFrame:
+    """PR8: divided by `by` in series whose median is above the limit (Pa to hPa).
+
+    Which side the median is on takes no sort: more than half of the values above the limit put it
+    above, fewer below, and where just half are, it is the mean of the two next to the limit."""
+    facts = {}
+    for c in columns:
+        over = F.col(c) > above
+        facts |= {f"_n_{c}": F.count(c), f"_over_{c}": F.count_if(over), f"_lo_{c}": F.max(F.when(~over, F.col(c))), f"_hi_{c}": F.min(F.when(over, F.col(c)))}
+    known, out = _with_facts(df, keys, facts, ts, apart), {}
+    for c in columns:
+        more = 2 * F.col(f"_over_{c}") - F.col(f"_n_{c}")
+        middle = (F.col(f"_lo_{c}") + F.col(f"_hi_{c}")) / 2 > above
+        out[c] = F.when((more > 0) | (more == 0) & F.coalesce(middle, F.lit(False)), F.col(c) / by).otherwise(F.col(c))
+    return known.withColumns(out).drop(*facts)
 
 
 def report(df: DataFrame, masks: dict[tuple[str, str], Column]) -> DataFrame:

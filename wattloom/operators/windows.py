@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import by_time
-from .scale import rolling_stats
+from .scale import place, rolling_stats, spread
 
 
 def lags(df: DataFrame, keys: list[str], column: str, steps: dict[str, int], ts: str = "ts") -> DataFrame:
@@ -35,15 +35,16 @@ def trailing_means(df: DataFrame, keys: list[str], column: str, windows: dict[st
 
 def null_zscore_outliers(df: DataFrame, keys: list[str], columns: list[str], window: int, least: int, threshold: float = 4.0, ts: str = "ts") -> DataFrame:
     """Values over `threshold` sample deviations from the mean of the centred window (rows
-    i - window/2 to i + window/2 - 1) become null; windows of fewer than `least` values or without
-    spread judge nothing.  Running sums: O(n) for any window."""
+    i - window/2 to i + window/2 - 1) become null, and NaN does; windows of fewer than `least` values or
+    without spread judge nothing.  Moments of blocks, all columns at once: O(n) for any window."""
+    stats = rolling_stats(df, keys, {c: f"_z_{c}" for c in columns}, window // 2, (window - 1) // 2, ts)
     out = {}
     for c in columns:
-        df = rolling_stats(df, keys, c, window // 2, (window - 1) // 2, ts, f"_z_{c}")
-        far = F.abs(F.col(c) - F.col(f"_z_{c}_mean")) > threshold * F.col(f"_z_{c}_std")
-        spread = F.col(f"_z_{c}_std") > 1e-9 * F.abs(F.col(f"_z_{c}_mean"))
-        out[c] = F.when(~F.coalesce((F.col(f"_z_{c}_n") >= least) & spread & far, F.lit(False)), F.col(c))
-    return df.withColumns(out).drop(*(f"_z_{c}_{x}" for c in columns for x in ("mean", "std", "n")))
+        mean, std = F.col(f"_z_{c}_mean"), F.col(f"_z_{c}_std")
+        far = F.abs(F.col(c) - mean) > threshold * std
+        judged = (F.col(f"_z_{c}_n") >= least) & (std > 1e-12 * F.abs(mean)) & far  # rounding is no spread
+        out[c] = F.when(~F.coalesce(judged, F.lit(False)) & ~F.isnan(c), F.col(c))
+    return stats.withColumns(out).select(*df.columns)
 
 
 def spike_flags(keys: list[str], steps: dict[str, float], ts: str = "ts") -> dict[str, Column]:
@@ -63,28 +64,71 @@ def fill(df: DataFrame, keys: list[str], columns: list[str], forward: int, backw
     return ahead.withColumns({c: F.first(c, True).over(w.rowsBetween(0, backward)) for c in columns})
 
 
-def interpolate(df: DataFrame, keys: list[str], columns: list[str], limit: int = 6, around: int = 2, strict: bool = False, ts: str = "ts") -> DataFrame:
-    """Linear in time over the first `limit` nulls of a gap (after the last value: that value), then
-    `around` rows forward and `around` backward.  strict: only gaps of at most `limit` are filled."""
-    w, back = by_time(keys, ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
+def fill_between(df: DataFrame, keys: list[str], columns: list[str], at: str, micros: str, limit: int, around: int, strict: bool) -> DataFrame:
+    """W5 of rows that have their place in the series (`at`) and their time in microseconds."""
+    w, back = by_time(keys, at), Window.partitionBy(*keys).orderBy(F.desc(at))
     # both frames grow by a row from one row to the next, the second one in falling order of time
     past, future = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, back))
-    at = df.withColumn("_rn", F.row_number().over(w)).withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
     ends = {}
     for c in columns:
-        here = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("n"), F.col("_s").alias("s"), F.col(c).alias("x")))
+        here = F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("n"), F.col(micros).alias("s"), F.col(c).alias("x")))
         ends |= {f"_p_{c}": F.last(here, True).over(past), f"_q_{c}": F.last(here, True).over(future)}
-    at = at.withColumns(ends)
+    between = df.withColumns(ends)
     out = {}
     for c in columns:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
-        line = p["x"] + (q["x"] - p["x"]) * (F.col("_s") - p["s"]) / (q["s"] - p["s"])
-        near = F.col("_rn") - p["n"] <= limit
+        line = p["x"] + (q["x"] - p["x"]) * (F.col(micros) - p["s"]) / (q["s"] - p["s"])
+        near = F.col(at) - p["n"] <= limit
         if strict:
             near = q.isNotNull() & (q["n"] - p["n"] - 1 <= limit)
         out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNotNull() & near, F.when(q.isNull(), p["x"]).otherwise(line))
-    filled = at.withColumns(out).select(*df.columns)
-    return filled if strict else fill(filled, keys, columns, around, around, ts)
+    filled = between.withColumns(out).select(*df.columns)
+    return filled if strict else fill(filled, keys, columns, around, around, at)
+
+
+def interpolate(df: DataFrame, keys: list[str], columns: list[str], limit: int = 6, around: int = 2, strict: bool = False, ts: str = "ts") -> DataFrame:
+    """Linear in time over the first `limit` nulls of a gap (after the last value: that value), then
+    `around` rows forward and `around` backward.  strict: only gaps of at most `limit` are filled."""
+    rows = df.withColumns({"_at": F.row_number().over(by_time(keys, ts)), "_s": F.unix_micros(F.col(ts).cast("timestamp"))})
+    return fill_between(rows, keys, columns, "_at", "_s", limit, around, strict).select(*df.columns)
+
+
+def interpolate_in_chunks(
+    df: DataFrame, keys: list[str], columns: list[str], limit: int = 6, around: int = 2, strict: bool = False, size: int = 100_000, ts: str = "ts", part: str = "month",
+) -> DataFrame:
+    """W5 over chunks of `size` rows: the same rows as windows.interpolate, no task larger than a chunk.
+
+    A chunk's last and first values go to a table of one row a chunk.  A window over it says for each
+    chunk which value comes before it and which after, for every column, and those rows join the chunk
+    as rows outside its own.  `around` rows on either side serve the fills at its ends.  `df` is read
+    twice; store it first if it is costly."""
+    halo = 0 if strict else around
+    if size <= halo:
+        raise ValueError("a chunk must be longer than the fill")
+    placed = place(df, keys, ts, part).withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
+    own, ends = F.floor(F.col("_at") / size), []
+    within = F.col("_at") - own * size
+    for i, c in enumerate(columns):
+        here = F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("n"), F.col("_s").alias("s"), F.col(c).cast("double").alias("x")))
+        ends += [F.max(here).alias(f"_l{i}"), F.max(F.when(within < size - halo, here)).alias(f"_li{i}")]
+        ends += [F.min(here).alias(f"_f{i}"), F.min(F.when(within >= halo, here)).alias(f"_fi{i}")]
+    chunks = placed.groupBy(*keys, own.alias("_chunk")).agg(*ends)
+    rising, falling = (Window.partitionBy(*keys).orderBy(o) for o in ("_chunk", F.desc("_chunk")))
+    farther = lambda w: w.rowsBetween(Window.unboundedPreceding, -2)
+    carried = []
+    for i in range(len(columns)):
+        p = F.coalesce(F.lag(f"_li{i}").over(rising), F.last(f"_l{i}", True).over(farther(rising)))
+        q = F.coalesce(F.lag(f"_fi{i}").over(falling), F.last(f"_f{i}", True).over(farther(falling)))
+        carried += [F.struct(F.lit(i).alias("i"), e.alias("e")) for e in (p, q)]
+    carry = chunks.select(*keys, "_chunk", F.array(*carried).alias("_c")).select(*keys, "_chunk", F.explode("_c").alias("_c")).where("_c.e is not null")
+    carry = carry.select(
+        *keys, "_chunk", F.lit(-1).cast("long").alias("_own"), F.col("_c.e.n").alias("_at"), F.col("_c.e.s").alias("_s"),
+        *(F.when(F.col("_c.i") == i, F.col("_c.e.x")).alias(c) for i, c in enumerate(columns)),
+    )
+    rows = spread(placed.withColumns({c: F.col(c).cast("double") for c in columns}), halo, halo, size)
+    both = rows.unionByName(carry, allowMissingColumns=True)
+    out = fill_between(both, [*keys, "_chunk"], columns, "_at", "_s", limit, around, strict)
+    return out.where("_own = _chunk").select(*df.columns)
 
 
 def same_slot_mean(df: DataFrame, keys: list[str], column: str, name: str, rows: int = 4, ts: str = "ts") -> DataFrame:

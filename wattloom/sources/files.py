@@ -19,9 +19,15 @@ def _token(c: str) -> Column:
     return F.when(~text.isin(NULL_TOKENS), text)
 
 
+def finite(c: Column) -> Column:
+    """A double; NaN and the infinities are null, as a reading that is no number."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def decimal_comma(c: str) -> Column:
-    """A text column with a decimal comma as a double; the null tokens and bad numbers are null."""
-    return F.regexp_replace(_token(c), ",", ".").try_cast("double")
+    """A text column with a decimal comma as a double; the null tokens, bad numbers and words like NaN or
+    Infinity are null."""
+    return finite(F.regexp_replace(_token(c), ",", ".").try_cast("double"))
 
 
 def day_first(c: str) -> Column:
@@ -46,7 +52,7 @@ def read_load(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataF
     """IO2: the imported load feed (`,`, decimal point) under canonical names."""
     raw = _raw_csv(spark, path, ",")
     named = raw.withColumnsRenamed(LOAD_COLUMNS | {"timestamp": "ts"})
-    return named.select(*keys, F.col("ts").try_cast("timestamp_ntz").alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in LOAD_COLUMNS.values() if c in named.columns))
+    return named.select(*keys, F.col("ts").try_cast("timestamp_ntz").alias("ts"), *(finite(F.col(c).try_cast("double")).alias(c) for c in LOAD_COLUMNS.values() if c in named.columns))
 
 
 def read_forecast(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -67,10 +73,15 @@ def select_observations(rows: DataFrame, start: str, stop: str, site, measuremen
     return rows.where((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.col("site") == site) & F.col("measurement").isin(measurements) & (F.col("field") == field))
 
 
-def write_by_month(rows: DataFrame, path: str, ts: str = "ts") -> None:
-    """IO5: Parquet by month; months in rows replace those of an earlier run, others stay."""
+SPREAD = 16  # tasks that the series of one day are spread over
+
+
+def write_by_month(rows: DataFrame, path: str, keys: Sequence[str] = (), ts: str = "ts") -> None:
+    """IO5: Parquet by month; months in rows replace those of an earlier run, others stay.  A day of all
+    series (`keys`) is spread over tasks by a hash of the series."""
     by_month = rows.withColumn("month", F.date_format(ts, "yyyy-MM"))
-    by_month.repartition("month", F.to_date(ts)).sortWithinPartitions(ts).write.option("partitionOverwriteMode", "dynamic").partitionBy("month").mode("overwrite").parquet(path)
+    series = [F.pmod(F.xxhash64(*keys), F.lit(SPREAD))] if keys else []
+    by_month.repartition("month", F.to_date(ts), *series).sortWithinPartitions(ts).write.option("partitionOverwriteMode", "dynamic").partitionBy("month").mode("overwrite").parquet(path)
 
 
 def append_chunk(rows: DataFrame, path: str, start: str, stop: str, ts: str = "ts") -> None:
@@ -81,6 +92,17 @@ def append_chunk(rows: DataFrame, path: str, start: str, stop: str, ts: str = "t
     part.write.option("partitionOverwriteMode", "dynamic").partitionBy("chunk").mode("overwrite").parquet(path)
 
 
+def append_chunks(rows: DataFrame, path: str, bounds: Sequence[tuple[str, str]], ts: str = "ts") -> None:
+    """IO5, U1: all chunks of consecutive bounds from one pass over the rows; as append_chunk for each."""
+    if not bounds:
+        return
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (bounds[0][0], bounds[-1][1]))
+    starts = F.array(*(F.struct(F.lit(start).cast("timestamp_ntz").alias("at"), F.lit(start).alias("chunk")) for start, _ in bounds))
+    own = F.array_max(F.filter(starts, lambda s: s["at"] <= F.col(ts)))["chunk"]
+    part = rows.where((F.col(ts) >= lo) & (F.col(ts) < hi)).withColumn("chunk", own)
+    part.write.option("partitionOverwriteMode", "dynamic").partitionBy("chunk").mode("overwrite").parquet(path)
+
+
 def chunk_bounds(start: str, stop: str, days: int | None = None) -> list[tuple[str, str]]:
     """IO5: [start, stop) in calendar months, or in steps of `days`; the last one ends at `stop`."""
     at, end, out = date.fromisoformat(start), date.fromisoformat(stop), []
