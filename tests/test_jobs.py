@@ -122,6 +122,54 @@ def test_export_reports_gaps_and_coverage(spark, tmp_path):
     assert (one.column, one.n_null) == ("x", rows.where("x is null").count())
 
 
+def feed(spark, n=600):
+    rows = hours(spark, n, lambda i: 50.0 + i % 24 - 500 * (i % 97 == 3)).withColumn("ingest_seq", F.lit(1))
+    rows = rows.unionByName(rows.where("hour(ts) = 4").withColumn("ingest_seq", F.lit(2)))
+    return rows.select("k", "ts", "ingest_seq", F.when(F.hour("ts") != 9, F.col("x")).alias("load"), (F.col("x") - 60).alias("pv_sion"))
+
+
+def jobs_of(spark, run) -> int:
+    name = f"group-{np.random.default_rng().integers(1 << 60)}"
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("after", "after")
+    return n
+
+
+def test_counts_come_from_the_run_itself(spark, tmp_path):
+    rows, counts = feed(spark), clean.Counts()
+    write = lambda name, c: files.write_table(clean.clean_load(rows, ["k"], bounds={"pv_sion": (0, 5)}, counts=c), str(tmp_path / name))
+    without = jobs_of(spark, lambda: write("a", None))
+    assert jobs_of(spark, lambda: write("b", counts)) == without  # no second job
+    found = {(rule, c): n for rule, c, n in counts.found()}
+    once = rows.where("ingest_seq = 1")
+    assert found["duplicate", "ts"] == rows.count() - once.count() == 25
+    assert found["negative", "pv_sion"] == once.where("pv_sion < 0").count() > 0
+    assert found["filled", "load"] == once.where("load is null").count() + found["zscore", "load"]
+    assert found["zscore", "load"] > 0 and found["bounds", "pv_sion"] > 0
+    a, b = (sorted(map(str, spark.read.parquet(str(tmp_path / n)).collect())) for n in "ab")
+    assert a == b
+
+
+def test_run_writes_counts_and_covers_in_one_go(spark, tmp_path):
+    load = feed(spark)
+    predicted = load.select("k", "ts", "ingest_seq", *(F.when(F.hour("ts") != k, F.col("load")).alias(f"T_2M_ctrl_lt{k}") for k in (1, 2)))
+    load.write.parquet(str(tmp_path / "load"))
+    predicted.write.parquet(str(tmp_path / "forecast"))
+    for chunk in (None, 200):
+        out, a, b = clean.run(spark, str(tmp_path / "load"), str(tmp_path / "forecast"), str(tmp_path / f"out{chunk}"), ["k"], chunk)
+        assert {n for rule, _, n in a.found() + b.found() if rule == "duplicate"} == {25}
+        n = out.rows.count()
+        assert out.extent.first().n == n == 600
+        for r in out.coverage.collect():
+            assert r.n_null == out.rows.where(F.col(r.column).isNull()).count()
+            assert r.coverage_pct == pytest.approx(100 * (1 - r.n_null / n))
+        rows = sorted(map(str, out.rows.select("k", "ts", "load", "pv_sion", "T_2M_best").collect()))
+        assert chunk is None or rows == before
+        before = rows
+
+
 def test_reports_of_empty_feeds(spark):
     empty = hours(spark, 1, float).where("false").select("k", "ts", F.lit(1).alias("ingest_seq"), F.col("x").alias("load"), F.col("x").alias("pv_sion"))
     counts = clean.Counts()

@@ -89,6 +89,73 @@ def test_halo_is_the_plain_window(spark, noisy):
         np.testing.assert_allclose(column(chunked, key=k), column(plain, key=k))
 
 
+def test_chunks_interpolate_as_the_whole_series(spark, noisy):
+    x = np.concatenate([noisy, np.full(90, np.nan), noisy[::-1], np.full(3, np.nan)])  # a gap longer than two chunks, open ends
+    df = frame(spark, x, ("a", "b", None)).withColumn("y", F.when(F.hour("ts") % 5 != 0, F.col("x") * 2)).withColumn("_c", F.lit("kept"))
+    for size, strict in ((40, False), (7, False), (3, False), (40, True), (1000, False)):
+        plain = windows.interpolate(df, K, ["x", "y"], strict=strict)
+        cut = windows.interpolate_in_chunks(df, K, ["x", "y"], strict=strict, size=size, part="day")
+        assert cut.columns == plain.columns
+        a, b = (sorted((str(r.k), r.ts, r.x and round(r.x, 9), r.y and round(r.y, 9), r._c) for r in d.collect()) for d in (plain, cut))
+        assert a == b, (size, strict)
+    with pytest.raises(ValueError):
+        windows.interpolate_in_chunks(df, K, ["x"], size=2)
+    assert windows.interpolate_in_chunks(df.where("false"), K, ["x"]).collect() == []
+
+
+@pytest.mark.parametrize("part", ["day", "week", "month"])
+def test_gaps_and_stretches_over_parts(spark, part):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(24 * 20) < 0.5, np.nan, 1.0)
+    x[:30] = x[100:180] = x[400:] = np.nan  # at the start, over three days and more, at the end
+    df = frame(spark, x, ("a", None)).where("not (dayofmonth(ts) between 5 and 8) and hour(ts) not in (0, 23)")
+    df = df.unionByName(frame(spark, np.full(60, np.nan), ("empty",))).unionByName(frame(spark, np.ones(60), ("full",)))
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(scale.gaps_in_parts(df, K, "INTERVAL 1 HOUR", part=part)) == rows(grid.gaps(df, K, "INTERVAL 1 HOUR")) != []
+    found = scale.stretches_in_parts(df, K, ["x"], part=part)
+    assert rows(found) == rows(grid.empty_stretches(df, K, ["x"])) != []
+    assert [(r.start, r.end) for r in found.where("k = 'empty'").collect()] == [(datetime(2024, 1, 1), datetime(2024, 1, 3, 11))]
+    assert found.where("k = 'full'").count() == 0
+    assert scale.stretches_in_parts(df.where("false"), K, ["x"]).collect() == scale.gaps_in_parts(df.where("false"), K, "INTERVAL 1 HOUR").collect() == []
+
+
+def test_rolling_stats_of_any_size_and_with_nan(spark, noisy):
+    s = pd.Series(noisy)
+    for values, level in ((s + 1e9, 1e9), (s * 1e-6, 0)):
+        got = scale.rolling_stats(frame(spark, values.to_numpy()), K, "x", 10, 9)
+        r = values.rolling(20, center=True, min_periods=1)
+        np.testing.assert_allclose(column(got, "roll_mean"), r.mean().to_numpy(), rtol=1e-12)
+        np.testing.assert_allclose(column(got, "roll_std"), (values - level).rolling(20, center=True, min_periods=1).std().to_numpy(), rtol=1e-6, atol=1e-12)
+    for before, after in ((0, 0), (3, 0), (0, 5), (1, 1), (500, 500)):
+        got = scale.rolling_stats(frame(spark, noisy), K, {"x": "a"}, before, after)
+        for i, n in enumerate(column(got, "a_n")):
+            own = noisy[max(0, i - before) : i + after + 1]
+            assert n == np.isfinite(own).sum()
+    nan = frame(spark, noisy).withColumn("x", F.when(F.hour("ts") == 5, float("nan")).otherwise(F.col("x")))
+    null = nan.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    for n in ("roll_mean", "roll_std", "roll_n"):
+        a, b = (column(scale.rolling_stats(d, K, "x", 10, 9), n) for d in (nan, null))
+        np.testing.assert_array_equal(a, b)
+
+
+def test_an_outlier_is_found_after_a_nan(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=400)
+    x[300] = 90
+    df = frame(spark, x).withColumn("x", F.when(F.col("ts") == F.lit(datetime(2024, 1, 1, 5)), float("nan")).otherwise(F.col("x")))
+    got = column(windows.null_zscore_outliers(df, K, ["x"], 48, 12))
+    assert np.flatnonzero(np.isnan(got)).tolist() == [5, 300]
+    far = column(windows.null_zscore_outliers(frame(spark, x + 1e9), K, ["x"], 48, 12))
+    assert np.flatnonzero(np.isnan(far)).tolist() == [300]
+
+
+def test_windows_take_one_exchange_and_one_task_a_chunk(spark, noisy):
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    df = frame(spark, noisy).withColumn("y", F.col("x"))
+    assert plan(windows.null_zscore_outliers(df, K, ["x", "y"], 24, 6)).count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(k" in plan(windows.interpolate_in_chunks(df, K, ["x"])) and "_chunk" in plan(windows.interpolate_in_chunks(df, K, ["x"])).split("Window")[1]
+
+
 def test_loop_and_lag_means(spark):
     x = np.arange(24 * 40, dtype=float) ** 1.1
     df = frame(spark, x)
@@ -111,6 +178,16 @@ def test_night_gate_and_median(spark):
     np.testing.assert_array_equal(column(clean.zero_at_night(dark, K, ["x"])), [np.nan, -1, 0, np.nan, 0, 0, 7, 8])
     assert column(clean.zero_at_night(dark, [], ["x"], mode="always"))[1] == 0
     np.testing.assert_array_equal(column(clean.scale_by_median(frame(spark, [20000, 30000, 100]), K, ["x"])), [200, 300, 1])
+    rng = np.random.default_rng(6)
+    for _ in range(12):
+        x = rng.choice([9_000.0, 9_999.0, 10_000.0, 10_001.0, 12_000.0, np.nan], size=rng.integers(1, 7))
+        above = np.nanmedian(x) > 10_000 if np.isfinite(x).any() else False
+        for apart in (False, True):
+            got = column(clean.scale_by_median(frame(spark, x), K, ["x"], apart=apart))
+            np.testing.assert_array_equal(got, x / 100 if above else x)
+    both = frame(spark, [1, 2, np.nan], ("a", None))
+    for apart in (False, True):
+        assert sorted(str(tuple(r)[2]) for r in clean.zero_at_night(both, K, ["x"], apart=apart).collect()) == ["0.0"] * 6
 
 
 def test_run_summaries_agree(spark):

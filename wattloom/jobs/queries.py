@@ -687,6 +687,11 @@ def w5(spark, d):
     return rounded(windows.interpolate(_gappy(spark, d), K, ["load"]), "load")
 
 
+@query("w5_interpolation_in_chunks", "SELECT series, ts, ROUND(load, 5) AS load FROM i5", gappy=_GAPPY, **_interpolation("gappy", "load", 6))
+def w5_chunks(spark, d):
+    return rounded(windows.interpolate_in_chunks(_gappy(spark, d), K, ["load"], size=40, part="week"), "load")
+
+
 @query("w6_fill", """SELECT series, ts, ROUND(FIRST_VALUE(f IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 5) AS load FROM (
     SELECT series, ts, LAST_VALUE(load IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS f FROM gappy)""", gappy=_GAPPY)
 def w6(spark, d):
@@ -702,13 +707,26 @@ def w7(spark, d):
     return grid.gaps(_first_hours(spark, d), K, "INTERVAL 1 HOUR")
 
 
-@query("w8_empty_stretches", """SELECT series, MIN(ts) AS start, MAX(COALESCE(nxt, ts)) AS "end" FROM (SELECT *, SUM(new) OVER (PARTITION BY series ORDER BY ts) AS island FROM (
+_STRETCHES = """SELECT series, MIN(ts) AS start, MAX(COALESCE(nxt, ts)) AS "end" FROM (SELECT *, SUM(new) OVER (PARTITION BY series ORDER BY ts) AS island FROM (
     SELECT series, ts, load IS NULL AS empty, LEAD(ts) OVER w AS nxt, CASE WHEN load IS NULL AND NOT COALESCE(LAG(load IS NULL) OVER w, FALSE) THEN 1 ELSE 0 END AS new FROM gappy WINDOW w AS (PARTITION BY series ORDER BY ts)))
-    WHERE empty GROUP BY series, island""", gappy=_GAPPY)
+    WHERE empty GROUP BY series, island"""
+
+
+@query("w8_empty_stretches", _STRETCHES, gappy=_GAPPY)
 def w8(spark, d):
     return grid.empty_stretches(_gappy(spark, d), K, ["load"])
 
 
+@query("w7_gaps_in_parts", _GAPS, firsts=_FIRST)
+def w7_parts(spark, d):
+    return scale.gaps_in_parts(_first_hours(spark, d), K, "INTERVAL 1 HOUR", part="day")
+
+
+@query("w8_stretches_in_parts", _STRETCHES, gappy=_GAPPY)
+def w8_parts(spark, d):
+    return scale.stretches_in_parts(_gappy(spark, d), K, ["load"], part="day")
+
+
 @query("w9_same_slot_mean", "SELECT series, ts, ROUND(AVG(load) OVER (PARTITION BY series, isodow(ts), hour(ts) ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 5) AS m FROM hourly")
 def w9(spark, d):
     return rounded(windows.same_slot_mean(S.hourly(spark, d), K, "load", "m").select("series", "ts", "m"), "m")
@@ -858,6 +876,11 @@ def e1(spark, d):
     return rounded(clean_jobs.clean_load(_feed(spark, d), K, bounds={"pv_sion": (0, 40)}), "load", "pv_sion", "pv_total")
 
 
+@query("e1_clean_load_in_chunks", "SELECT series, ts, ROUND(load, 5) AS load, ROUND(pv_sion, 5) AS pv_sion, ROUND(pv_sion, 5) AS pv_total FROM e1", **_E1)
+def e1_chunks(spark, d):
+    return rounded(clean_jobs.clean_load(_feed(spark, d), K, bounds={"pv_sion": (0, 40)}, chunk_rows=150), "load", "pv_sion", "pv_total")
+
+
 _LOAD_REPORT = """SELECT 'duplicate' AS rule, 'ts' AS "column", COUNT(*) - (SELECT COUNT(*) FROM once) AS n FROM feed UNION ALL SELECT 'negative', 'pv_sion', COUNT(*) FROM once WHERE pv_sion < 0
     UNION ALL SELECT 'night', 'pv_sion', COUNT(*) FROM clipped c JOIN gate g ON c.series = g.series WHERE night AND gate AND pv_sion IS DISTINCT FROM 0.0
     UNION ALL SELECT 'zscore', 'load', COUNT(*) FROM dark a JOIN zed b ON a.series = b.series AND a.ts = b.ts WHERE a.load IS NOT NULL AND b.load IS NULL
@@ -961,6 +984,12 @@ def e3(spark, d):
     return rounded(clean_jobs.export(merged, files.scratch(spark, "merged"), K).coverage, "coverage_pct", digits=4)
 
 
+@query("a27_export_extent", "SELECT COUNT(*) AS n, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM (SELECT COALESCE(e1.ts, e2.ts) AS ts FROM e1 FULL JOIN e2 ON e1.series = e2.series AND e1.ts = e2.ts)", **_MERGED)
+def a27_export(spark, d):
+    merged = clean_jobs.merge(clean_jobs.clean_load(_feed(spark, d), K, bounds={}), clean_jobs.clean_forecast(_forecast_feed(spark, d), K), K)
+    return clean_jobs.export(merged, files.scratch(spark, "merged"), K).extent
+
+
 _E4_END = "2024-01-27"
 _E4_WIDE = _WIDE.replace("FROM obs_long WHERE", f"FROM obs_long WHERE ts < TIMESTAMP '{_E4_END}' AND")
 

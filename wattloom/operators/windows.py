@@ -77,7 +77,7 @@ def fill_between(df: DataFrame, keys: list[str], columns: list[str], at: str, mi
     out = {}
     for c in columns:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
-        line = p["x"] + (q["x"] - p["x"]) * (F.col(micros) - p["s"]) / (q["s"] - p["s"])
+        line = p["x"] + F.try_divide((q["x"] - p["x"]) * (F.col(micros) - p["s"]), q["s"] - p["s"])  # 0 only on carried rows
         near = F.col(at) - p["n"] <= limit
         if strict:
             near = q.isNotNull() & (q["n"] - p["n"] - 1 <= limit)
