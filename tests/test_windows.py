@@ -156,6 +156,29 @@ def test_windows_take_one_exchange_and_one_task_a_chunk(spark, noisy):
     assert "hashpartitioning(k" in plan(windows.interpolate_in_chunks(df, K, ["x"])) and "_chunk" in plan(windows.interpolate_in_chunks(df, K, ["x"])).split("Window")[1]
 
 
+@pytest.mark.parametrize("gather", [5, 200, 10_000])
+def test_quantiles_are_exact_at_any_bracket(spark, gather):
+    from wattloom.operators import ranks
+
+    rng = np.random.default_rng(9)
+    values = {
+        "flat": rng.normal(size=4000), "few": rng.choice([0.0, 1.0], 3000), "atom": np.where(rng.random(3001) < 0.6, 5.0, rng.random(3001) * 10), "one": np.array([7.0]),
+        "two": np.array([1.0, 2.0]), "same": np.full(900, 3.0), None: rng.exponential(size=1500), "long": np.r_[np.zeros(500), 10.0 ** rng.uniform(-300, 300, 700), -np.inf, np.inf],
+    }
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("flat", None), ("flat", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q1": 1.0}
+    got = {r.k: r for r in ranks.quantiles(df, ["k"], ["x"], shares, gather).collect()}
+    assert set(got) == set(values)
+    for k, x in values.items():
+        if k != "long":
+            np.testing.assert_allclose([got[k][n] for n in shares], np.quantile(x, list(shares.values())), rtol=1e-12, err_msg=str(k))
+    assert (got["long"].q0, got["long"].q1) == (-np.inf, np.inf) and got["long"].q50 == pytest.approx(np.quantile(values["long"], 0.5), rel=1e-12)
+    whole = ranks.quantiles(df, [], ["x"], {"m": 0.5}, gather).collect()
+    assert [(r.column, r.m) for r in whole] == [("x", pytest.approx(np.nanquantile(np.concatenate(list(values.values())), 0.5), rel=1e-12))]
+    assert ranks.quantiles(df.where("false"), ["k"], ["x"], shares).collect() == []
+
+
 def test_loop_and_lag_means(spark):
     x = np.arange(24 * 40, dtype=float) ** 1.1
     df = frame(spark, x)

@@ -11,6 +11,7 @@ from wattloom.functions import calendar as cal
 from wattloom.functions import rows as R
 from wattloom.operators import clean, forecast, grid, lookups, metrics, ranks, scale, windows
 from wattloom.sources import files, schemas
+from wattloom.streaming import ingest
 
 from . import baselines, features, model
 from . import clean as clean_jobs
@@ -163,6 +164,18 @@ def u1(spark, d):
     return _landed(spark, d, 10, "2024-02-01", again=1)  # a chunk that comes twice is there once
 
 
+@query("u1_ingest_stream", "SELECT strftime(ts, '%Y-%m') AS month, CAST(ts AS DATE) AS day, COUNT(*) AS n, ROUND(SUM(x), 3) AS total FROM readings GROUP BY 1, 2")
+def u1_stream(spark, d):
+    """Two deliveries of files and three runs of the stream, the second one without new files."""
+    r, landing, path, state = S.readings(spark, d), *(files.scratch(spark, n) for n in ("landing", "landed", "stream"))
+    for delivery in (0, None, 1):
+        if delivery is not None:
+            r.where(F.col("ingest_seq") % 2 == delivery).repartition(3).write.mode("append").parquet(landing)
+        ingest.ingest_files(spark, landing, path, state, r.schema, files_a_batch=2)
+    days = ingest.landed(spark, path, r.schema).groupBy("month", F.to_date("ts").alias("day"))
+    return rounded(days.agg(F.count("*").alias("n"), F.sum("x").alias("total")), "total", digits=3)
+
+
 # ---- row rules ----------------------------------------------------------------------------------
 
 
@@ -277,14 +290,33 @@ def pr19(spark, d):
 _TWO = {"left_half": "SELECT series, ts, load FROM hourly WHERE hour(ts) < 16", "right_half": "SELECT series, ts, pv FROM hourly WHERE hour(ts) > 8"}
 
 
-@query("j1_full_merge", """SELECT COALESCE(a.series, b.series) AS series, COALESCE(a.ts, b.ts) AS ts, ROUND(load, 5) AS load, ROUND(pv, 4) AS pv
-    FROM left_half a FULL JOIN right_half b ON a.series = b.series AND a.ts = b.ts""", **_TWO)
+_MERGE = """SELECT COALESCE(a.series, b.series) AS series, COALESCE(a.ts, b.ts) AS ts, ROUND(load, 5) AS load, ROUND(pv, 4) AS pv
+    FROM left_half a FULL JOIN right_half b ON a.series = b.series AND a.ts = b.ts"""
+
+
+@query("j1_full_merge", _MERGE, **_TWO)
 def j1(spark, d):
     h = S.hourly(spark, d)
-    both = clean_jobs.merge(h.where(F.hour("ts") < 16).select("series", "ts", "load"), h.where(F.hour("ts") > 8).select("series", "ts", "pv"), K)
+    return _halves(clean_jobs.merge(h.where(F.hour("ts") < 16).select("series", "ts", "load"), h.where(F.hour("ts") > 8).select("series", "ts", "pv"), K))
+
+
+def _halves(both: DataFrame) -> DataFrame:
     return rounded(rounded(both, "load"), "pv", digits=4)
 
 
+def _bucketed(spark, rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a bucketed table of its own."""
+    path = files.scratch(spark, name)
+    return files.write_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), K, 8, path=path)
+
+
+@query("j1_merge_bucketed", _MERGE, **_TWO)
+def j1_bucketed(spark, d):
+    h = S.hourly(spark, d)
+    early, late = h.where(F.hour("ts") < 16).select("series", "ts", "load"), h.where(F.hour("ts") > 8).select("series", "ts", "pv")
+    return _halves(clean_jobs.merge(_bucketed(spark, early, "early"), _bucketed(spark, late, "late"), K))
+
+
 @query("j2_observations_left", """SELECT l.series, l.ts, ROUND(l.load, 5) AS load, ROUND(o.temp, 5) AS temp FROM daily_load l LEFT JOIN daily_obs o ON CAST(l.ts AS DATE) = o.day
     WHERE CAST(l.ts AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'""")
 def j2(spark, d):
@@ -990,6 +1022,14 @@ def a27_export(spark, d):
     return clean_jobs.export(merged, files.scratch(spark, "merged"), K).extent
 
 
+@query("e3_merge_bucketed", f"SELECT COALESCE(e1.series, e2.series) AS series, COALESCE(e1.ts, e2.ts) AS ts, ROUND(load, 5) AS load, ROUND(e1.pv_sion, 5) AS pv_sion, {', '.join(f'ROUND({c}, 5) AS {c}' for c in _E2_PARTS)} FROM e1 FULL JOIN e2 ON e1.series = e2.series AND e1.ts = e2.ts", **_MERGED)
+def e3_bucketed(spark, d):
+    """E1 to E3 on feeds that are bucketed by series: no exchange above the two scans."""
+    load, predicted = _bucketed(spark, _feed(spark, d), "load"), _bucketed(spark, _forecast_feed(spark, d), "forecast")
+    merged = clean_jobs.merge(clean_jobs.clean_load(load, K, bounds={}), clean_jobs.clean_forecast(predicted, K), K)
+    return rounded(merged.select("series", "ts", "load", "pv_sion", *_E2_PARTS), "load", "pv_sion", *_E2_PARTS)
+
+
 _E4_END = "2024-01-27"
 _E4_WIDE = _WIDE.replace("FROM obs_long WHERE", f"FROM obs_long WHERE ts < TIMESTAMP '{_E4_END}' AND")
 

@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",  # feeds bucketed by series meet by series and time without an exchange
 }
 
 

@@ -113,6 +113,16 @@ def chunk_bounds(start: str, stop: str, days: int | None = None) -> list[tuple[s
     return out
 
 
+def write_bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int = 200, ts: str = "ts", path: str | None = None) -> DataFrame:
+    """A feed as the table `name`, bucketed by series and sorted by time within: what works by series
+    (duplicates, windows, the merge of two such feeds) then needs no exchange.  Tables that are to meet
+    need equal bucket numbers.  `path` puts the files elsewhere than in the warehouse."""
+    spread = rows.repartition(buckets, *keys)  # one task, so one file, a bucket
+    out = spread.write.bucketBy(buckets, *keys).sortBy(*keys, ts).format("parquet").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def read_latest(spark: SparkSession, pattern: str, reader=read_load, by: str = "file_modification_time", whole_folder: bool = False) -> DataFrame:
     """IO6: the latest of the files that the glob matches, by time or (by='file_name') by name;
     `whole_folder` reads all files beside it, for snapshots of several files."""
