@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattloom.functions.rows import clip_negative, no_sun_without_radiation, null_skipping_sum, present, sentinel_to_null, within
+from wattloom.functions.rows import clip_negative, no_sun_without_radiation, null_skipping_sum, sentinel_to_null, within
 from wattloom.operators import clean, forecast, grid, metrics, scale, windows
 from wattloom.sources import files, schemas
 
@@ -102,30 +102,61 @@ def _filled(rows: DataFrame, keys: list[str], columns: list[str], limit: int, ch
     return windows.interpolate_in_chunks(rows.sparkSession.read.schema(rows.schema).parquet(path), keys, columns, limit=limit, size=chunk_rows)
 
 
-def clean_load(df: DataFrame, keys: list[str], seq: str = "ingest_seq", bounds: dict | None = None, interpolate: int = 6, chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
-    """Duplicates, negatives, night, z-score, bounds, interpolation, hourly grid, PV total.
+def load_columns(columns: list[str]) -> tuple[list[str], list[str]]:
+    """The load and photovoltaic columns of a feed."""
+    return [c for c in ("load", "load_forecast") if c in columns], [c for c in columns if c.startswith("pv_")]
 
-    With `chunk_rows`, no task holds a whole series.  `counts` is filled by the action that runs the
-    result (A24)."""
+
+def prepared_load(df: DataFrame, keys: list[str], seq: str = "ingest_seq", counts: Counts | None = None) -> DataFrame:
+    """E1 up to what is known of a row alone: duplicates, negatives."""
     counts = counts or _NoCounts()
-    bounds = schemas.PV_BOUNDS if bounds is None else bounds
-    pv = [c for c in df.columns if c.startswith("pv_")]
-    load = present(df, ["load", "load_forecast"])
+    load, pv = load_columns(df.columns)
     rows = _once(df.select(*keys, "ts", seq, *load, *pv), keys, seq, counts).drop(seq)
-    rows = counts.step(rows, "negative", pv, lambda r: r.withColumns({c: clip_negative(c) for c in pv}))
-    rows = counts.step(rows, "night", pv, lambda r: clean.zero_at_night(r, keys, pv, apart=chunk_rows is not None))
+    return counts.step(rows, "negative", pv, lambda r: r.withColumns({c: clip_negative(c) for c in pv}))
+
+
+def judged_load(rows: DataFrame, keys: list[str], bounds: dict | None = None, chunk_rows: int | None = None, counts: Counts | None = None, known: DataFrame | None = None) -> DataFrame:
+    """E1 up to the nulls that are to be filled: night, z-score, bounds."""
+    counts, bounds = counts or _NoCounts(), schemas.PV_BOUNDS if bounds is None else bounds
+    load, pv = load_columns(rows.columns)
+    rows = counts.step(rows, "night", pv, lambda r: clean.zero_at_night(r, keys, pv, apart=chunk_rows is not None, known=known))
     rows = counts.step(rows, "zscore", load, lambda r: _zscore(r, keys, load, 672, 96, chunk_rows))
     bounded = [c for c in pv if c in bounds]
-    rows = counts.step(rows, "bounds", bounded, lambda r: r.withColumns({c: within(c, *bounds[c]) for c in bounded}))
+    return counts.step(rows, "bounds", bounded, lambda r: r.withColumns({c: within(c, *bounds[c]) for c in bounded}))
+
+
+def finished_load(rows: DataFrame, keys: list[str], interpolate: int = 6, chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
+    """E1's end: interpolation, hourly grid, PV total."""
+    counts, (load, pv) = counts or _NoCounts(), load_columns(rows.columns)
     rows = counts.step(rows, "filled", [*load, *pv], lambda r: _filled(r, keys, [*load, *pv], interpolate, chunk_rows))
     hourly = grid.resample(counts.counted(rows), keys, {c: (c, "mean") for c in load} | {c: (c, "sum") for c in pv})
     return hourly.withColumn("pv_total", null_skipping_sum(pv)) if pv else hourly
 
 
-def clean_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq", chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
-    """Sentinels, duplicates, run summary, aliases, bounds, night, negatives, pressure unit,
-    spikes, z-score, sunshine without radiation, interpolation.  `chunk_rows`, `counts`: as in E1."""
-    counts, apart = counts or _NoCounts(), chunk_rows is not None
+def clean_load(df: DataFrame, keys: list[str], seq: str = "ingest_seq", bounds: dict | None = None, interpolate: int = 6, chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
+    """Duplicates, negatives, night, z-score, bounds, interpolation, hourly grid, PV total.
+
+    With `chunk_rows`, no task holds a whole series.  `counts` is filled by the action that runs the
+    result (A24)."""
+    rows = judged_load(prepared_load(df, keys, seq, counts), keys, bounds, chunk_rows, counts)
+    return finished_load(rows, keys, interpolate, chunk_rows, counts)
+
+
+def forecast_values(rows: DataFrame, keys: list[str], counts: Counts | None = None) -> list[str]:
+    """The columns of the summary that are cleaned."""
+    return [c for c in rows.columns if c not in (*keys, "ts", *(counts or _NoCounts()).kept) and not c.endswith(("_n_runs", "_lead_time"))]
+
+
+def forecast_groups(numbers: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Of those: the solar ones, the ones that can't be negative, the pressures."""
+    of = lambda *names: [c for c in numbers if any(n in c for n in names)]
+    solar = of("GLOB", "DURSUN", "pred_radiation", "pred_sunshine")
+    return solar, [*solar, *of("TOT_PREC", "pred_precipitation")], of("PS", "pred_pressure")
+
+
+def prepared_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq", counts: Counts | None = None) -> DataFrame:
+    """E2 up to what is known of a row alone: sentinels, duplicates, run summary, aliases, bounds."""
+    counts = counts or _NoCounts()
     values = [c for c in df.columns if c not in (*keys, "ts", seq)]
     rows = _once(df.select(*keys, "ts", seq, *values), keys, seq, counts)
     rows = counts.step(rows, "sentinel", values, lambda r: r.withColumns({c: sentinel_to_null(c) for c in values}))
@@ -136,23 +167,38 @@ def clean_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq", chun
     alias = {f"{s}_best": a for s, a in schemas.FORECAST_ALIASES.items()} | {f"{s}_spread": f"{a}_spread" for s, a in schemas.FORECAST_ALIASES.items()}
     rows = rows.withColumns({a: F.col(c) for c, a in alias.items() if c in summary})
     limits = {c: b for c, b in schemas.bounds_of_forecast().items() if c in rows.columns}
-    rows = counts.step(rows, "bounds", [*limits], lambda r: r.withColumns({c: within(c, *b) for c, b in limits.items()}))
-    numbers = [c for c in rows.columns if c not in (*keys, "ts", *counts.kept) and not c.endswith(("_n_runs", "_lead_time"))]
-    of = lambda *names: [c for c in numbers if any(n in c for n in names)]
-    solar = of("GLOB", "DURSUN", "pred_radiation", "pred_sunshine")
-    rows = counts.step(rows, "night", solar, lambda r: clean.zero_at_night(r, keys, solar, apart=apart))
-    signless = [*solar, *of("TOT_PREC", "pred_precipitation")]
+    return counts.step(rows, "bounds", [*limits], lambda r: r.withColumns({c: within(c, *b) for c, b in limits.items()}))
+
+
+def judged_forecast(rows: DataFrame, keys: list[str], chunk_rows: int | None = None, counts: Counts | None = None, known: DataFrame | None = None) -> DataFrame:
+    """E2 up to the nulls that are to be filled: night, negatives, pressure unit, spikes, z-score,
+    sunshine without radiation."""
+    counts, apart = counts or _NoCounts(), chunk_rows is not None
+    solar, signless, pressure = forecast_groups(forecast_values(rows, keys, counts))
+    rows = counts.step(rows, "night", solar, lambda r: clean.zero_at_night(r, keys, solar, apart=apart, known=known))
     rows = counts.step(rows, "negative", signless, lambda r: r.withColumns({c: clip_negative(c) for c in signless}))
-    pressure = of("PS", "pred_pressure")
-    rows = counts.step(rows, "unit", pressure, lambda r: clean.scale_by_median(r, keys, pressure, apart=apart))
+    rows = counts.step(rows, "unit", pressure, lambda r: clean.scale_by_median(r, keys, pressure, apart=apart, known=known))
     spikes = {c: d for s, d in schemas.SPIKES.items() for c in (f"{s}_best", schemas.FORECAST_ALIASES[s]) if c in rows.columns}
     rows = counts.step(rows, "spike", [*spikes], lambda r: windows.null_spikes(r, keys, spikes))
     rows = counts.step(rows, "zscore", [*spikes], lambda r: _zscore(r, keys, [*spikes], 168, 24, chunk_rows))
     pairs = {s: r for r, s in (("GLOB_best", "DURSUN_best"), ("pred_radiation", "pred_sunshine")) if r in rows.columns and s in rows.columns}
-    rows = counts.step(rows, "sunshine", [*pairs], lambda r: r.withColumns({s: no_sun_without_radiation(rad, s) for s, rad in pairs.items()}))
+    return counts.step(rows, "sunshine", [*pairs], lambda r: r.withColumns({s: no_sun_without_radiation(rad, s) for s, rad in pairs.items()}))
+
+
+def finished_forecast(rows: DataFrame, keys: list[str], chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
+    """E2's end: interpolation."""
+    counts = counts or _NoCounts()
+    numbers = forecast_values(rows, keys, counts)
     return counts.counted(counts.step(rows, "filled", numbers, lambda r: _filled(r, keys, numbers, 6, chunk_rows)))
 
 
+def clean_forecast(df: DataFrame, keys: list[str], seq: str = "ingest_seq", chunk_rows: int | None = None, counts: Counts | None = None) -> DataFrame:
+    """Sentinels, duplicates, run summary, aliases, bounds, night, negatives, pressure unit,
+    spikes, z-score, sunshine without radiation, interpolation.  `chunk_rows`, `counts`: as in E1."""
+    rows = judged_forecast(prepared_forecast(df, keys, seq, counts), keys, chunk_rows, counts)
+    return finished_forecast(rows, keys, chunk_rows, counts)
+
+
 def merge(load: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """All hours of either side."""
     return load.join(predicted, [*keys, "ts"], "full")

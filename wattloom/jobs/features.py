@@ -41,17 +41,19 @@ def matrix_v2(df: DataFrame, obs: DataFrame, keys: list[str], site_keys: list[st
     pred_*), obs(site keys, ts, temp_obs, radiation_obs, precip_obs); the site keys are keys of df."""
     site = keys if site_keys is None else site_keys
     rows = df.withColumns({"temp_pred_h": F.col("pred_temperature"), "irad_pred_h": F.col("pred_radiation"), "precip_risk_h": F.col("pred_precipitation")})
-    rows = lookups.day_total(rows, keys, "pred_radiation", "irad_pred_daily_sum")
     rows = windows.lags(rows, keys, "load", {"load_J1_same_hour": 48})
+    rows = lookups.day_total(rows, keys, "pred_radiation", "irad_pred_daily_sum")  # in the partitions by series that the lags need
     rows = calendar.calendar_v2(rows, zone)
     daily_obs = grid.resample(obs, site, {"temp": ("temp_obs", "mean"), "rad": ("radiation_obs", "mean"), "rad_sum": ("radiation_obs", "sum"), "precip": ("precip_obs", "sum")}, "day")
     daily_obs = daily_obs.select(*site, F.to_date("ts").alias("day"), "temp", "rad", "rad_sum", "precip")
     p95 = lookups.monthly_percentile(daily_obs, site, "rad_sum", 0.95, fit_before)
     rows = lookups.attach_monthly(rows, site, p95, "_p95")
     rows = rows.withColumn("clear_sky_ratio", F.col("irad_pred_daily_sum") / at_least("_p95", 1.0))
-    rows = lookups.attach_daily(rows, site, daily_obs, {2: {"temp": "temp_obs_J1_mean", "rad": "radiation_obs_J1_mean", "precip": "precip_obs_J1_sum"}})
     daily_load = grid.resample(df, keys, {"m": ("load", "mean")}, "day").select(*keys, F.to_date("ts").alias("day"), "m")
-    rows = lookups.attach_daily(rows, keys, daily_load, {2: {"m": "load_J1_mean"}, 8: {"m": "load_J7_mean"}})
+    rows = lookups.attach_days(rows, [
+        (site, daily_obs, {2: {"temp": "temp_obs_J1_mean", "rad": "radiation_obs_J1_mean", "precip": "precip_obs_J1_sum"}}),
+        (keys, daily_load, {2: {"m": "load_J1_mean"}, 8: {"m": "load_J7_mean"}}),
+    ])
     rows = require_columns(interactions(rows), [*keys, "ts", *FEATURES_V2, "load", "load_forecast"])
     rows = rows.na.drop(subset=["load", "load_J1_same_hour", "load_J1_mean", "load_J7_mean"])
     return rows.withColumn("split", split_at(cut, gap=gap))

@@ -98,16 +98,21 @@ def _with_margin(rows: DataFrame, trees: JavaObject | None, leaves: list[list[fl
 
 def fit(
     train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, patience: int = 50, ts: str = "ts",
-    step: float = 0.05, sample: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: int = 5, seed: int = 42,
+    step: float = 0.05, sample: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: int = 5, seed: int = 42, at_once: int = 1,
 ) -> BoostedTrees:
     """M1: imputed medians, then at most `rounds` boosted trees with L1 and L2 terms.  The last
     `validation_share` of the time judges every round; growing stops `patience` rounds after the best
     one, whose trees stay.
 
-    Each tree grows once, on the residuals that those before leave.  One aggregate by leaf then gives
+    A tree grows once, on the residuals that those before leave.  One aggregate by leaf then gives
     its leaf values (leaf_value) and, as the rows' errors are known up to the leaf's value, the held
     rows' loss.  After every STAGE trees the residuals are written, which starts a short plan anew: a
-    row never passes more than STAGE trees, and a lost executor costs one stage at most."""
+    row never passes more than STAGE trees (and `at_once`), and a lost executor costs one stage at most.
+
+    `at_once` trees grow in one go, on samples of their own of the residuals before the first of them;
+    their leaf values still come one after the other, each from what the trees before leave.  A step of
+    0.05 changes the residuals little, and most of the cost of a tree is in passes over the rows, which
+    such trees share.  1 is plain boosting."""
     spark = train.sparkSession
     ends = train.agg(F.unix_micros(F.min(ts).cast("timestamp")).alias("a"), F.unix_micros(F.max(ts).cast("timestamp")).alias("b")).first()
     if ends.a is None:
@@ -130,24 +135,24 @@ def fit(
     first = 0  # of the trees that the stage's residuals don't know yet
     best = lambda: min(range(len(losses)), key=losses.__getitem__) if losses else len(trees)
     while len(trees) < rounds and len(trees) - best() < patience:
-        if len(trees) - first == STAGE:
+        if len(trees) - first >= STAGE:
             done = stage
             stage = _written(_residuals(stage, trees[first:], leaves[first:], step), "model-residuals").coalesce(parts).persist()
             done.unpersist()
             first = len(trees)
         now = _residuals(stage, trees[first:], leaves[first:], step)
         grower = RandomForestRegressor(
-            featuresCol="_features", labelCol="_r", numTrees=1, maxDepth=depth, minInstancesPerNode=least, bootstrap=False, subsamplingRate=sample, featureSubsetStrategy="0.8" if sample < 1 else "all",
-            seed=seed + len(trees),
+            featuresCol="_features", labelCol="_r", numTrees=min(at_once, rounds - len(trees)), maxDepth=depth, minInstancesPerNode=least, bootstrap=False, subsamplingRate=sample,
+            featureSubsetStrategy="0.8" if sample < 1 else "all", seed=seed + len(trees),
         )
-        tree = grower.fit(now.where("not _held"))._java_obj.trees()[0]
-        known, n, squares = _leaf_sums(now, tree)
-        values = [leaf_value(*known.get(k, (0.0, 0.0))[:2], l1, l2) for k in range(max(known, default=-1) + 1)]
-        trees.append(tree)
-        leaves.append(values)
-        if n:
-            moved = sum(step * values[k] * (step * values[k] * m - 2 * s) for k, (_, _, s, m) in known.items())
-            losses.append((squares + moved) / n)
+        for tree in grower.fit(now.where("not _held"))._java_obj.trees():
+            known, n, squares = _leaf_sums(_residuals(stage, trees[first:], leaves[first:], step), tree)
+            values = [leaf_value(*known.get(k, (0.0, 0.0))[:2], l1, l2) for k in range(max(known, default=-1) + 1)]
+            trees.append(tree)
+            leaves.append(values)
+            if n:
+                moved = sum(step * values[k] * (step * values[k] * m - 2 * s) for k, (_, _, s, m) in known.items())
+                losses.append((squares + moved) / n)
     stage.unpersist()
     keep = best()
     return BoostedTrees(prepare, features, base, step, GBTRegressionModel(_together(trees[:keep], step)) if keep else None, leaves[:keep], losses)

@@ -10,10 +10,17 @@ def attach_daily(df: DataFrame, keys: list[str], daily: DataFrame, day_offsets:
     """Columns of the daily table (keys, day, ...) of some days before: {offset: {column: name}}.
 
     The daily table's key is moved, not the big table's; Spark broadcasts it where it is small."""
+    return attach_days(df, [(keys, daily, day_offsets)], day, ts)
+
+
+def attach_days(df: DataFrame, tables: list[tuple[list[str], DataFrame, dict[int, dict[str, str]]]], day: Column | None = None, ts: str = "ts") -> DataFrame:
+    """attach_daily of several tables (keys, table, offsets): all meet the rows on one day column, so that
+    those with the same keys share one exchange of the rows."""
     out = df.withColumn("_day", F.to_date(ts) if day is None else day)
-    for offset, columns in day_offsets.items():
-        moved = daily.select(*keys, F.date_add("day", offset).alias("_day"), *(F.col(c).alias(n) for c, n in columns.items()))
-        out = out.join(moved, [*keys, "_day"], "left")
+    for keys, daily, day_offsets in tables:
+        for offset, columns in day_offsets.items():
+            moved = daily.select(*keys, F.date_add("day", offset).alias("_day"), *(F.col(c).alias(n) for c, n in columns.items()))
+            out = out.join(moved, [*keys, "_day"], "left")
     return out.drop("_day")
 
 
