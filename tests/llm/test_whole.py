@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wattloom.llm import common, mixing, pii
+from wattloom.llm import common, mixing, pii, repeats
 
 
 @pytest.mark.parametrize("limit", [0, 1, 5, 512, 599, 600, 700])
@@ -49,3 +49,23 @@ def test_targets_out_of_reach_are_reported(spark):
         mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
     with pytest.warns(RuntimeWarning, match="no labelled document of c"):
         mixing.fit_rates(members, ["a", "b"], {"a": 0.5, "b": 0.4, "c": 0.1})
+
+
+@pytest.mark.parametrize("period", ["x", "ab", "seven b", "p" * 99 + "q" * 101, "r" * 150 + "s" * 100])
+def test_a_text_that_repeats_itself_gives_few_rows(spark, period):
+    size = 3_000_000
+    text = (period * (size // len(period) + 1))[:size]
+    texts = spark.createDataFrame([(1, text), (2, "no repeat " + "".join(chr(33 + i * i % 89) for i in range(150)))], "tid long, text string")
+    spans = repeats.repeated_spans(texts).where("tid = 1")
+    if len(period) <= 137:  # every window holds a whole period, so all anchors follow themselves
+        assert spans.count() < 100
+    ends = spans.agg({"start": "min", "stop": "max"}).first()
+    assert sorted(ends) == [0, size]
+    (row,) = repeats.remove_repeats(texts.withColumnRenamed("tid", "doc_id")).where("doc_id = 1").collect()
+    assert (row.n_bytes, row.n_removed, row.n_spans) == (size, size, 1)
+
+
+def test_a_very_long_blank_text(spark):
+    rows = spark.createDataFrame([(1, " " * 24_000_000 + "end"), (2, "y" * 199)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(rows).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans, got[2].n_removed) == (24_000_003, 24_000_000, 1, 0)

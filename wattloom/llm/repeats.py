@@ -35,18 +35,20 @@ LENGTH = 200
 PREFIX = NAMED
 FILTER_MB = 32
 HOT = 2_000
-PIECE = 8_000_000
+PIECE = 1_000_000
 _POSITION_BITS = np.uint64(24)
 
 
 @dataclass
 class Anchors:
-    """Of each run of windows with one anchor: document in the block, first window, windows, place
+    """Of each run of windows with one anchor: document in the block, first window, windows, how often
+    the same bytes follow at once (in a text that repeats a byte or a short string, every run does), place
     of the anchor after the first window, rank of the prefix, rank of all bytes of the windows."""
 
     doc: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    times: np.ndarray
     shift: np.ndarray
     prefix: np.ndarray
     whole: np.ndarray
@@ -56,7 +58,7 @@ def anchors(block: Block, length: int = LENGTH) -> Anchors:
     prefix = NAMED
     n, windows = len(block.data), length - prefix + 1
     if n < length:
-        return Anchors(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        return Anchors(*(np.zeros(0, np.int64) for _ in range(5)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     h = names(block.data)
     at = np.arange(n - prefix + 1)
     low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
@@ -76,7 +78,12 @@ def anchors(block: Block, length: int = LENGTH) -> Anchors:
     start, count = start[inside[start]], count[inside[start]]
     shift = anchor[start] - start
     whole = mix64(name_ranges(h, start, start + count - 1 + length) + mix64(shift.astype(np.uint64)))
-    return Anchors(doc[start], start, count, shift, h[anchor[start]], whole)
+    doc = doc[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (count[1:] != count[:-1]) | (shift[1:] != shift[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    own = np.flatnonzero(new)
+    times = np.diff(np.append(own, len(start)))
+    return Anchors(doc[own], start[own], count[own], times, shift[own], h[anchor[start[own]]], whole[own])
 
 
 class Filter:
@@ -122,10 +129,10 @@ def _fresh(tid: np.ndarray, seen: set[int]) -> np.ndarray:
 def _pieces(tids: np.ndarray, texts: pa.Array, seen: set[int]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, int]]:
     """Blocks of texts, their tids, which of them are new to the task, and where in its text a block
     begins: long texts come in pieces that share LENGTH - 1 bytes, so that every window is in one."""
-    for block in blocks(texts):
+    for block in blocks(texts, PIECE):
         tid = tids[block.row : block.row + len(block)]
         fresh = _fresh(tid, seen)
-        if len(block.data) <= PIECE + LENGTH:
+        if len(block) > 1 or len(block.data) <= PIECE + LENGTH:
             yield block, tid, fresh, 0
             continue
         for lo in range(0, len(block.data) - LENGTH + 1, PIECE):
@@ -138,7 +145,8 @@ def _position(tid: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _ranked(texts: DataFrame) -> DataFrame:
-    """(prefix, at): the PREFIX rank of every anchor and a fingerprint of where it is."""
+    """(prefix, at): the PREFIX rank of every anchor and a fingerprint of where it is; of one that follows
+    itself, two of its places."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -147,13 +155,16 @@ def _ranked(texts: DataFrame) -> DataFrame:
             for block, tid, fresh, base in _pieces(tids, batch.column(1), seen):
                 a = anchors(block)
                 ok = fresh[a.doc]
-                doc, start, prefix = a.doc[ok], a.start[ok], a.prefix[ok]
+                again = np.flatnonzero(ok)[a.times[ok] > 1]
+                each = np.concatenate([np.flatnonzero(ok), again])
+                doc, start, prefix = a.doc[each], a.start[each], a.prefix[each]
+                start[len(start) - len(again) :] += a.count[again]
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(_position(tid[doc], base + start - block.offsets[doc]))], ["prefix", "at"])
 
     return texts.mapInArrow(run, "prefix long, at long")
 
 
-SURVIVOR = "prefix long, whole long, tid long, start int, count int, shift int"
+SURVIVOR = "prefix long, whole long, tid long, start int, count int, times int"
 
 
 def _survivors(texts: DataFrame, repeated: Filter) -> DataFrame:
@@ -170,8 +181,8 @@ def _survivors(texts: DataFrame, repeated: Filter) -> DataFrame:
                 ok[ok] = shared.value.has(a.prefix[ok])
                 doc, start = a.doc[ok], a.start[ok]
                 local = (base + start - block.offsets[doc]).astype(np.int32)
-                out = [a.prefix[ok].view(np.int64), a.whole[ok].view(np.int64), tid[doc], local, a.count[ok].astype(np.int32), a.shift[ok].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["prefix", "whole", "tid", "start", "count", "shift"])
+                out = [a.prefix[ok].view(np.int64), a.whole[ok].view(np.int64), tid[doc], local, a.count[ok].astype(np.int32), a.times[ok].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["prefix", "whole", "tid", "start", "count", "times"])
 
     return texts.mapInArrow(run, SURVIVOR)
 
@@ -286,7 +297,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ranks = _ranked(texts).groupBy("prefix").agg(twice.alias("twice")).where("twice").select("prefix")
     survivors = stored(_survivors(texts, bloom(stored(ranks, "rep-ranks"), "prefix")), "rep-survivors")
     at = F.struct("tid", "start")
-    wholes = survivors.groupBy("prefix", "whole").agg((F.min(at) != F.max(at)).alias("same"))
+    wholes = survivors.groupBy("prefix", "whole").agg(((F.min(at) != F.max(at)) | (F.max("times") > 1)).alias("same"))
     wholes = stored(wholes, "rep-wholes")
     mixed = wholes.groupBy("prefix").agg(F.count("*").alias("n"), F.min(F.col("same").cast("int")).alias("all_same"))
     mixed = mixed.where("n > 1 and all_same = 0")
@@ -294,7 +305,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     hot = mixed.where(F.col("n") > HOT).select("prefix")
     around = stored(_surroundings(texts, bloom(unlike, "whole"), bloom(stored(hot, "rep-hot"), "prefix")), "rep-around")
 
-    end = F.col("start") + F.col("count") - 1 + LENGTH
+    end = F.col("start") + F.col("count") * F.col("times") - 1 + LENGTH
     same = survivors.join(wholes.where("same").select("whole"), "whole").select("tid", "start", end.cast("int").alias("stop"))
     few = _compare_windows(around.where("not hot"))
     windows = around.where("hot").select(F.col("key"), "tid", "start")
