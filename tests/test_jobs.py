@@ -27,7 +27,7 @@ def test_trees_learn_steps_and_keep_the_best_round(spark):
     top = model.importances(fitted).collect()
     assert top[0].feature == "x" and top[0].importance == pytest.approx(1) and [r.rank for r in top] == [1, 2]
     noise = rows.withColumn("load", F.rand(7))
-    stopped = model.fit(noise, ["x", "z"], rounds=16, patience=3)
+    stopped = model.fit(noise, ["x", "z"], rounds=16, patience=3, at_once=1)
     assert len(stopped.leaves) < 13  # stopped before the last round
     assert len(stopped.losses) == len(stopped.leaves) + 4 and min(stopped.losses) == stopped.losses[len(stopped.leaves)]
 
@@ -64,7 +64,7 @@ def test_without_the_terms_a_leaf_is_the_tree_s_own(spark):
 
 def test_predictions_are_the_sum_of_the_stages(spark, tmp_path):
     rows = steps(spark)
-    fitted = model.fit(rows, ["x", "z"], rounds=7, depth=3, patience=2)  # four stages
+    fitted = model.fit(rows, ["x", "z"], rounds=7, depth=3, patience=2, at_once=1)
     ready = fitted.prepare.transform(rows.withColumns({"_x_x": F.col("x"), "_x_z": F.col("z")}))
     want = F.lit(fitted.base)
     for i, tree in enumerate(fitted.trees.trees):
@@ -77,6 +77,10 @@ def test_predictions_are_the_sum_of_the_stages(spark, tmp_path):
     held = F.unix_micros(F.col("ts").cast("timestamp")) > ends[0] + (ends[1] - ends[0]) * 0.9
     error = both.where(held).select(F.avg(F.pow(F.col("load") - F.col("pred_model"), 2))).first()[0]
     assert error == pytest.approx(fitted.losses[len(fitted.leaves)], rel=1e-9)
+    several = model.fit(rows, ["x", "z"], rounds=12, depth=3, at_once=4, patience=12)
+    assert len(several.losses) == 13 and several.losses[-1] < 0.7 * several.losses[0]
+    error = several.transform(rows).where(held).select(F.avg(F.pow(F.col("load") - F.col("pred_model"), 2))).first()[0]
+    assert error == pytest.approx(several.losses[len(several.leaves)], rel=1e-9)  # leaf values and losses know the trees of their own pass
     fitted.save(str(tmp_path / "model"))
     again = model.BoostedTrees.load(spark, str(tmp_path / "model"))
     assert again.transform(both.withColumnRenamed("pred_model", "was")).select(F.max(F.abs(F.col("was") - F.col("pred_model")))).first()[0] == 0.0

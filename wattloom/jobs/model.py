@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from py4j.java_gateway import JavaObject
 from pyspark.ml import Pipeline, PipelineModel
@@ -98,7 +99,7 @@ def _with_margin(rows: DataFrame, trees: JavaObject | None, leaves: list[list[fl
 
 def fit(
     train: DataFrame, features: list[str], label: str = "load", rounds: int = 500, depth: int = 6, validation_share: float = 0.1, patience: int = 50, ts: str = "ts",
-    step: float = 0.05, sample: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: int = 5, seed: int = 42, at_once: int = 1,
+    step: float = 0.05, sample: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: int = 5, seed: int = 42, at_once: int = 5,
 ) -> BoostedTrees:
     """M1: imputed medians, then at most `rounds` boosted trees with L1 and L2 terms.  The last
     `validation_share` of the time judges every round; growing stops `patience` rounds after the best
@@ -106,13 +107,14 @@ def fit(
 
     A tree grows once, on the residuals that those before leave.  One aggregate by leaf then gives
     its leaf values (leaf_value) and, as the rows' errors are known up to the leaf's value, the held
-    rows' loss.  After every STAGE trees the residuals are written, which starts a short plan anew: a
+    rows' loss.  Rows are dealt and ordered by their values, so equal rows give equal trees.  After every STAGE trees the residuals are written, which starts a short plan anew: a
     row never passes more than STAGE trees (and `at_once`), and a lost executor costs one stage at most.
 
-    `at_once` trees grow in one go, on samples of their own of the residuals before the first of them;
-    their leaf values still come one after the other, each from what the trees before leave.  A step of
-    0.05 changes the residuals little, and most of the cost of a tree is in passes over the rows, which
-    such trees share.  1 is plain boosting."""
+    `at_once` trees grow in one pass, on samples of their own of the residuals before the first of them.
+    Their leaf values still come one after the other, each from exactly what the trees before leave: the
+    one aggregate also counts in which leaves of two trees the rows are together.  A step of 0.05 changes
+    the residuals little, and nearly all of the cost of a tree is in passes over the rows, which such
+    trees share.  1 is plain boosting."""
     spark = train.sparkSession
     ends = train.agg(F.unix_micros(F.min(ts).cast("timestamp")).alias("a"), F.unix_micros(F.max(ts).cast("timestamp")).alias("b")).first()
     if ends.a is None:
@@ -122,22 +124,23 @@ def fit(
     rows = train.where(F.col(label).isNotNull()).select(*(F.col(c).cast("double").alias(f"_x_{c}") for c in features), F.col(label).cast("double").alias("_y"), held.alias("_held"))
     names, filled = [f"_x_{c}" for c in features], [f"_f_{c}" for c in features]
     stored = _written(rows, "model-rows")
+    n = stored.count()
+    parts = max(1, n // ROWS_A_TASK)
     prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_features")]).fit(stored)
-    sums = stored.groupBy().agg(F.count("*").alias("n"), F.avg(F.when(~F.col("_held"), F.col("_y"))).alias("mean")).first()
-    base = sums.mean or 0.0
-    parts = max(1, sums.n // ROWS_A_TASK)
-    stage = prepare.transform(stored).select("_features", "_held", (F.col("_y") - base).alias("_r")).coalesce(parts).persist()
+    base = stored.where("not _held").agg(F.avg("_y")).first()[0] or 0.0
+    dealt = stored.repartition(parts, F.xxhash64("_y", *names)).sortWithinPartitions("_y", *names)
+    stage = prepare.transform(dealt).select("_features", "_held", (F.col("_y") - base).alias("_r")).persist()
 
     trees: list[JavaObject] = []
     leaves: list[list[float]] = []
-    errors = stage.where("_held").agg(F.avg(F.col("_r") * F.col("_r")).alias("e")).first()
-    losses = [] if errors.e is None else [errors.e]
+    errors = stage.where("_held").agg(F.count("*").alias("n"), F.avg(F.col("_r") * F.col("_r")).alias("e")).first()
+    n_held, losses = errors.n, [] if errors.e is None else [errors.e]
     first = 0  # of the trees that the stage's residuals don't know yet
     best = lambda: min(range(len(losses)), key=losses.__getitem__) if losses else len(trees)
     while len(trees) < rounds and len(trees) - best() < patience:
         if len(trees) - first >= STAGE:
             done = stage
-            stage = _written(_residuals(stage, trees[first:], leaves[first:], step), "model-residuals").coalesce(parts).persist()
+            stage = _written(_residuals(stage, trees[first:], leaves[first:], step), "model-residuals").persist()
             done.unpersist()
             first = len(trees)
         now = _residuals(stage, trees[first:], leaves[first:], step)
@@ -145,14 +148,15 @@ def fit(
             featuresCol="_features", labelCol="_r", numTrees=min(at_once, rounds - len(trees)), maxDepth=depth, minInstancesPerNode=least, bootstrap=False, subsamplingRate=sample,
             featureSubsetStrategy="0.8" if sample < 1 else "all", seed=seed + len(trees),
         )
-        for tree in grower.fit(now.where("not _held"))._java_obj.trees():
-            known, n, squares = _leaf_sums(_residuals(stage, trees[first:], leaves[first:], step), tree)
-            values = [leaf_value(*known.get(k, (0.0, 0.0))[:2], l1, l2) for k in range(max(known, default=-1) + 1)]
+        grown = list(grower.fit(now.where("not _held"))._java_obj.trees())
+        sums = _leaf_sums(now, grown, step)
+        start = len(trees)
+        for t, tree in enumerate(grown):
+            values, moved = _next_leaves(sums, t, leaves[start:], step, l1, l2)
             trees.append(tree)
             leaves.append(values)
-            if n:
-                moved = sum(step * values[k] * (step * values[k] * m - 2 * s) for k, (_, _, s, m) in known.items())
-                losses.append((squares + moved) / n)
+            if losses:
+                losses.append(losses[-1] + moved / n_held)
     stage.unpersist()
     keep = best()
     return BoostedTrees(prepare, features, base, step, GBTRegressionModel(_together(trees[:keep], step)) if keep else None, leaves[:keep], losses)
@@ -170,18 +174,40 @@ def _residuals(stage: DataFrame, trees: list[JavaObject], leaves: list[list[floa
     return _with_margin(stage, _together(trees, step), leaves, -step, F.col("_r"), "_r")
 
 
-def _leaf_sums(rows: DataFrame, tree: JavaObject) -> tuple[dict[int, tuple[float, float, float, float]], int, float]:
-    """{leaf: (sum and number of the residuals to learn from, sum and number of the held ones)}, the
-    number of held rows and the sum of their squared residuals, from one aggregate."""
-    placed = _with_leaves(rows, tree, "_leaf")
-    r, held = F.col("_r"), F.col("_held")
-    zero = F.lit(0.0)
-    sums = placed.groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
-        F.coalesce(F.sum(F.when(~held, r)), zero).alias("s"), F.count_if(~held).alias("n"), F.coalesce(F.sum(F.when(held, r)), zero).alias("hs"), F.count_if(held).alias("hn"),
-        F.coalesce(F.sum(F.when(held, r * r)), zero).alias("hq"),
-    )
-    found = sums.collect()  # 2^depth rows at most
-    return {x.leaf: (x.s, x.n, x.hs, x.hn) for x in found}, sum(x.hn for x in found), sum(x.hq for x in found)
+class Sums(NamedTuple):
+    """Of the rows to learn from and of the held ones: sum of residuals, number of rows."""
+
+    s: float
+    n: int
+    hs: float
+    hn: int
+
+
+def _leaf_sums(rows: DataFrame, trees: list[JavaObject], step: float) -> dict[tuple[int, int, int, int], Sums]:
+    """For the trees of one pass, from one aggregate: {(t, leaf, -1, -1)}: the rows in a leaf of tree t, and
+    {(t, leaf, e, other)}: those of them that were in leaf `other` of an earlier tree e."""
+    placed = _with_leaves(rows, _together(trees, step), "_leaves").withColumn("_at", F.transform(vector_to_array("_leaves"), lambda x: x.cast("int")))
+    none = F.lit(-1)
+    cells = [F.struct(F.lit(t).alias("t"), F.get("_at", F.lit(t)).alias("leaf"), (none if e < 0 else F.lit(e)).alias("e"), (none if e < 0 else F.get("_at", F.lit(e))).alias("other")) for t in range(len(trees)) for e in range(-1, t)]
+    r, held, zero = F.col("_r"), F.col("_held"), F.lit(0.0)
+    each = placed.select("_r", "_held", F.explode(F.array(*cells)).alias("_c")).groupBy("_c.t", "_c.leaf", "_c.e", "_c.other")
+    sums = each.agg(F.coalesce(F.sum(F.when(~held, r)), zero).alias("s"), F.count_if(~held).alias("n"), F.coalesce(F.sum(F.when(held, r)), zero).alias("hs"), F.count_if(held).alias("hn"))
+    return {(x.t, x.leaf, x.e, x.other): Sums(x.s, x.n, x.hs, x.hn) for x in sums.collect()}  # a cell for two leaves of two trees at most
+
+
+def _next_leaves(sums: dict[tuple[int, int, int, int], Sums], t: int, before: list[list[float]], step: float, l1: float, l2: float) -> tuple[list[float], float]:
+    """The leaf values of tree t of a pass, given those of the trees before it in the pass, and what they
+    change in the sum of the held rows' squared residuals."""
+    left, held, number = {}, {}, {}
+    for (tree, leaf, e, other), x in sums.items():
+        if tree == t:
+            add = (x.s, x.hs) if e < 0 else (-step * before[e][other] * x.n, -step * before[e][other] * x.hn)
+            left[leaf], held[leaf] = left.get(leaf, 0.0) + add[0], held.get(leaf, 0.0) + add[1]
+            if e < 0:
+                number[leaf] = x
+    values = [leaf_value(left.get(k, 0.0), number[k].n if k in number else 0, l1, l2) for k in range(max(number, default=-1) + 1)]
+    moved = sum(step * values[k] * (step * values[k] * x.hn - 2 * held[k]) for k, x in number.items())
+    return values, moved
 
 
 def predict(model: BoostedTrees, rows: DataFrame) -> DataFrame:
