@@ -101,6 +101,29 @@ def test_training_learns_word_order(spark, monkeypatch):
     assert after > before + 0.7
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 800)
+    monkeypatch.setattr(lm, "SHARD_TASKS", 3)  # several shards in a task
+    rng = random.Random(8)
+    rows = [(i if i % 5 else None, " ".join(f"a{k} b{k}" for k in (rng.randrange(40) for _ in range(rng.randint(0, 40))))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sharded = lm.in_shards(docs, 6_000)
+    assert sharded.rdd.getNumPartitions() == 3 and sharded.count() == 150 and sharded.select("shard").distinct().count() > 3
+    got = [sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score_documents(docs.repartition(n)).collect()) for n in (1, 7)]
+    np.testing.assert_allclose(got[0], got[1], rtol=1e-6)
+
+
+def test_every_token_of_a_shard_takes_part(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FIRST_STEP", 16)
+    monkeypatch.setattr(lm, "STEP_TOKENS", 64)
+    texts = [" ".join(f"w{i * j % 17}" for j in range(300)) for i in range(1, 90)]
+    lex = small_lexicon(spark, texts)
+    _, s = sequence_of(lex, texts)
+    trainer = lm.Trainer(lm.start_model(lex), lex)
+    trainer.take(s)
+    assert trainer.tokens == len(s.word) - 1 == trainer.output_met.sum()
+
+
 @pytest.mark.parametrize(("words", "count", "head", "kept"), [(700, 2_000_000, 512, 512), (500, 2_000_000, 512, 500), (30, 5, 40, 30)])
 def test_border_of_the_head_with_many_equal_counts(spark, monkeypatch, words, count, head, kept):
     monkeypatch.setattr(lm, "HEAD", head)

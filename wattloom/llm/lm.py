@@ -8,10 +8,11 @@ that probabilities add up to one over all words.
 
 The context of a token is the sum of the vectors of the POSITIONS tokens before it, each through the
 matrix of its position.  An output's probability is that of its group times its own within the group,
-both normalised by batched matrix products.  Every task takes steps over its own documents from the
-shared start (all steps at first, then one in EVERY, evenly over its documents), against sampled noise
-groups and the noise of each group's outputs; Spark adds up what the tasks learned, weighted by how
-often they met it, and the next round begins from the mean.
+both normalised by batched matrix products.  The documents are dealt to shards of about SHARD_TOKENS
+by a hash; each shard takes steps over all its tokens from the shared start, in an order of its own,
+against sampled noise groups and the noise of each group's outputs.  Spark adds up what the shards
+learned, weighted by how often they met it, and the next round begins from the mean.  So the model
+depends on the rows alone, not on how they are partitioned.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ DIM = 16
 POSITIONS = 3
 NOISE = 24
 ROUNDS = 1
+FIRST_STEP = 512
 STEP_TOKENS = 2048
-BATCH = 8192
+BATCH = 1024
 BLOCK = 500_000
-WARM_TOKENS = 1 << 19
-EVERY = 3
+SHARD_TOKENS = 1 << 22
+SHARD_TASKS = 1 << 14
 RATE = 0.18
 END_HASH = -1
 
@@ -206,8 +208,8 @@ class LogBilinear:
             at = slice(lo, lo + BATCH)
             z = r[at] @ self.group.T + self.group_bias
             z -= z.max(axis=1, keepdims=True)
-            out[at] = z[np.arange(len(z)), group[at]] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(group, kind="stable")
+            out[at] = z[np.arange(len(z)), group[at]] - np.log(np.exp(z, out=z).sum(axis=1))
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             of = order[cut[g] : cut[g + 1]]
@@ -233,10 +235,13 @@ def start_model(lex: Lexicon, seed: int = 1) -> LogBilinear:
 
 def _sum_rows(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ids and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
-    of = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    return of[first], np.add.reduceat(values[order], first, axis=0)
+    both = np.sort(ids * len(ids) + np.arange(len(ids)))  # whole numbers sort faster than places do
+    of, order = np.divmod(both, len(ids))
+    new = np.concatenate([[True], of[1:] != of[:-1]])
+    first = np.flatnonzero(new)
+    out = values[order[first]]
+    np.add.at(out, np.cumsum(new)[~new] - 1, values[order[~new]])
+    return of[first], out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -259,7 +264,7 @@ class Trainer:
         self.output_met = np.zeros(len(model.output), np.int64)
         m = self.model
         self.seen = {id(x): np.full(len(x), 1.0, np.float32) for x in (m.word, m.position, m.group, m.output)}
-        self.tokens = self.passed = 0
+        self.tokens = 0
 
     def move(self, table: np.ndarray, ids: np.ndarray | slice, gradient: np.ndarray) -> None:
         seen = self.seen[id(table)]
@@ -277,7 +282,7 @@ class Trainer:
         parts = [e[b] for b in before]
         r = sum(p @ m.position[k] for k, p in enumerate(parts))
         group = self.group_of[s.output[lo:hi]]
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         r_in, y, g = r[order], s.output[lo:hi][order], group[order]
         cut = np.searchsorted(g, np.arange(GROUPS + 1))
         # groups against shared noise groups
@@ -290,16 +295,27 @@ class Trainer:
         met = np.flatnonzero(np.diff(cut))
         d_group[met] = np.add.reduceat(hit[:, None] * r_in, cut[met], axis=0)
         np.add.at(d_group, noise, false.T @ r_in)
-        # outputs against the noise of their own group, in expectation
+        # outputs against the noise of their own group, in expectation: the groups' tables, one after the other
         d_output = np.zeros_like(m.output)
-        for k in met:
-            a, b, at, to = first[k], first[k + 1], cut[k], cut[k + 1]
-            if b - a < 2:
-                continue
-            data = _sigmoid(r_in[at:to] @ m.output[a:b].T + self.output_shift[a:b])
-            d = data * self.output_weight[a:b]
-            rows, own = np.arange(to - at), y[at:to] - a
-            d[rows, own] += data[rows, own] - 1
+        width = np.diff(first)
+        width[width < 2] = 0
+        row = np.concatenate([[0], np.cumsum(width[g])])
+        flat = np.empty(row[-1], np.float32)
+        tables = [(cut[k], cut[k + 1], first[k], first[k + 1], flat[row[cut[k]] : row[cut[k + 1]]].reshape(-1, width[k])) for k in met if width[k]]
+        for at, to, a, b, d in tables:
+            np.matmul(r_in[at:to], m.output[a:b].T, out=d)
+            d += self.output_shift[a:b]
+        flat *= np.float32(0.5)
+        np.tanh(flat, out=flat)
+        flat *= np.float32(0.5)
+        flat += np.float32(0.5)
+        chosen = np.flatnonzero(width[g])
+        own = row[chosen] + y[chosen] - first[g[chosen]]
+        missed = flat[own] - 1
+        for _, _, a, b, d in tables:
+            d *= self.output_weight[a:b]
+        flat[own] += missed
+        for at, to, a, b, d in tables:
             back[at:to] += d @ m.output[a:b]
             d_output[a:b] = d.T @ r_in[at:to]
         d_r = np.empty_like(back)
@@ -308,8 +324,9 @@ class Trainer:
         d_word, d_position = np.zeros_like(e), np.empty_like(m.position)
         for k, b in enumerate(before):
             d_position[k] = parts[k].T @ d_r
-            new = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))  # places only grow
-            d_word[b[new]] += np.add.reduceat(d_r @ m.position[k].T, new, axis=0)
+            moved, new = d_r @ m.position[k].T, np.concatenate([[True], b[1:] != b[:-1]])  # places only grow
+            d_word[b[new]] += moved[new]
+            np.add.at(d_word, b[~new], moved[~new])  # a few, at the beginnings of documents
         self.move(m.word, *_sum_rows(word, d_word))
         self.move(m.position, slice(None), d_position * scale)
         self.move(m.group, slice(None), d_group * scale)
@@ -319,13 +336,15 @@ class Trainer:
         self.tokens += hi - lo
 
     def take(self, s: Sequence) -> None:
-        for lo in range(1, len(s.word), STEP_TOKENS):
-            if self.passed < WARM_TOKENS or self.passed // STEP_TOKENS % EVERY == 0:
-                self.step(s, lo, min(lo + STEP_TOKENS, len(s.word)))
-            self.passed += STEP_TOKENS
+        """Steps over a whole sequence: short ones at a shard's beginning, up to STEP_TOKENS later."""
+        lo = 1
+        while lo < len(s.word):
+            hi = min(lo + min(max(self.tokens // 256, FIRST_STEP), STEP_TOKENS), len(s.word))
+            self.step(s, lo, hi)
+            lo = hi
 
     def learned(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(table, rows, weights, vectors) of what was met: how much each task's rows count."""
+        """(table, rows, weights, vectors) of what was met: how much each shard's rows count."""
         m = self.model
         words, outputs = np.flatnonzero(self.met), np.flatnonzero(self.output_met)
         whole = np.full(1, self.tokens, np.int64)
@@ -335,23 +354,47 @@ class Trainer:
         yield 3, outputs, self.output_met[outputs], m.output[outputs]
 
 
+def in_shards(docs: DataFrame, tokens: int) -> DataFrame:
+    """(shard, text): the rows of docs in shards of about SHARD_TOKENS, by a hash of id and text, each
+    shard in one task and in the order of another hash; a task has several shards only where there
+    are more than SHARD_TASKS."""
+    n = max(-(-tokens // SHARD_TOKENS), 1)
+    tasks = min(n, SHARD_TASKS)
+    key = [c for c in ("doc_id", "text") if c in docs.columns]
+    rows = docs.select(
+        F.pmod(F.xxhash64(*key, F.lit("shard")), F.lit(n)).alias("shard"), F.xxhash64(*key, F.lit("order")).alias("nth"), whole_text().alias("text")
+    )
+    rows = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+    return rows.sortWithinPartitions("shard", "nth", "text").select("shard", "text")
+
+
 def train_round(docs: DataFrame, lex: Lexicon, model: LogBilinear) -> LogBilinear:
-    """The mean of what the tasks learn from their documents, each starting from `model`."""
+    """The mean of what the shards learn from their documents, each starting from `model`."""
     shared = docs.sparkSession.sparkContext.broadcast((lex, model))
 
+    def parts(trainer: Trainer) -> Iterator[pa.RecordBatch]:
+        for kind, ids, weight, vectors in trainer.learned():
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * DIM, pa.int32()), pa.array((vectors * weight[:, None]).astype(np.float64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids.astype(np.int32)), pa.array(weight), lists], ["kind", "id", "n", "v"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = shared.value
-        trainer = Trainer(model, lex)
+        trainer, now = None, None
         for batch in batches(rows):
-            for block in blocks(batch.column(0), BLOCK):
-                t = tokenize(block)
-                trainer.take(sequence(t, lex, *lex.find(t.hash.view(np.int64))))
-        if trainer.tokens:
-            for kind, ids, weight, vectors in trainer.learned():
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * DIM, pa.int32()), pa.array((vectors * weight[:, None]).astype(np.float64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids.astype(np.int32)), pa.array(weight), lists], ["kind", "id", "n", "v"])
-
-    rows = docs.select(whole_text().alias("text")).mapInArrow(run, "kind int, id int, n long, v array<double>")
+            shard = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(shard)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(shard)]):
+                if trainer is None or shard[lo] != now:
+                    if trainer is not None:
+                        yield from parts(trainer)
+                    trainer, now = Trainer(model, lex, int(shard[lo]) + 1), shard[lo]
+                for block in blocks(batch.column(1).slice(lo, hi - lo), BLOCK):
+                    t = tokenize(block)
+                    trainer.take(sequence(t, lex, *lex.find(t.hash.view(np.int64))))
+        if trainer is not None:
+            yield from parts(trainer)
+
+    rows = in_shards(docs, lex.tokens).mapInArrow(run, "kind int, id int, n long, v array<double>")
     mean = rows.groupBy("kind", "id").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
     got = mean.select("kind", "id", *((F.col(f"v{i}") / F.col("n")).cast("float").alias(f"v{i}") for i in range(DIM))).toArrow()
     kind, ids = got.column(0).to_numpy(), got.column(1).to_numpy()
