@@ -207,19 +207,30 @@ class LogBilinear:
         for lo in range(0, len(r), BATCH):
             at = slice(lo, lo + BATCH)
             z = r[at] @ self.group.T + self.group_bias
-            z -= z.max(axis=1, keepdims=True)
-            out[at] = z[np.arange(len(z)), group[at]] - np.log(np.exp(z, out=z).sum(axis=1))
+            out[at] = z[np.arange(len(z)), group[at]]
+            out[at] -= _log_sum(z)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             of = order[cut[g] : cut[g + 1]]
             if len(of) and first[g + 1] - first[g] > 1:
                 z = r[of] @ self.output[first[g] : first[g + 1]].T + self.output_bias[first[g] : first[g + 1]]
-                z -= z.max(axis=1, keepdims=True)
-                out[of] += z[np.arange(len(of)), output[of] - first[g]] - np.log(np.exp(z).sum(axis=1))
+                own = z[np.arange(len(of)), output[of] - first[g]]
+                out[of] += own - _log_sum(z)
         return out
 
 
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials, written over z; rows are shifted where they
+    could leave the range of numbers."""
+    top = np.zeros(1, z.dtype)
+    if max(z.max(), -z.min()) > 80:
+        top = z.max(axis=1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return np.log(z @ np.ones(z.shape[1], z.dtype)) + top
+
+
 def start_model(lex: Lexicon, seed: int = 1) -> LogBilinear:
     """Contexts that say nothing yet: the groups' and outputs' shares."""
     rng = np.random.default_rng(seed)
@@ -245,7 +256,12 @@ def _sum_rows(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+    """1 / (1 + exp(-x)), written over x."""
+    np.clip(x, np.float32(-80), np.float32(80), out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -278,8 +294,18 @@ class Trainer:
         base = max(lo - POSITIONS, 0)
         word = s.word[base:hi]
         e = m.word[word]
-        before = [np.maximum(b[lo:hi] - base, 0) for b in s.before]
-        parts = [e[b] for b in before]
+        parts, places = [], []
+        for k, b in enumerate(s.before, 1):  # a slice, but for the beginnings of documents
+            b = b[lo:hi] - base
+            at = lo - k - base
+            odd = np.flatnonzero(b != np.arange(at, at + hi - lo))
+            b = np.maximum(b, 0)
+            skip = max(-at, 0)
+            part = np.empty((hi - lo, DIM), e.dtype)
+            part[skip:] = e[at + skip : at + hi - lo]
+            part[odd] = e[b[odd]]
+            parts.append(part)
+            places.append((odd, b[odd], slice(at + skip, at + hi - lo), skip))
         r = sum(p @ m.position[k] for k, p in enumerate(parts))
         group = self.group_of[s.output[lo:hi]]
         order = np.argsort(group.astype(np.uint8), kind="stable")
@@ -305,10 +331,7 @@ class Trainer:
         for at, to, a, b, d in tables:
             np.matmul(r_in[at:to], m.output[a:b].T, out=d)
             d += self.output_shift[a:b]
-        flat *= np.float32(0.5)
-        np.tanh(flat, out=flat)
-        flat *= np.float32(0.5)
-        flat += np.float32(0.5)
+        _sigmoid(flat)
         chosen = np.flatnonzero(width[g])
         own = row[chosen] + y[chosen] - first[g[chosen]]
         missed = flat[own] - 1
@@ -322,11 +345,12 @@ class Trainer:
         d_r[order] = back
         scale = np.float32(1 / np.sqrt(hi - lo))
         d_word, d_position = np.zeros_like(e), np.empty_like(m.position)
-        for k, b in enumerate(before):
+        for k, (odd, at, run, skip) in enumerate(places):
             d_position[k] = parts[k].T @ d_r
-            moved, new = d_r @ m.position[k].T, np.concatenate([[True], b[1:] != b[:-1]])  # places only grow
-            d_word[b[new]] += moved[new]
-            np.add.at(d_word, b[~new], moved[~new])  # a few, at the beginnings of documents
+            moved = d_r @ m.position[k].T
+            np.add.at(d_word, at, moved[odd])
+            moved[odd] = 0
+            d_word[run] += moved[skip:]
         self.move(m.word, *_sum_rows(word, d_word))
         self.move(m.position, slice(None), d_position * scale)
         self.move(m.group, slice(None), d_group * scale)
