@@ -382,6 +382,30 @@ def test_rates_meet_the_targets(spark):
         np.testing.assert_allclose(mass, list(want.values()), atol=2e-2 if want["a"] > 0.9 else 1e-3)
 
 
+def test_a_pass_goes_over_few_steps_and_rates_are_those_of_plain_gradient_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p, n = rng.dirichlet([0.4, 0.2, 0.3], 300), rng.integers(1, 500, 300)
+    want = np.array([0.2, 0.3, 0.5])
+    gone_over = []
+    moved = mixing._moved
+    monkeypatch.setattr(mixing, "_moved", lambda state, steps, k: gone_over.append(len(steps)) or moved(state, steps, k))
+    members = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "id long, n_tokens long, p array<double>")
+    out = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", want.tolist())))
+    assert out.columns == ["id", "n_tokens", "p", "rate"] and len(gone_over) > mixing.KEPT >= max(gone_over)
+    whiten = np.linalg.pinv((p * n[:, None]).T @ p / n.sum(), rcond=1e-6, hermitian=True)
+    x = y = np.ones(300)
+    momentum, before = 1.0, np.inf
+    for _ in gone_over:
+        if np.abs((x * n) @ p / n.sum() - want).max() < mixing.CLOSE:
+            break
+        off = (y * n) @ p / n.sum() - want
+        momentum = 1.0 if off @ whiten @ off > before else momentum
+        before, following = off @ whiten @ off, (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        x, last = np.maximum(y - p @ (whiten @ off), 0), x
+        y, momentum = x + (momentum - 1) / following * (x - last), following
+    np.testing.assert_allclose([r.rate for r in out.orderBy("id").collect()], x, atol=1e-9)
+
+
 def test_mixing_runs_no_python(docs, spark, tiny):
     out = mixing.mix(docs, mixing.label_domains(spark.read.parquet(f"{tiny}/labels.parquet")))
     plan = out._jdf.queryExecution().toString()

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import discard, stored, whole_text
 
 SAMPLE = 12_000
 SPARE = 16
@@ -28,6 +28,7 @@ VOCABULARY = 4_000
 SMOOTH = 0.5
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
 STEPS = 30
+KEPT = 5
 ROUNDS = 10
 NEARER = 0.9
 STILL = 10
@@ -109,26 +110,22 @@ def learn_membership(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE,
     return model
 
 
-def _rate(steps: list[list[float]], domains: int) -> Column:
-    """x and y of the row after further steps, by its posteriors; the next gradient is taken at y."""
-    start = F.struct("x", "y")
-    if not steps:
-        return start
-
-    def move(s: Column, g: Column) -> Column:
-        down = sum((F.col("p")[d] * g[d] for d in range(1, domains)), F.col("p")[0] * g[0])
-        x = s["y"] - down
-        x = F.when(x > 0, x).otherwise(0.0)
-        return F.struct(x.alias("x"), (x + g[domains] * (x - s["x"])).alias("y"))
-
-    return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in steps)), start, move)
+def _moved(state: DataFrame, steps: list[list[float]], domains: int) -> DataFrame:
+    """The state after further steps: x and y of each row, by its posteriors; the next gradient is taken at y.
+    Plain columns, so that a step is a few instructions of generated code."""
+    for *g, momentum in steps:
+        down = sum((F.col(f"p{d}") * g[d] for d in range(1, domains)), F.col("p0") * g[0])
+        state = state.withColumns({"x": F.greatest(F.col("y") - down, F.lit(0.0)), "w": F.col("x")})
+        state = state.withColumn("y", F.col("x") + momentum * (F.col("x") - F.col("w")))
+    return state.drop("w")
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
     """members(n_tokens, p array) with the rate of each row.
 
     Targets of domains that have no labelled document are left out and the others rescaled, with a
-    warning; a known domain without a target has target 0.  Steps are taken until the totals are
+    warning; a known domain without a target has target 0.  Where the rows stand is stored every KEPT
+    steps, so that a pass goes over no more steps than that.  Steps are taken until the totals are
     within CLOSE of the targets.  Where STILL steps move no total by CLOSE (targets that no rates reach), a
     round of STEPS comes no tenth nearer, or ROUNDS are over, a warning says by how much they are missed."""
     k = len(domains)
@@ -143,13 +140,16 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     gram = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]) for a in range(k) for b in range(k))).first()
     whiten = np.linalg.pinv(np.array(gram, float).reshape(k, k) / total, rcond=1e-6, hermitian=True)
     kept = members.columns
-    state = members.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
-    steps: list[list[float]] = []
+    parts = [f"p{d}" for d in range(k)]
+    state = members.withColumns({c: F.col("p")[d] for d, c in enumerate(parts)} | {"x": F.lit(1.0), "y": F.lit(1.0)})
+    kept_state = None
+    steps: list[list[float]] = []  # those that the state has not taken yet
+    taken = 0
     seen: list[np.ndarray] = []
     momentum, before, last, rounds = 1.0, np.inf, np.inf, 0
     while True:
-        rows = state.select("n_tokens", "p", _rate(steps, k).alias("s"))
-        got = rows.agg(*(F.sum(F.col("n_tokens") * F.col("p")[d] * F.col("s")[v]) for v in ("y", "x") for d in range(k))).first()
+        rows = _moved(state.select("n_tokens", *parts, "x", "y"), steps, k)
+        got = rows.agg(*(F.sum(F.col("n_tokens") * F.col(c) * F.col(v)) for v in ("y", "x") for c in parts)).first()
         at_y, at_x = np.array(got[:k], float) / total, np.array(got[k:], float) / total
         off = np.abs(at_x - want).max()
         if off < CLOSE:
@@ -158,21 +158,25 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
         if len(seen) > STILL and np.abs(at_x - np.array(seen[-STILL - 1 : -1])).max() < CLOSE:  # the nearest there is
             warnings.warn(f"mixing: the totals miss the targets by up to {off:.2g} and come no nearer: " + ", ".join(f"{d} {a:.4f} for {w:.4f}" for d, a, w in zip(domains, at_x, want)), RuntimeWarning, stacklevel=2)
             break
-        if len(steps) == STEPS:  # a round is over: store where it came to
-            rounds, nearer, last = rounds + 1, off < NEARER * last, off
+        if taken == STEPS:  # a round is over
+            rounds, nearer, last, taken = rounds + 1, off < NEARER * last, off, 0
             if not nearer or rounds == ROUNDS:
                 warnings.warn(f"mixing: after {rounds * STEPS} steps the totals miss the targets by up to {off:.2g}: " + ", ".join(f"{d} {a:.4f} for {w:.4f}" for d, a, w in zip(domains, at_x, want)), RuntimeWarning, stacklevel=2)
                 break
-            state = stored(state.select(*kept, _rate(steps, k).alias("s")).select(*kept, "s.x", "s.y"), "mix-rates")
-            steps = []
+        if len(steps) == KEPT:
+            before_it, kept_state = kept_state, stored(_moved(state, steps, k), "mix-rates")
+            state, steps = kept_state, []
+            if before_it is not None:
+                discard(before_it)
         miss = float((at_y - want) @ whiten @ (at_y - want))
         if miss > before:  # overshot: begin the acceleration anew
             momentum = 1.0
         before = miss
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         steps.append([*(whiten @ (at_y - want)).tolist(), (momentum - 1) / following])
+        taken += 1
         momentum = following
-    return state.withColumn("rate", _rate(steps, k)["x"]).drop("x", "y")
+    return _moved(state, steps, k).select(*kept, F.col("x").alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, vocabulary: int | None = VOCABULARY) -> DataFrame:
