@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.jobs import clean, model
+from wattloom.jobs import clean, model, queries, stand_ins
 from wattloom.operators import scale, windows
 from wattloom.sources import files
 
@@ -180,3 +180,13 @@ def test_reports_of_empty_feeds(spark):
     assert clean.clean_load(empty, ["k"], counts=counts).count() == 0
     assert {r.n for r in counts.report().collect()} == {0}
     assert scale.rolling_stats(empty, ["k"], "load", 2, 2).count() == 0
+
+
+def test_run_summary_has_tasks_of_bounded_size_and_one_exchange(spark, tiny, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES["a6_run_summary"](spark, tiny).collect()))
+    monkeypatch.setattr(stand_ins, "ROWS_A_TASK", 500)
+    got = queries.QUERIES["a6_run_summary"](spark, tiny)
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert got.rdd.getNumPartitions() == -(-lines // 500) > 4
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == want

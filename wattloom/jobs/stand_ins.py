@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattloom.operators import grid
 
 K = ["series"]
+ROWS_A_TASK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +41,23 @@ def obs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target, lead_time, price, quantity, discount), one row a target and lead."""
+    """(target, lead_time, price, quantity, discount), one row a target and lead.
+
+    Dealt by target into parts of about ROWS_A_TASK lines, whatever their number, so that a task's
+    memory does not grow with the table; what is grouped by target and more needs no other exchange."""
     order = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("lead_time"))
+    lines = table(spark, sf_dir, "lineitem")
+    parts = max(-(-lines.count() // ROWS_A_TASK), 1)
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").repartition(parts, "l_orderkey")
+    rows = lines.groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("lead_time"))
     best = rows.agg(F.min(order).alias("r"))
     cut = lambda c, lo: F.when(F.col(f"r.{c}") > lo, F.col(f"r.{c}"))
     return best.select("target", "lead_time", F.col("r.l_extendedprice").alias("price"), cut("l_quantity", 10).alias("quantity"), cut("l_discount", 0.03).alias("discount"))
 
 
 def forecast_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast_rows(spark, sf_dir).unpivot(["target", "lead_time"], ["price", "quantity", "discount"], "variable", "value")
+    values = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in ("price", "quantity", "discount")))
+    return forecast_rows(spark, sf_dir).select("target", "lead_time", F.inline(values))  # keeps the dealing, as unpivot does not
 
 
 def forecast_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
