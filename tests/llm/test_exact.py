@@ -418,3 +418,20 @@ def test_whole_vocabulary_gives_the_same_as_a_large_bound(docs, spark, tiny):
     labels = mixing.label_domains(spark.read.parquet(f"{tiny}/labels.parquet"))
     rows = [{r.doc_id: (r.domain, r.n_tokens, [round(x, 6) for x in r.p]) for r in mixing.mix(docs, labels, vocabulary=v).collect()} for v in (None, 10**6)]
     assert rows[0] == rows[1] and len(rows[0]) == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("size", [0.3, 60.0])
+def test_scores_are_bounded_before_they_are_looked_at(monkeypatch, size):
+    rng = np.random.default_rng(5)
+    first = np.arange(lm.GROUPS + 1) * 3
+    table = lambda n: rng.normal(0, size, (n, lm.DIM)).astype(np.float32)
+    model = lm.LogBilinear(None, None, table(lm.GROUPS), np.zeros(lm.GROUPS, np.float32), table(first[-1]), np.zeros(first[-1], np.float32))
+    r, output = table(200), rng.integers(0, first[-1], 200)
+    told = []
+    log_sum = lm._log_sum
+    monkeypatch.setattr(lm, "_log_sum", lambda z, small: told.append(small) or log_sum(z, small))
+    got = model.log_probabilities(r, output, first)
+    z, own = (r @ model.group.T).astype(float), np.einsum("ij,ikj->ik", r, model.output.reshape(-1, 3, lm.DIM)[output // 3]).astype(float)
+    want = [a[g] - a.max() - np.log(np.exp(a - a.max()).sum()) + b[k] - b.max() - np.log(np.exp(b - b.max()).sum()) for a, b, g, k in zip(z, own, output // 3, output % 3)]
+    np.testing.assert_allclose(got, want, rtol=1e-4, atol=1e-4)
+    assert all(told) if size < 1 else not any(told)

@@ -202,29 +202,39 @@ class LogBilinear:
 
     def log_probabilities(self, r: np.ndarray, output: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-probability of each output after its context r, normalised over all outputs."""
-        group = np.searchsorted(first, output, "right") - 1
+        group = np.repeat(np.arange(GROUPS, dtype=np.uint8), np.diff(first))[output]
         out = np.empty(len(r))
+        reach = np.sqrt(np.einsum("ij,ij->i", r, r).max(initial=0))
+        small = _bound(reach, self.group, self.group_bias) < 79
         for lo in range(0, len(r), BATCH):
             at = slice(lo, lo + BATCH)
-            z = r[at] @ self.group.T + self.group_bias
+            z = r[at] @ self.group.T
+            z += self.group_bias
             out[at] = z[np.arange(len(z)), group[at]]
-            out[at] -= _log_sum(z)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
+            out[at] -= _log_sum(z, small)
+        small = _bound(reach, self.output, self.output_bias) < 79
+        order = np.argsort(group, kind="stable")
         cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             of = order[cut[g] : cut[g + 1]]
             if len(of) and first[g + 1] - first[g] > 1:
-                z = r[of] @ self.output[first[g] : first[g + 1]].T + self.output_bias[first[g] : first[g + 1]]
+                z = r[of] @ self.output[first[g] : first[g + 1]].T
+                z += self.output_bias[first[g] : first[g + 1]]
                 own = z[np.arange(len(of)), output[of] - first[g]]
-                out[of] += own - _log_sum(z)
+                out[of] += own - _log_sum(z, small)
         return out
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
+def _bound(reach: float, vectors: np.ndarray, bias: np.ndarray) -> float:
+    """What no score of these vectors exceeds, either way, for contexts no longer than `reach`."""
+    return reach * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max()
+
+
+def _log_sum(z: np.ndarray, small: bool = False) -> np.ndarray:
     """The logarithm of the sum of each row's exponentials, written over z; rows are shifted where they
-    could leave the range of numbers."""
+    could leave the range of numbers, unless they are known to be small."""
     top = np.zeros(1, z.dtype)
-    if max(z.max(), -z.min()) > 80:
+    if not small and max(z.max(), -z.min()) > 80:
         top = z.max(axis=1)
         z -= top[:, None]
     np.exp(z, out=z)
@@ -257,8 +267,8 @@ def _sum_rows(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(-x)), written over x."""
-    np.clip(x, np.float32(-80), np.float32(80), out=x)
     np.negative(x, out=x)
+    np.minimum(x, np.float32(80), out=x)  # what is small comes to 0
     np.exp(x, out=x)
     x += np.float32(1)
     return np.reciprocal(x, out=x)
@@ -269,7 +279,7 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, lex: Lexicon, seed: int = 1):
         self.model = LogBilinear(*(x.copy() for x in (model.word, model.position, model.group, model.group_bias, model.output, model.output_bias)))
-        self.first, self.group_of, self.rng = lex.first, lex.group_of, np.random.default_rng(seed)
+        self.first, self.group_of, self.rng = lex.first, lex.group_of.astype(np.uint8), np.random.default_rng(seed)
         start = start_model(lex)  # its shares are the noise
         group_noise = np.exp(start.group_bias.astype(float))
         self.group_floor = np.log(NOISE * group_noise).astype(np.float32)
@@ -284,8 +294,10 @@ class Trainer:
 
     def move(self, table: np.ndarray, ids: np.ndarray | slice, gradient: np.ndarray) -> None:
         seen = self.seen[id(table)]
-        seen[ids] += np.square(gradient).reshape(len(gradient), -1).mean(axis=1)
-        rate = RATE / np.sqrt(seen[ids])
+        flat = gradient.reshape(len(gradient), -1)
+        now = seen[ids] + np.einsum("ij,ij->i", flat, flat) / np.float32(flat.shape[1])
+        seen[ids] = now
+        rate = RATE / np.sqrt(now)
         table[ids] -= rate.reshape(-1, *[1] * (gradient.ndim - 1)) * gradient
 
     def step(self, s: Sequence, lo: int, hi: int) -> None:
@@ -308,7 +320,7 @@ class Trainer:
             places.append((odd, b[odd], slice(at + skip, at + hi - lo), skip))
         r = sum(p @ m.position[k] for k, p in enumerate(parts))
         group = self.group_of[s.output[lo:hi]]
-        order = np.argsort(group.astype(np.uint8), kind="stable")
+        order = np.argsort(group, kind="stable")
         r_in, y, g = r[order], s.output[lo:hi][order], group[order]
         cut = np.searchsorted(g, np.arange(GROUPS + 1))
         # groups against shared noise groups
