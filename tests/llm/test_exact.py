@@ -420,6 +420,64 @@ def test_whole_vocabulary_gives_the_same_as_a_large_bound(docs, spark, tiny):
     assert rows[0] == rows[1] and len(rows[0]) == docs.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("run_cost", [0, 2_000, 10**12])
+def test_a_step_is_that_of_its_tokens_one_by_one(spark, monkeypatch, run_cost):
+    monkeypatch.setattr(lm, "RUN_COST", run_cost)
+    monkeypatch.setattr(lm, "HEAD", 150)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{min(int(rng.exponential(40)), 400)}" for _ in range(n)) for n in (30, 0, 1, 60)]
+    lex = small_lexicon(spark, texts)
+    _, s = sequence_of(lex, texts)
+    model, start = lm.start_model(lex), lm.start_model(lex)
+    for table in (model.word, model.output, model.group, model.group_bias, model.output_bias):
+        table += rng.normal(0, 0.5, table.shape)
+    trainer = lm.Trainer(model, lex, 3)
+    choice = np.flatnonzero(np.diff(lex.first) > 1)
+    assert [sum(a <= g < b for a, b in trainer.runs) for g in choice] == [1] * len(choice)
+    runs = len(trainer.runs)  # each group alone, some together, all together
+    assert {0: runs == len(choice), 2_000: 1 < runs < len(choice) / 2, 10**12: runs == 1}[run_cost]
+    lo, hi = 2, len(s.word) - 3
+    trainer.step(s, lo, hi)
+    noise_share = np.exp(start.group_bias.astype(float))
+    noise = np.searchsorted(np.cumsum(noise_share / noise_share.sum()), np.random.default_rng(3).random(lm.NOISE)).clip(0, lm.GROUPS - 1)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    names = ("word", "position", "group", "output")
+    old = {k: getattr(model, k).astype(float) for k in names}
+    d = {k: np.zeros_like(v) for k, v in old.items()}
+    for i in range(lo, hi):
+        seen = [s.word[b[i]] for b in s.before]
+        r = sum(old["word"][w] @ old["position"][k] for k, w in enumerate(seen))
+        g, back = lex.group_of[s.output[i]], 0
+        for q, target in [(g, 1), *((q, 0) for q in noise)]:
+            miss = sigmoid(r @ old["group"][q] + model.group_bias[q] - np.log(lm.NOISE * noise_share[q])) - target
+            d["group"][q] += miss * r
+            back += miss * old["group"][q]
+        for j in range(lex.first[g], lex.first[g + 1]) if g in choice else ():
+            likely = sigmoid(r @ old["output"][j] + model.output_bias[j] - np.log(lm.NOISE) - start.output_bias[j])
+            miss = likely * lm.NOISE * np.exp(start.output_bias[j]) + (j == s.output[i]) * (likely - 1)
+            d["output"][j] += miss * r
+            back += miss * old["output"][j]
+        for k, w in enumerate(seen):
+            d["word"][w] += old["position"][k] @ back
+            d["position"][k] += np.outer(old["word"][w], back)
+    for k in names:
+        step = d[k] * (1 if k == "word" else (hi - lo) ** -0.5)
+        rate = lm.RATE / np.sqrt(1 + (step.reshape(len(step), -1) ** 2).mean(axis=1))
+        want = old[k] - rate.reshape(-1, *[1] * (step.ndim - 1)) * step
+        np.testing.assert_allclose(getattr(trainer.model, k), want, atol=2e-5, err_msg=k)
+
+
+def test_contexts_are_those_of_the_places_before(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 7)
+    texts = ["a b c d e f g h i", "", "a c e", "x"]
+    lex = small_lexicon(spark, texts)
+    _, s = sequence_of(lex, texts)
+    model = lm.start_model(lex)
+    model.word += np.random.default_rng(2).normal(0, 1, model.word.shape)
+    want = [sum(model.word[s.word[b[i]]] @ model.position[k] for k, b in enumerate(s.before)) for i in range(1, len(s.word))]
+    np.testing.assert_allclose(model.context(s), want, rtol=1e-5, atol=1e-6)
+
+
 @pytest.mark.parametrize("size", [0.3, 60.0])
 def test_scores_are_bounded_before_they_are_looked_at(monkeypatch, size):
     rng = np.random.default_rng(5)

@@ -44,6 +44,7 @@ BLOCK = 500_000
 SHARD_TOKENS = 1 << 22
 SHARD_TASKS = 1 << 14
 RATE = 0.18
+RUN_COST = 3000  # of a product's call, in numbers of a table
 END_HASH = -1
 
 
@@ -197,34 +198,50 @@ class LogBilinear:
 
     def context(self, s: Sequence) -> np.ndarray:
         """The predicted vector of every place of the sequence but the first."""
-        e = self.word[s.word]
-        return sum(e[b[1:]] @ self.position[k] for k, b in enumerate(s.before))
+        e, position = self.word.take(s.word, axis=0), self.position.reshape(-1, DIM)
+        out = np.empty((len(e) - 1, DIM), e.dtype)
+        for lo in range(0, len(out), BATCH):
+            out[lo : lo + BATCH] = _seen(e, [b[lo + 1 : lo + 1 + BATCH] for b in s.before]) @ position
+        return out
 
     def log_probabilities(self, r: np.ndarray, output: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-probability of each output after its context r, normalised over all outputs."""
         group = np.repeat(np.arange(GROUPS, dtype=np.uint8), np.diff(first))[output]
-        out = np.empty(len(r))
         reach = np.sqrt(np.einsum("ij,ij->i", r, r).max(initial=0))
-        small = _bound(reach, self.group, self.group_bias) < 79
-        for lo in range(0, len(r), BATCH):
-            at = slice(lo, lo + BATCH)
-            z = r[at] @ self.group.T
-            z += self.group_bias
-            out[at] = z[np.arange(len(z)), group[at]]
-            out[at] -= _log_sum(z, small)
-        small = _bound(reach, self.output, self.output_bias) < 79
+        small_group, small_output = _bound(reach, self.group, self.group_bias) < 79, _bound(reach, self.output, self.output_bias) < 79
         order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1, dtype=np.uint8)).tolist()
+        both, nth = _with_one(r.take(order, axis=0)), (output - first[group]).take(order)
+        groups, outputs = np.column_stack([self.group, self.group_bias]), np.column_stack([self.output, self.output_bias])
+        log_p = np.empty(len(r))
         for g in range(GROUPS):
-            of = order[cut[g] : cut[g + 1]]
-            if len(of) and first[g + 1] - first[g] > 1:
-                z = r[of] @ self.output[first[g] : first[g + 1]].T
-                z += self.output_bias[first[g] : first[g + 1]]
-                own = z[np.arange(len(of)), output[of] - first[g]]
-                out[of] += own - _log_sum(z, small)
+            table = outputs[first[g] : first[g + 1]]
+            for lo in range(cut[g], cut[g + 1], BATCH):
+                at = slice(lo, min(lo + BATCH, cut[g + 1]))
+                z = both[at] @ groups.T
+                own = z[:, g].copy()
+                log_p[at] = own - _log_sum(z, small_group)
+                if len(table) > 1:
+                    z = both[at] @ table.T
+                    own = z[np.arange(len(z)), nth[at]]
+                    log_p[at] += own - _log_sum(z, small_output)
+        out = np.empty(len(r))
+        out[order] = log_p
         return out
 
 
+def _seen(e: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """The vectors at the places before, side by side."""
+    return e.take(np.stack(before, axis=1).reshape(-1), axis=0).reshape(len(before[0]), -1)
+
+
+def _with_one(r: np.ndarray) -> np.ndarray:
+    """Rows with a one at their end, which a product multiplies by the bias."""
+    out = np.ones((len(r), r.shape[1] + 1), r.dtype)
+    out[:, :-1] = r
+    return out
+
+
 def _bound(reach: float, vectors: np.ndarray, bias: np.ndarray) -> float:
     """What no score of these vectors exceeds, either way, for contexts no longer than `reach`."""
     return reach * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max()
@@ -254,26 +271,48 @@ def start_model(lex: Lexicon, seed: int = 1) -> LogBilinear:
     )
 
 
-def _sum_rows(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids and the sums of their rows."""
-    both = np.sort(ids * len(ids) + np.arange(len(ids)))  # whole numbers sort faster than places do
-    of, order = np.divmod(both, len(ids))
-    new = np.concatenate([[True], of[1:] != of[:-1]])
-    first = np.flatnonzero(new)
-    out = values[order[first]]
-    np.add.at(out, np.cumsum(new)[~new] - 1, values[order[~new]])
-    return of[first], out
+def _sum_rows(ids: np.ndarray, values: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and the sums of their rows; slot has a place for every id, whatever is in it."""
+    place = np.arange(len(ids))
+    slot[ids] = place
+    last = slot[ids]  # one row of each id
+    chosen, rest = np.flatnonzero(last == place), np.flatnonzero(last != place)
+    slot[ids[chosen]] = np.arange(len(chosen))
+    out = values.take(chosen, axis=0)
+    pair = values.shape[1] // 2  # numbers are added in pairs, as complex ones: half as many places
+    at = (slot[ids[rest]] * pair)[:, None] + np.arange(pair)
+    np.add.at(out.view(np.complex64).reshape(-1), at.reshape(-1), values.take(rest, axis=0).view(np.complex64).reshape(-1))
+    return ids[chosen], out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), written over x."""
-    np.negative(x, out=x)
-    np.minimum(x, np.float32(80), out=x)  # what is small comes to 0
-    np.exp(x, out=x)
+    """1 / (1 + exp(x)), written over x: of scores with their signs turned."""
+    with np.errstate(over="ignore"):  # what is small comes to 0
+        np.exp(x, out=x)
     x += np.float32(1)
     return np.reciprocal(x, out=x)
 
 
+def _runs(first: np.ndarray, share: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring groups (from, to) whose tables are multiplied as one: a product of many small tables
+    takes less time than the products, though what lies outside a token's own group is cleared.
+    The least expected cost of a step; groups without a choice of outputs are left out."""
+    begin, met = first.tolist(), np.concatenate([[0], np.cumsum(share)]).tolist()
+    cost, back = [0.0], []
+    for to in range(1, len(begin)):
+        lone = begin[to] - begin[to - 1] < 2
+        ways = [(cost[at] + (0 if lone and at == to - 1 else RUN_COST + STEP_TOKENS * (met[to] - met[at]) * (begin[to] - begin[at])), at) for at in range(to)]
+        cost.append(min(ways)[0])
+        back.append(min(ways)[1])
+    out, to = [], len(back)
+    while to:
+        at = back[to - 1]
+        if begin[to] - begin[at] > to - at:
+            out.append((at, to))
+        to = at
+    return out[::-1]
+
+
 class Trainer:
     """NCE steps over sequences, from a model that stays as it is; AdaGrad rates."""
 
@@ -282,13 +321,20 @@ class Trainer:
         self.first, self.group_of, self.rng = lex.first, lex.group_of.astype(np.uint8), np.random.default_rng(seed)
         start = start_model(lex)  # its shares are the noise
         group_noise = np.exp(start.group_bias.astype(float))
-        self.group_floor = np.log(NOISE * group_noise).astype(np.float32)
+        m = self.model
+        # signs are turned, as _sigmoid takes them
+        self.group_shift = (np.log(NOISE * group_noise) - m.group_bias).astype(np.float32)
         self.drawn = np.cumsum(group_noise / group_noise.sum())
-        self.output_weight = (NOISE * np.exp(start.output_bias)).astype(np.float32)
-        self.output_shift = (model.output_bias - np.log(NOISE) - start.output_bias).astype(np.float32)
+        self.output_weight = (NOISE * np.exp(start.output_bias)).astype(np.float32)[:, None]
+        self.output_shift = (np.log(NOISE) + start.output_bias - m.output_bias).astype(np.float32)[:, None]
+        self.runs = _runs(self.first, group_noise / group_noise.sum())
+        self.width, self.run_first = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
+        for k, to in self.runs:
+            self.width[k:to], self.run_first[k:to] = self.first[to] - self.first[k], self.first[k]
+        self.has_choice = np.diff(self.first) > 1
+        self.slot = np.zeros(len(m.word), np.int64)
         self.met = np.zeros(len(model.word), np.int64)
         self.output_met = np.zeros(len(model.output), np.int64)
-        m = self.model
         self.seen = {id(x): np.full(len(x), 1.0, np.float32) for x in (m.word, m.position, m.group, m.output)}
         self.tokens = 0
 
@@ -298,78 +344,86 @@ class Trainer:
         now = seen[ids] + np.einsum("ij,ij->i", flat, flat) / np.float32(flat.shape[1])
         seen[ids] = now
         rate = RATE / np.sqrt(now)
-        table[ids] -= rate.reshape(-1, *[1] * (gradient.ndim - 1)) * gradient
+        change = rate.reshape(-1, *[1] * (gradient.ndim - 1)) * gradient
+        if isinstance(ids, slice):
+            table[ids] -= change
+        else:  # faster than table[ids] -= change
+            table[ids] = np.subtract(table.take(ids, axis=0), change, out=change)
 
     def step(self, s: Sequence, lo: int, hi: int) -> None:
         """One step over the places lo ... hi of a sequence."""
-        m, first = self.model, self.first
+        m, n = self.model, hi - lo
         base = max(lo - POSITIONS, 0)
         word = s.word[base:hi]
-        e = m.word[word]
-        parts, places = [], []
-        for k, b in enumerate(s.before, 1):  # a slice, but for the beginnings of documents
-            b = b[lo:hi] - base
-            at = lo - k - base
-            odd = np.flatnonzero(b != np.arange(at, at + hi - lo))
-            b = np.maximum(b, 0)
-            skip = max(-at, 0)
-            part = np.empty((hi - lo, DIM), e.dtype)
-            part[skip:] = e[at + skip : at + hi - lo]
-            part[odd] = e[b[odd]]
-            parts.append(part)
-            places.append((odd, b[odd], slice(at + skip, at + hi - lo), skip))
-        r = sum(p @ m.position[k] for k, p in enumerate(parts))
+        e = m.word.take(word, axis=0)
+        before = [np.maximum(b[lo:hi] - base, 0) for b in s.before]
+        seen, position = _seen(e, before), m.position.reshape(-1, DIM)
+        r = seen @ position
         group = self.group_of[s.output[lo:hi]]
         order = np.argsort(group, kind="stable")
-        r_in, y, g = r[order], s.output[lo:hi][order], group[order]
-        cut = np.searchsorted(g, np.arange(GROUPS + 1))
+        both = _with_one(r.take(order, axis=0))
+        r_in, y, g = both[:, :DIM], s.output[lo:hi][order], group[order]
+        cut = np.searchsorted(g, np.arange(GROUPS + 1, dtype=np.uint8))
         # groups against shared noise groups
         noise = np.searchsorted(self.drawn, self.rng.random(NOISE)).clip(0, GROUPS - 1)
-        own_group = m.group[g]
-        hit = _sigmoid(np.einsum("ij,ij->i", r_in, own_group) + (m.group_bias - self.group_floor)[g]) - 1
-        false = _sigmoid(r_in @ m.group[noise].T + (m.group_bias - self.group_floor)[noise])
-        back = hit[:, None] * own_group + false @ m.group[noise]
-        d_group = np.zeros_like(m.group)
+        own_group, noise_group = m.group.take(g, axis=0), m.group[noise]
+        hit = _sigmoid(self.group_shift[g] - np.einsum("ij,ij->i", r_in, own_group)) - 1
+        false = _sigmoid(both @ np.column_stack([-noise_group, self.group_shift[noise]]).T)
+        back = np.multiply(own_group, hit[:, None], out=own_group)
+        back += false @ noise_group
+        is_noise = (np.arange(GROUPS)[:, None] == noise).astype(np.float32)
+        d_group = is_noise @ (false.T @ r_in)
         met = np.flatnonzero(np.diff(cut))
-        d_group[met] = np.add.reduceat(hit[:, None] * r_in, cut[met], axis=0)
-        np.add.at(d_group, noise, false.T @ r_in)
-        # outputs against the noise of their own group, in expectation: the groups' tables, one after the other
-        d_output = np.zeros_like(m.output)
-        width = np.diff(first)
-        width[width < 2] = 0
-        row = np.concatenate([[0], np.cumsum(width[g])])
+        d_group[met] += np.add.reduceat(r_in * hit[:, None], cut[met], axis=0)
+        # outputs against the noise of their own group, in expectation: the runs' tables, one after the other
+        turned, weighted = np.column_stack([-m.output, self.output_shift]), m.output * self.output_weight
+        d_output, d_in = np.zeros_like(m.output), np.zeros_like(back)
+        row = np.concatenate([[0], np.cumsum(self.width[g])])
         flat = np.empty(row[-1], np.float32)
-        tables = [(cut[k], cut[k + 1], first[k], first[k + 1], flat[row[cut[k]] : row[cut[k + 1]]].reshape(-1, width[k])) for k in met if width[k]]
-        for at, to, a, b, d in tables:
-            np.matmul(r_in[at:to], m.output[a:b].T, out=d)
-            d += self.output_shift[a:b]
+        first, cuts, rows = self.first.tolist(), cut.tolist(), row[cut].tolist()
+        tables = []
+        for k, last in self.runs:
+            at, to, a, b = cuts[k], cuts[last], first[k], first[last]
+            if at < to:
+                d = flat[rows[k] : rows[last]].reshape(to - at, b - a)
+                np.matmul(both[at:to], turned[a:b].T, out=d)
+                tables.append((k, last, at, to, a, b, d))
         _sigmoid(flat)
-        chosen = np.flatnonzero(width[g])
-        own = row[chosen] + y[chosen] - first[g[chosen]]
-        missed = flat[own] - 1
-        for _, _, a, b, d in tables:
-            d *= self.output_weight[a:b]
-        flat[own] += missed
-        for at, to, a, b, d in tables:
-            back[at:to] += d @ m.output[a:b]
-            d_output[a:b] = d.T @ r_in[at:to]
+        for k, last, at, _, a, b, d in tables:
+            for i in range(k, last) if last - k > 1 else ():
+                if cuts[i] < cuts[i + 1]:
+                    own_rows = d[cuts[i] - at : cuts[i + 1] - at]
+                    own_rows[:, : first[i] - a] = 0
+                    own_rows[:, first[i + 1] - a if first[i + 1] - first[i] > 1 else first[i] - a :] = 0
+        chosen = np.flatnonzero(self.has_choice[g])
+        own = row[chosen] + y[chosen] - self.run_first[g[chosen]]
+        hit = flat[own]
+        flat[own] += (hit - 1) / self.output_weight[y[chosen], 0]  # all are weighted below
+        for _, _, at, to, a, b, d in tables:
+            np.matmul(d, weighted[a:b], out=d_in[at:to])
+            np.matmul(d.T, r_in[at:to], out=d_output[a:b])
+        d_output *= self.output_weight
+        back += d_in
         d_r = np.empty_like(back)
         d_r[order] = back
-        scale = np.float32(1 / np.sqrt(hi - lo))
-        d_word, d_position = np.zeros_like(e), np.empty_like(m.position)
-        for k, (odd, at, run, skip) in enumerate(places):
-            d_position[k] = parts[k].T @ d_r
-            moved = d_r @ m.position[k].T
-            np.add.at(d_word, at, moved[odd])
-            moved[odd] = 0
-            d_word[run] += moved[skip:]
-        self.move(m.word, *_sum_rows(word, d_word))
+        scale = np.float32(1 / np.sqrt(n))
+        d_position = (seen.T @ d_r).reshape(m.position.shape)
+        moved = d_r @ position.T
+        d_word = np.zeros_like(e)
+        for k, b in enumerate(before):  # a step back, but for the beginnings of documents
+            part, at = moved[:, k * DIM : (k + 1) * DIM], lo - k - 1 - base
+            odd = np.flatnonzero(b != np.arange(at, at + n))
+            np.add.at(d_word, b[odd], part[odd])
+            part[odd] = 0
+            skip = max(-at, 0)
+            d_word[at + skip : at + n] += part[skip:]
+        self.move(m.word, *_sum_rows(word, d_word, self.slot))
         self.move(m.position, slice(None), d_position * scale)
         self.move(m.group, slice(None), d_group * scale)
         self.move(m.output, slice(None), d_output * scale)
         np.add.at(self.met, word, 1)
         self.output_met += np.bincount(y, minlength=len(self.output_met))
-        self.tokens += hi - lo
+        self.tokens += n
 
     def take(self, s: Sequence) -> None:
         """Steps over a whole sequence: short ones at a shard's beginning, up to STEP_TOKENS later."""
